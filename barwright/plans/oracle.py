@@ -205,3 +205,146 @@ def over_indicators(select: str, tail: str = "") -> str:
 
 def over_bars(select: str, tail: str = "", scaled: bool = True) -> str:
     return with_(bars_cte(scaled=scaled)) + f"\nSELECT {select} FROM bars {tail}"
+
+
+# ---------------------------------------------------------------- backtest
+
+
+def backtest_ctes(src: str = "sig") -> str:
+    """Recursive CTE over *every* bar (plus an end row) of each symbol.
+
+    ``st`` holds the state after step k and the trade made at step k, if any.
+    """
+    return f"""bt_rows AS (
+  SELECT symbol, ts, close, signal, rsi, ma_20, ma_50, 0 AS kind,
+         row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k
+  FROM {src}
+  UNION ALL
+  SELECT symbol, max(ts), max_by(close, ts), 'end', max_by(rsi, ts), max_by(ma_20, ts), max_by(ma_50, ts), 1,
+         count(*) + 1
+  FROM {src} GROUP BY symbol
+),
+st AS (
+  SELECT symbol, CAST(0 AS BIGINT) AS k, CAST(NULL AS DATE) AS ts, CAST(100000.0 AS DOUBLE) AS cash,
+         CAST(0 AS BIGINT) AS pos, CAST(0.0 AS DOUBLE) AS ep, CAST('' AS VARCHAR) AS er,
+         CAST(NULL AS VARCHAR) AS act, CAST(NULL AS BIGINT) AS qty, CAST(NULL AS DOUBLE) AS price,
+         CAST(NULL AS DOUBLE) AS val, CAST(NULL AS DOUBLE) AS comm, CAST(NULL AS DOUBLE) AS pnl,
+         CAST(NULL AS VARCHAR) AS ter, CAST(NULL AS VARCHAR) AS xr, CAST(NULL AS DOUBLE) AS t_rsi,
+         CAST(NULL AS DOUBLE) AS t_ma20, CAST(NULL AS DOUBLE) AS t_ma50, 0 AS kind
+  FROM (SELECT DISTINCT symbol FROM bt_rows)
+  UNION ALL
+  SELECT symbol, k, ts,
+    CASE WHEN do_buy THEN cash - buy_total WHEN do_sell THEN cash + sell_net ELSE cash END,
+    CASE WHEN do_buy THEN sh WHEN do_sell THEN 0 ELSE pos END,
+    CASE WHEN do_buy THEN close WHEN do_sell THEN 0.0 ELSE ep END,
+    CASE WHEN do_buy THEN buy_reason WHEN do_sell THEN '' ELSE er END,
+    CASE WHEN do_buy THEN 'buy' WHEN do_sell THEN 'sell' END,
+    CASE WHEN do_buy THEN sh WHEN do_sell THEN pos END,
+    CASE WHEN do_buy OR do_sell THEN close END,
+    CASE WHEN do_buy THEN buy_total WHEN do_sell THEN sell_net END,
+    CASE WHEN do_buy THEN buy_tv * 0.001 WHEN do_sell THEN sell_tv * 0.001 END,
+    CASE WHEN do_buy THEN 0.0 WHEN do_sell THEN sell_net - CAST(pos AS DOUBLE) * ep END,
+    CASE WHEN do_buy THEN buy_reason WHEN do_sell THEN er END,
+    CASE WHEN do_sell AND kind = 1 THEN 'Position closed at end of backtest'
+         WHEN do_sell THEN printf('Sell signal: RSI=%.1f, MA20=%.1f, MA50=%.1f', rsi, ma_20, ma_50) END,
+    CASE WHEN do_buy OR do_sell THEN rsi END,
+    CASE WHEN do_buy OR do_sell THEN ma_20 END,
+    CASE WHEN do_buy OR do_sell THEN ma_50 END,
+    kind
+  FROM (
+    SELECT y.*,
+      signal = 'buy' AND pos = 0 AND cash > close AND sh > 0 AND buy_total <= cash AS do_buy,
+      ((kind = 0 AND signal = 'sell') OR kind = 1) AND pos > 0 AS do_sell
+    FROM (
+      SELECT x.*, CAST(x.sh AS DOUBLE) * x.close AS buy_tv,
+             (CAST(x.sh AS DOUBLE) * x.close + CAST(x.sh AS DOUBLE) * x.close * 0.001) + CAST(x.sh AS DOUBLE) * x.close * 0.001 AS buy_total,
+             CAST(x.pos AS DOUBLE) * x.close AS sell_tv,
+             (CAST(x.pos AS DOUBLE) * x.close - CAST(x.pos AS DOUBLE) * x.close * 0.001) - CAST(x.pos AS DOUBLE) * x.close * 0.001 AS sell_net,
+             printf('Buy signal: RSI=%.1f, MA20=%.1f, MA50=%.1f', x.rsi, x.ma_20, x.ma_50) AS buy_reason
+      FROM (
+        SELECT s.symbol, e.k, e.ts, s.cash, s.pos, s.ep, s.er, e.close, e.signal, e.rsi, e.ma_20, e.ma_50, e.kind,
+               CASE WHEN s.cash > e.close THEN CAST(floor(s.cash * 0.95 / e.close) AS BIGINT) ELSE 0 END AS sh
+        FROM st s JOIN bt_rows e ON e.symbol = s.symbol AND e.k = s.k + 1
+      ) x
+    ) y
+  ) z
+),
+bt_trades AS (
+  SELECT symbol, ts AS date, k, act AS action, qty AS quantity, price, val AS value, comm AS commission,
+         1.0 AS signal_strength, ter AS entry_reason, t_rsi AS rsi, t_ma20 AS ma_20, t_ma50 AS ma_50,
+         pnl, xr AS exit_reason, cash AS cash_after, pos AS position_after, kind = 1 AS final
+  FROM st WHERE act IS NOT NULL
+),
+bt_equity AS (
+  SELECT e.symbol, e.ts AS date, s.cash + CAST(s.pos AS DOUBLE) * e.close AS value, s.cash, s.pos AS position,
+         e.close AS price
+  FROM bt_rows e JOIN st s ON s.symbol = e.symbol AND s.k = e.k - 1
+  WHERE e.kind = 0
+),
+bt_curve AS (
+  SELECT symbol,
+    CASE WHEN count(ret) > 1 THEN stddev_samp(ret) * sqrt(252.0) ELSE 0.0 END AS volatility,
+    min(dd) AS max_drawdown
+  FROM (
+    SELECT symbol, value / lag(value) OVER w - 1.0 AS ret,
+           (value - max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+             / max(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dd
+    FROM bt_equity WINDOW w AS (PARTITION BY symbol ORDER BY date)
+  ) GROUP BY symbol
+),
+bt_final AS (
+  SELECT symbol, max_by(cash, k) AS final_value FROM st GROUP BY symbol
+),
+bt_tstats AS (
+  SELECT symbol,
+    count(*) FILTER (WHERE action = 'sell') AS total_trades,
+    count(*) FILTER (WHERE action = 'sell' AND pnl > 0) AS winning_trades,
+    count(*) FILTER (WHERE action = 'sell' AND pnl <= 0) AS losing_trades,
+    coalesce(avg(pnl) FILTER (WHERE action = 'sell'), 0.0) AS avg_return,
+    coalesce(avg(pnl) FILTER (WHERE action = 'sell' AND pnl > 0), 0.0) AS avg_winning_return,
+    coalesce(avg(pnl) FILTER (WHERE action = 'sell' AND pnl <= 0), 0.0) AS avg_losing_return
+  FROM bt_trades GROUP BY symbol
+),
+bt_bars AS (
+  SELECT symbol, count(*) AS data_points, min(ts) AS start_date, max(ts) AS end_date,
+    CASE WHEN count(*) > 1 THEN (max_by(close, ts) - min_by(close, ts)) / min_by(close, ts) ELSE 0.0 END AS buy_hold_return,
+    count(*) FILTER (WHERE signal = 'buy') AS signals_buy,
+    count(*) FILTER (WHERE signal = 'sell') AS signals_sell,
+    count(*) FILTER (WHERE signal = 'hold') AS signals_hold
+  FROM {src} GROUP BY symbol
+),
+bt_sum0 AS (
+  SELECT b.*, f.final_value, (f.final_value - 100000.0) / 100000.0 AS total_return,
+    coalesce(t.total_trades, 0) AS total_trades, coalesce(t.winning_trades, 0) AS winning_trades,
+    coalesce(t.losing_trades, 0) AS losing_trades,
+    CASE WHEN coalesce(t.total_trades, 0) > 0 THEN CAST(t.winning_trades AS DOUBLE) / CAST(t.total_trades AS DOUBLE) ELSE 0.0 END AS win_rate,
+    coalesce(t.avg_return, 0.0) AS avg_return, coalesce(t.avg_winning_return, 0.0) AS avg_winning_return,
+    coalesce(t.avg_losing_return, 0.0) AS avg_losing_return,
+    c.volatility, c.max_drawdown
+  FROM bt_bars b JOIN bt_final f USING (symbol) JOIN bt_curve c USING (symbol)
+  LEFT JOIN bt_tstats t USING (symbol)
+),
+bt_summary AS (
+  SELECT *, CASE WHEN volatility > 0 THEN total_return / volatility ELSE 0.0 END AS sharpe_ratio,
+         total_return - buy_hold_return AS excess_return, 100000.0 AS initial_capital
+  FROM bt_sum0
+)"""
+
+
+TRADE_COLS = (
+    "symbol, date, action, quantity, d:price, d:value, d:commission, d:signal_strength, entry_reason, "
+    "d:rsi, d:ma_20, d:ma_50, d:pnl, exit_reason"
+)
+SUMMARY_COLS = (
+    "symbol, d:total_return, d:final_value, total_trades, winning_trades, losing_trades, d:win_rate, "
+    "d:avg_return, d:avg_winning_return, d:avg_losing_return, d:volatility, d:sharpe_ratio, d:max_drawdown, "
+    "d:buy_hold_return, d:excess_return, data_points, signals_buy, signals_sell, signals_hold, start_date, "
+    "end_date, d:initial_capital"
+)
+
+
+def over_backtest(select: str, frm: str, tail: str = "") -> str:
+    return (
+        "WITH RECURSIVE " + ",\n".join([bars_cte(), indicators_ctes(), signals_ctes(), backtest_ctes()])
+        + f"\nSELECT {select} FROM {frm} {tail}"
+    )
