@@ -16,10 +16,29 @@ def r(expr: str, alias: str | None = None, digits: int = 6) -> str:
     return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {alias or expr}"
 
 
+def _split_top(spec: str) -> list[str]:
+    """Split on commas that are not inside parentheses or quotes."""
+    parts, depth, quote, cur = [], 0, False, []
+    for ch in spec:
+        if ch == "'":
+            quote = not quote
+        elif not quote and ch == "(":
+            depth += 1
+        elif not quote and ch == ")":
+            depth -= 1
+        if ch == "," and depth == 0 and not quote:
+            parts.append("".join(cur))
+            cur = []
+        else:
+            cur.append(ch)
+    parts.append("".join(cur))
+    return parts
+
+
 def proj(spec: str) -> str:
     """'a, d:b, d:c=expr' -> select list; 'd:' marks a rounded double."""
     out = []
-    for item in [s.strip() for s in spec.split(",") if s.strip()]:
+    for item in [s.strip() for s in _split_top(spec) if s.strip()]:
         if item.startswith("d:"):
             body = item[2:]
             if "=" in body:

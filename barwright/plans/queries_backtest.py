@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.materialize import materialize
 from ..operators import backtest as B
 from ..sources import fixtures as FX
 from . import oracle as O
@@ -50,12 +51,12 @@ def q_bt_final_close(spark, sf_dir):
 
 @register("bt_equity", O.over_backtest(O.proj("symbol, date, d:value, d:cash, position, d:price"), "bt_equity"))
 def q_bt_equity(spark, sf_dir):
-    s = signals(spark, sf_dir)
+    s = materialize(signals(spark, sf_dir))
     return rounded(B.equity_curve(s, B.run_backtest(s)))
 
 
 def _summary(spark, sf_dir):
-    s = signals(spark, sf_dir)
+    s = materialize(signals(spark, sf_dir))
     return B.summary(s, B.run_backtest(s), universe=FX.derived_universe(spark, sf_dir))
 
 

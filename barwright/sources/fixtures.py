@@ -37,9 +37,17 @@ def _tick_cents(scaled: bool) -> Column:
     return F.floor((ep_c * 2 + qty) / (qty * 2)).cast("long")
 
 
-def lineitem_ticks(spark: SparkSession, sf_dir: str, scaled: bool = True) -> DataFrame:
-    """One row per lineitem: symbol, ts (ship timestamp), price_c, qty, key."""
+def lineitem_ticks(spark: SparkSession, sf_dir: str, scaled: bool = True, start=None, end=None) -> DataFrame:
+    """One row per lineitem: symbol, ts (ship timestamp), price_c, qty, key.
+
+    ``start`` / ``end`` (dates) bound the ship day; they are applied to the raw
+    ``l_shipdate`` column so they reach the parquet scan as pushed filters.
+    """
     li = table(spark, sf_dir, "lineitem").select(*TICK_KEY, "l_shipdate")
+    if start is not None:
+        li = li.filter(F.col("l_shipdate") >= F.lit(start).cast(li.schema["l_shipdate"].dataType))
+    if end is not None:
+        li = li.filter(F.col("l_shipdate") < F.lit(end).cast(li.schema["l_shipdate"].dataType))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = li.join(part, li.l_partkey == part.p_partkey)
     return joined.select(
@@ -51,9 +59,9 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str, scaled: bool = True) -> Dat
     )
 
 
-def daily_bars(spark: SparkSession, sf_dir: str, scaled: bool = True) -> DataFrame:
+def daily_bars(spark: SparkSession, sf_dir: str, scaled: bool = True, start=None, end=None) -> DataFrame:
     """Daily OHLCV bars: symbol, ts (date), open, high, low, close, volume."""
-    ticks = lineitem_ticks(spark, sf_dir, scaled)
+    ticks = lineitem_ticks(spark, sf_dir, scaled, start, end)
     agg = ticks.groupBy("symbol", F.to_date("ts").alias("ts")).agg(
         F.min_by("price_c", "key").alias("o"),
         F.max("price_c").alias("h"),
