@@ -12,7 +12,7 @@ result does not depend on summation order and decisions (``rsi < 30``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import PRICE_SCALE
@@ -45,6 +45,28 @@ def whole(order: str = TS) -> WindowSpec:
     )
 
 
+def add_trailing_sums(df: DataFrame, specs: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Add ``name = sum of expr over the last n rows`` for each ``name: (expr, n)``.
+
+    Computed as ``running_sum(t) - running_sum(t - n)``: both are O(1) per row
+    (a running frame and an offset), where a bounded ROWS frame re-aggregates
+    all ``n`` rows for every row.  Exact for integer expressions (cents).
+    """
+    run = expanding()
+    w = by_symbol()
+    df = df.select("*", *[F.sum(e).over(run).alias(f"_cum_{k}") for k, (e, _) in specs.items()])
+    outs = [
+        (F.col(f"_cum_{k}") - F.coalesce(F.lag(f"_cum_{k}", n).over(w), F.lit(0))).alias(k)
+        for k, (_, n) in specs.items()
+    ]
+    return df.select("*", *outs).drop(*[f"_cum_{k}" for k in specs])
+
+
+def trailing_count(n: int) -> Column:
+    """Rows in the trailing window of ``n`` (partial at the start)."""
+    return F.least(F.row_number().over(by_symbol()), F.lit(n)).cast("long")
+
+
 def cents(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.round(col * PRICE_SCALE).cast("long")

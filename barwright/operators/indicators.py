@@ -2,49 +2,95 @@
 
 Each function takes a bar table (``symbol ts open high low close volume``)
 and returns it with indicator columns added.  Trailing windows are partial at
-the start of a series (the first row is a window of one).  Sums run on
-integer cents (see ``functions.windows``).
+the start of a series (the first row is a window of one).
+
+Execution: one hash exchange on ``symbol`` and one sort on ``(symbol, ts)``
+feed every trailing window.  Trailing sums are running sums minus the running
+sum ``n`` rows back (O(1) per row, see ``add_trailing_sums``) on integer cents,
+so they are exact and independent of evaluation order; only the 14-row
+min/max of the stochastic and the 3-row mean of %D use bounded frames.
+Columns are built in a few wide ``select``s rather than long ``withColumn``
+chains, which keeps analysis time flat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, IndicatorParams
-from ..functions.ewm import adjusted_ema, drop_row_index
-from ..functions.windows import by_symbol, cents, ddiv, mean_cents, std_cents, trailing
+from ..config import DEFAULT, PRICE_SCALE, IndicatorParams
+from ..functions.ewm import _CH, _J, _RN, CHUNK, adjusted_ema, drop_row_index
+from ..functions.windows import add_trailing_sums, by_symbol, cents, ddiv, trailing
 
+INDICATOR_COLUMNS = [
+    "rsi", "ma_20", "ma_50", "macd", "macd_signal", "macd_histogram",
+    "bb_upper", "bb_middle", "bb_lower", "volume_sma", "atr", "stoch_k", "stoch_d",
+]
 
-def rsi_sums(df: DataFrame, period: int = 14) -> DataFrame:
-    """Add ``_rsi_g`` / ``_rsi_l``: sums of gains and losses (cents) over ``period``.
 
-    The first row's change counts as 0 (not missing) in both sums.
-    """
+def _prepare(df: DataFrame) -> DataFrame:
+    """Cents columns, previous close, first close and the row index (one Window node)."""
+    w = by_symbol()
     c = cents("close")
-    w = trailing(period)
-    d = F.col("_rsi_d")
-    # greatest() skips NULL, so the first row's gain and loss are 0
-    return df.withColumn("_rsi_d", c - F.lag(c).over(by_symbol())).select(
+    out = df.select(
         "*",
-        F.sum(F.greatest(d, F.lit(0))).over(w).alias("_rsi_g"),
-        F.sum(F.greatest(-d, F.lit(0))).over(w).alias("_rsi_l"),
-    ).drop("_rsi_d")
+        c.alias("_c"),
+        cents("high").alias("_h"),
+        cents("low").alias("_l"),
+        F.lag(c).over(w).alias("_pc"),
+        F.first(c).over(w).alias("_c0"),
+        F.first("close").over(w).alias("_x0"),
+        (F.row_number().over(w) - 1).cast("long").alias(_RN),
+    )
+    return out.select(
+        "*",
+        F.floor(F.col(_RN) / CHUNK).cast("long").alias(_CH),
+        (F.col(_RN) % CHUNK).cast("int").alias(_J),
+    )
+
+
+_PREP = ["_c", "_h", "_l", "_pc", "_c0", "_x0"]
+
 
+def _n(period: int) -> Column:
+    return F.least(F.col(_RN) + 1, F.lit(period)).cast("long")
 
-def rsi_from_sums(g: str = "_rsi_g", l: str = "_rsi_l"):
+
+def _mean_cents(s: str, period: int) -> Column:
+    return F.col(s).cast("double") / (_n(period) * PRICE_SCALE).cast("double")
+
+
+def rsi_from_sums(g: str = "_rsi_g", l: str = "_rsi_l") -> Column:
     sg, sl = F.col(g), F.col(l)
     value = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + sg.cast("double") / sl.cast("double"))
     return F.when(sl == 0, F.when(sg == 0, F.lit(50.0)).otherwise(F.lit(100.0))).otherwise(value)
 
 
+def _rsi_specs(period: int) -> dict:
+    d = F.col("_c") - F.col("_pc")
+    # greatest() skips NULL, so the first row's gain and loss are 0 (not missing)
+    return {"_rsi_g": (F.greatest(d, F.lit(0)), period), "_rsi_l": (F.greatest(-d, F.lit(0)), period)}
+
+
+def _std_from(s1: str, s2: str, period: int) -> Column:
+    """Sample std (price units) from exact sums of centred cents and their squares."""
+    n = _n(period)
+    var = (n * F.col(s2) - F.col(s1) * F.col(s1)).cast("double") / (n * (n - 1)).cast("double")
+    return F.when(n > 1, F.sqrt(var) / float(PRICE_SCALE))
+
+
+def _finish(df: DataFrame) -> DataFrame:
+    return drop_row_index(df.drop(*_PREP))
+
+
 def rsi(df: DataFrame, period: int = 14, keep_sums: bool = False) -> DataFrame:
-    out = rsi_sums(df, period).withColumn("rsi", rsi_from_sums())
-    return out if keep_sums else out.drop("_rsi_g", "_rsi_l")
+    out = add_trailing_sums(_prepare(df), _rsi_specs(period)).withColumn("rsi", rsi_from_sums())
+    return _finish(out if keep_sums else out.drop("_rsi_g", "_rsi_l"))
 
 
 def sma(df: DataFrame, period: int, name: str | None = None, source: str = "close") -> DataFrame:
-    return df.withColumn(name or f"ma_{period}", mean_cents(cents(source), trailing(period)))
+    out = add_trailing_sums(_prepare(df), {"_s": (cents(source), period)})
+    return _finish(out.withColumn(name or f"ma_{period}", _mean_cents("_s", period)).drop("_s"))
 
 
 def _centered(df: DataFrame, source: str) -> DataFrame:
@@ -53,93 +99,128 @@ def _centered(df: DataFrame, source: str) -> DataFrame:
     EMA is shift-equivariant; centring makes a constant run exactly 0, so
     MACD ties (macd == signal) stay ties instead of float noise.
     """
-    x0 = F.first(source).over(by_symbol())
-    return df.withColumn("_x0", x0).withColumn("_xc", F.col(source) - F.col("_x0"))
+    if "_x0" not in df.columns:
+        df = df.withColumn("_x0", F.first(source).over(by_symbol()))
+    return df.withColumn("_xc", F.col(source) - F.col("_x0"))
 
 
 def ema(df: DataFrame, span: int, name: str | None = None, source: str = "close") -> DataFrame:
     out = adjusted_ema(_centered(df, source), {"_ema": ("_xc", span)})
-    return drop_row_index(out.withColumn(name or f"ema_{span}", F.col("_ema") + F.col("_x0"))).drop("_ema", "_x0", "_xc")
+    out = out.withColumn(name or f"ema_{span}", F.col("_ema") + F.col("_x0"))
+    return drop_row_index(out.drop("_ema", "_x0", "_xc"))
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keep_index: bool = False) -> DataFrame:
+def _macd_on(df: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     out = adjusted_ema(_centered(df, "close"), {"_ema_fast": ("_xc", fast), "_ema_slow": ("_xc", slow)})
-    out = out.drop("_x0", "_xc")
-    out = out.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow")
+    out = out.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow", "_xc")
     out = adjusted_ema(out, {"macd_signal": ("macd", signal)})
-    out = out.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+    return out.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+
+
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keep_index: bool = False) -> DataFrame:
+    out = _macd_on(df, fast, slow, signal).drop("_x0")
     return out if keep_index else drop_row_index(out)
 
 
 def bollinger(df: DataFrame, period: int = 20, n_std: int = 2) -> DataFrame:
-    w = trailing(period)
-    c = cents("close")
-    return (
-        df.withColumn("bb_middle", mean_cents(c, w))
-        .withColumn("_bb_std", std_cents(c, w))
-        .withColumn("bb_upper", F.col("bb_middle") + F.col("_bb_std") * float(n_std))
-        .withColumn("bb_lower", F.col("bb_middle") - F.col("_bb_std") * float(n_std))
-        .drop("_bb_std")
-    )
+    out = _prepare(df)
+    cc = F.col("_c") - F.col("_c0")
+    out = add_trailing_sums(out, {"_bs": (F.col("_c"), period), "_b1": (cc, period), "_b2": (cc * cc, period)})
+    out = out.select("*", _mean_cents("_bs", period).alias("bb_middle"), _std_from("_b1", "_b2", period).alias("_bsd"))
+    out = out.select(
+        "*",
+        (F.col("bb_middle") + F.col("_bsd") * float(n_std)).alias("bb_upper"),
+        (F.col("bb_middle") - F.col("_bsd") * float(n_std)).alias("bb_lower"),
+    ).drop("_bs", "_b1", "_b2", "_bsd")
+    return _finish(out)
 
 
-def stochastic(df: DataFrame, k_period: int = 14, d_period: int = 3) -> DataFrame:
+def _stoch_raw(k_period: int) -> Column:
     wk = trailing(k_period)
-    lo = F.min(cents("low")).over(wk)
-    hi = F.max(cents("high")).over(wk)
-    k = F.lit(100.0) * ddiv(cents("close") - lo, hi - lo)  # NULL on a zero range
-    out = df.withColumn("_k_raw", k)
+    lo = F.min("_l").over(wk)
+    hi = F.max("_h").over(wk)
+    return F.lit(100.0) * ddiv(F.col("_c") - lo, hi - lo)  # NULL on a zero range
+
+
+def _stoch_finish(df: DataFrame, d_period: int) -> DataFrame:
     # D is the mean of the unfilled K (missing values skipped); both filled last.
-    d = F.try_divide(F.sum("_k_raw").over(trailing(d_period)), F.count("_k_raw").over(trailing(d_period)))
-    out = out.withColumn("_d_raw", d)
-    return out.withColumn("stoch_k", F.coalesce("_k_raw", F.lit(50.0))).withColumn(
-        "stoch_d", F.coalesce("_d_raw", F.lit(50.0))
-    ).drop("_k_raw", "_d_raw")
+    w3 = trailing(d_period)
+    d = F.try_divide(F.sum("_k_raw").over(w3), F.count("_k_raw").over(w3))
+    return df.select(
+        "*", F.coalesce("_k_raw", F.lit(50.0)).alias("stoch_k"), F.coalesce(d, F.lit(50.0)).alias("stoch_d")
+    ).drop("_k_raw")
+
+
+def stochastic(df: DataFrame, k_period: int = 14, d_period: int = 3) -> DataFrame:
+    out = _prepare(df).select("*", _stoch_raw(k_period).alias("_k_raw"))
+    return _finish(_stoch_finish(out, d_period))
 
 
 def volume_sma(df: DataFrame, period: int = 20) -> DataFrame:
-    w = trailing(period)
-    return df.withColumn("volume_sma", F.sum("volume").over(w) / F.count("volume").over(w))
+    out = add_trailing_sums(_prepare(df), {"_vs": (F.col("volume"), period)})
+    return _finish(out.withColumn("volume_sma", F.col("_vs") / _n(period)).drop("_vs"))
+
+
+def _tr() -> Column:
+    h, l, pc = F.col("_h"), F.col("_l"), F.col("_pc")
+    return F.greatest(h - l, F.abs(h - pc), F.abs(l - pc))  # first row: high - low
 
 
 def atr(df: DataFrame, period: int = 14) -> DataFrame:
-    h, l, c = cents("high"), cents("low"), cents("close")
-    pc = F.lag(c).over(by_symbol())
-    tr = F.greatest(h - l, F.abs(h - pc), F.abs(l - pc))  # first row: high - low
-    out = df.withColumn("_tr", tr)
-    return out.withColumn("atr", F.coalesce(mean_cents(F.col("_tr"), trailing(period)), F.lit(0.0))).drop("_tr")
+    out = add_trailing_sums(_prepare(df), {"_trs": (_tr(), period)})
+    return _finish(out.withColumn("atr", F.coalesce(_mean_cents("_trs", period), F.lit(0.0))).drop("_trs"))
 
 
-INDICATOR_COLUMNS = [
-    "rsi", "ma_20", "ma_50", "macd", "macd_signal", "macd_histogram",
-    "bb_upper", "bb_middle", "bb_lower", "volume_sma", "atr", "stoch_k", "stoch_d",
-]
+HELPER_SUMS = ["_rsi_g", "_rsi_l", "_s_short", "_n_short", "_s_long", "_n_long", "_vs", "_vn"]
 
 
-def add_all_indicators(df: DataFrame, p: IndicatorParams = DEFAULT.indicators, keep_sums: bool = False) -> DataFrame:
+def add_all_indicators(
+    df: DataFrame,
+    p: IndicatorParams = DEFAULT.indicators,
+    keep_sums: bool = False,
+    keep_index: bool = False,
+) -> DataFrame:
     """Bars + the 13 indicator columns.
 
     Columns are always named ``ma_20`` / ``ma_50`` whatever the periods are.
-    With ``keep_sums`` the exact helper sums used by the signal rules are kept:
-    ``_rsi_g _rsi_l _s_short _n_short _s_long _n_long``.
+    With ``keep_sums`` the exact helper sums used by the signal rules are kept
+    (``HELPER_SUMS``; ``_vs``/``_vn`` are the volume sum and count over the
+    volume period).
     """
-    c = cents("close")
-    w_short, w_long = trailing(p.ma_short), trailing(p.ma_long)
-    out = rsi_sums(df, p.rsi_period).select(
+    out = _prepare(df)
+    cc = F.col("_c") - F.col("_c0")
+    specs = {
+        **_rsi_specs(p.rsi_period),
+        "_s_short": (F.col("_c"), p.ma_short),
+        "_s_long": (F.col("_c"), p.ma_long),
+        "_bs": (F.col("_c"), p.bb_period),
+        "_b1": (cc, p.bb_period),
+        "_b2": (cc * cc, p.bb_period),
+        "_vs": (F.col("volume"), p.volume_period),
+        "_trs": (_tr(), p.atr_period),
+    }
+    out = add_trailing_sums(out, specs).select("*", _stoch_raw(p.stoch_k).alias("_k_raw"))
+    out = out.select(
         "*",
-        F.sum(c).over(w_short).alias("_s_short"),
-        F.count(c).over(w_short).alias("_n_short"),
-        F.sum(c).over(w_long).alias("_s_long"),
-        F.count(c).over(w_long).alias("_n_long"),
+        rsi_from_sums().alias("rsi"),
+        _mean_cents("_s_short", p.ma_short).alias("ma_20"),
+        _mean_cents("_s_long", p.ma_long).alias("ma_50"),
+        _mean_cents("_bs", p.bb_period).alias("bb_middle"),
+        _std_from("_b1", "_b2", p.bb_period).alias("_bsd"),
+        (F.col("_vs") / _n(p.volume_period)).alias("volume_sma"),
+        F.coalesce(_mean_cents("_trs", p.atr_period), F.lit(0.0)).alias("atr"),
+        _n(p.ma_short).alias("_n_short"),
+        _n(p.ma_long).alias("_n_long"),
+        _n(p.volume_period).alias("_vn"),
     )
-    out = out.withColumn("rsi", rsi_from_sums())
-    out = out.withColumn("ma_20", F.col("_s_short").cast("double") / (F.col("_n_short") * 100).cast("double"))
-    out = out.withColumn("ma_50", F.col("_s_long").cast("double") / (F.col("_n_long") * 100).cast("double"))
-    out = bollinger(out, p.bb_period, p.bb_std)
-    out = volume_sma(out, p.volume_period)
-    out = atr(out, p.atr_period)
-    out = stochastic(out, p.stoch_k, p.stoch_d)
-    out = macd(out, p.macd_fast, p.macd_slow, p.macd_signal)
+    out = out.select(
+        "*",
+        (F.col("bb_middle") + F.col("_bsd") * float(p.bb_std)).alias("bb_upper"),
+        (F.col("bb_middle") - F.col("_bsd") * float(p.bb_std)).alias("bb_lower"),
+    ).drop("_bs", "_b1", "_b2", "_bsd", "_trs")
+    out = _stoch_finish(out, p.stoch_d)
+    out = _macd_on(out, p.macd_fast, p.macd_slow, p.macd_signal)
+    out = out.drop(*_PREP)
     if not keep_sums:
-        out = out.drop("_rsi_g", "_rsi_l", "_s_short", "_n_short", "_s_long", "_n_long")
-    return out
+        out = out.drop(*HELPER_SUMS)
+    return out if keep_index else drop_row_index(out)

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, IndicatorParams, StrategyParams
-from ..functions.windows import by_symbol, trailing
+from ..functions.ewm import drop_row_index
+from ..functions.windows import add_trailing_sums, by_symbol
 from .indicators import add_all_indicators
 
 SIGNAL_COLUMNS = [
@@ -48,16 +49,16 @@ def generate_signals(
     keep_helpers: bool = False,
 ) -> DataFrame:
     """Bars -> bars + indicators + signal columns (one row per input bar)."""
-    df = add_all_indicators(bars, ind, keep_sums=True)
+    df = add_all_indicators(bars, ind, keep_sums=True, keep_index=True)
+    if st.volume_window != ind.volume_period:
+        n = st.volume_window
+        df = add_trailing_sums(df.drop("_vs", "_vn"), {"_vs": (F.col("volume"), n)})
+        df = df.withColumn("_vn", F.least(F.col("_ewm_rn") + 1, F.lit(n)).cast("long"))
+    df = drop_row_index(df)
     up = (F.col("_s_short") * F.col("_n_long")) > (F.col("_s_long") * F.col("_n_short"))
-    df = df.withColumn("ma_cross", F.when(up, F.lit(1)).otherwise(F.lit(-1)))
+    cross = F.when(up, F.lit(1)).otherwise(F.lit(-1))
+    df = df.withColumn("ma_cross", cross)
     df = df.withColumn("ma_cross_signal", F.col("ma_cross") - F.lag("ma_cross").over(by_symbol()))
-    w_vol = trailing(st.volume_window)
-    df = df.select(
-        "*",
-        F.sum("volume").over(w_vol).alias("_vs"),
-        F.count("volume").over(w_vol).alias("_vn"),
-    )
     return finish_signals(df, st, keep_helpers)
 
 
