@@ -294,3 +294,61 @@ def signal_distribution_map(summary_df: DataFrame) -> DataFrame:
         lambda e: e["value"] > 0,
     )
     return summary_df.select("symbol", F.map_from_entries(entries).alias("signal_distribution"))
+
+
+# Report layout and number formats of the surveyed report.
+REPORT_TEMPLATE = """
+BACKTEST REPORT - {symbol}
+{rule}
+
+PERFORMANCE SUMMARY:
+Total Return:           {total_return:.2%}
+Buy & Hold Return:      {buy_hold_return:.2%}
+Excess Return:          {excess_return:.2%}
+Final Portfolio Value:  ${final_value:,.2f}
+
+RISK METRICS:
+Volatility (Annual):    {volatility:.2%}
+Sharpe Ratio:          {sharpe_ratio:.2f}
+Maximum Drawdown:      {max_drawdown:.2%}
+
+TRADING STATISTICS:
+Total Trades:          {total_trades}
+Winning Trades:        {winning_trades}
+Losing Trades:         {losing_trades}
+Win Rate:             {win_rate:.1%}
+
+AVERAGE RETURNS:
+Average Return/Trade:  ${avg_return:,.2f}
+Average Winning Trade: ${avg_winning_return:,.2f}
+Average Losing Trade:  ${avg_losing_return:,.2f}
+
+DATA INFO:
+Data Points:          {data_points}
+Signal Distribution:  {distribution}
+"""
+
+_REPORT_FIELDS = [
+    "symbol", "total_return", "buy_hold_return", "excess_return", "final_value", "volatility", "sharpe_ratio",
+    "max_drawdown", "total_trades", "winning_trades", "losing_trades", "win_rate", "avg_return",
+    "avg_winning_return", "avg_losing_return", "data_points", "signals_buy", "signals_sell", "signals_hold",
+]
+
+
+def report(summary_df: DataFrame) -> DataFrame:
+    """``symbol, report``: the formatted text report of each summary row.
+
+    Number formatting is Python's (``.2%``, ``,.2f``), applied by a vectorised
+    pandas UDF over the one-row-per-symbol summary.
+    """
+
+    @F.pandas_udf("string")
+    def fmt(s: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in s.itertuples(index=False):
+            d = r._asdict()
+            dist = {k: int(d[f"signals_{k}"]) for k in ("hold", "sell", "buy") if d[f"signals_{k}"]}
+            out.append(REPORT_TEMPLATE.format(rule="=" * 50, distribution=dist, **d))
+        return pd.Series(out)
+
+    return summary_df.select("symbol", fmt(F.struct(*_REPORT_FIELDS)).alias("report"))

@@ -83,3 +83,8 @@ _metric("m_sharpe", "d:sharpe_ratio")
 _metric("m_max_drawdown", "d:max_drawdown")
 _metric("m_buy_hold", "d:buy_hold_return")
 _metric("m_excess", "d:excess_return")
+
+
+@register("bt_report")
+def q_bt_report(spark, sf_dir):
+    return B.report(_summary(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.materialize import materialize
 from ..operators import signals as S
 from ..session import scratch_path
 from ..sources import fixtures as FX
@@ -69,3 +70,18 @@ def q_s_current_signals(spark, sf_dir):
     b.write.partitionBy("year").parquet(src)
     stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 4).parquet(src).drop("year")
     return rounded(SB.run_current_signals(stream))
+
+
+@register("s_state", O.over_indicators(O.proj("symbol, ts, d:macd, d:macd_signal")))
+def q_s_state(spark, sf_dir):
+    """Daily bars stream in one file per year (oldest first, one file per
+    micro-batch); per-symbol state carries the EMAs across batches."""
+    from ..streaming.state import streaming_macd
+
+    src = scratch_path(spark, "s_state-src")
+    b = materialize(bars(spark, sf_dir))
+    years = [r[0] for r in b.select(F.year("ts")).distinct().orderBy(1).collect()]  # bounded: calendar years
+    for y in years:
+        b.filter(F.year("ts") == y).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return rounded(SB.run_available_now(streaming_macd(stream), "s_state"))
