@@ -75,6 +75,11 @@ def split(clean: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
     rn = F.row_number().over(by_symbol())
     n_train = F.floor(F.col("n_clean") * ml.train_fraction)
     out = clean.withColumn("_rn", rn).withColumn("_n_train", n_train.cast("long"))
+    # n - floor(f*n) never decreases with n, so if the smallest admitted symbol
+    # keeps enough test rows the fallback is unreachable and is not planned.
+    n_min = ml.min_clean_rows
+    if n_min - int(n_min * ml.train_fraction) >= ml.min_test_rows:
+        return out.withColumn("is_train", F.col("_rn") <= F.col("_n_train")).drop("_rn", "_n_train")
     small = (F.col("n_clean") - F.col("_n_train")) < ml.min_test_rows
     cls = Window.partitionBy(SYMBOL, "target")
     h = F.xxhash64(F.col(SYMBOL), F.col(TS), F.lit(ml.seed))
