@@ -199,7 +199,7 @@ def q_outlier_filter(spark, sf_dir):
 )
 def q_coerce_numeric(spark, sf_dir):
     ev = FX.table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.get_json_object("props", "$.k").alias("k"),
     )
     return C.coerce_numeric(ev, ["k"])

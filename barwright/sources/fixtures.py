@@ -85,7 +85,7 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     return ev.select(
         F.col("event_type").alias("symbol"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),  # wall-clock time: bins do not move with the session zone
         F.col("value").alias("price"),
         F.lit(1.0).alias("volume"),
         F.col("event_id").alias("seq"),

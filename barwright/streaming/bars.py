@@ -30,6 +30,22 @@ TICK_SCHEMA = T.StructType([
 ])
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def wallclock_to_instant(c: str) -> F.Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP with the same wall clock in UTC (zone-independent).
+
+    Watermarks need TIMESTAMP; epoch-aligned windows on this instant equal
+    wall-clock bins whatever the session time zone is.
+    """
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {_EPOCH}, {c}))")
+
+
+def instant_to_wallclock(c: str) -> F.Column:
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), {_EPOCH})")
+
+
 def read_tick_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Event files as a tick stream: symbol, ts, price, volume."""
     r = spark.readStream.schema(TICK_SCHEMA).format("parquet")
@@ -37,7 +53,7 @@ def read_tick_stream(spark: SparkSession, path: str, max_files: int | None = Non
         r = r.option("maxFilesPerTrigger", max_files)
     ev = r.load(path)
     return ev.select(
-        F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("symbol"), wallclock_to_instant("ts").alias("ts"),
         F.col("value").alias("price"), F.lit(1.0).alias("volume")
     )
 
@@ -52,7 +68,7 @@ def stream_bars(ticks: DataFrame, width: str = "5 minutes", delay: str = "10 min
         F.max_by("price", "ts").alias("close"),
         F.sum("volume").alias("volume"),
     )
-    return agg.select("symbol", F.col("win.start").alias("ts"), "open", "high", "low", "close", "volume")
+    return agg.select("symbol", instant_to_wallclock("win.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
 def stream_sliding_volume(
@@ -60,7 +76,7 @@ def stream_sliding_volume(
 ) -> DataFrame:
     w = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", length, slide).alias("win"))
     agg = w.agg(F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("ticks"), F.avg("price").alias("avg_price"))
-    return agg.select("symbol", F.col("win.start").alias("start"), F.col("win.end").alias("end"),
+    return agg.select("symbol", instant_to_wallclock("win.start").alias("start"), instant_to_wallclock("win.end").alias("end"),
                       "volume", "ticks", "avg_price")
 
 
