@@ -54,3 +54,14 @@ def test_every_query_has_sql_or_is_model_or_stream():
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0 and "total_return" in df.columns
+
+
+@pytest.mark.parametrize("name", ["resample_daily", "s_bars", "daily_bars"])
+def test_time_bins_do_not_depend_on_session_zone(spark, small_dir, con, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = canon(E.queries()[name](spark, small_dir).toPandas())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == canon(con.sql(E.oracle_sql()[name]).df())
