@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import bpe, decontaminate, html_text, language, lm, pii, quality, simhash, token_counts, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_lm_scores": lm.op2_lm_scores,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_exact_topk": topk.op4_exact_topk,
+    "op5_quality": quality.op5_quality,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_html_text": html_text.op8_html_text,
+    "op9_language_id": language.op9_language_id,
+    "op10_pii_surrogates": pii.op10_pii_surrogates,
 }
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
+    "op4_exact_topk": topk.SQL,
 }

@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -42,6 +43,11 @@ def column_type(df: DataFrame, name: str):
     return df.schema[name].dataType
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """A key that rows share only if they agree in id and text (null counts as a value)."""
+    return F.md5(F.concat_ws("\x00", F.coalesce(id_.cast("string"), F.lit("\x01")), F.coalesce(text, F.lit("\x01"))))
+
+
 def text_arrays(column) -> tuple[np.ndarray, np.ndarray]:
     """(offsets int64 of n+1, bytes) of an Arrow string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -129,7 +135,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h + U64(k))
 
 
-def word_member(low_ok: bytes | None = None) -> np.ndarray:
+def word_member() -> np.ndarray:
     """Byte table of word bytes ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing."""
     ok = np.zeros(256, bool)
     ok[0x30:0x3A] = ok[0x61:0x7B] = ok[0x80:] = True

@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,7 +62,7 @@ def _kernel(id_field: pa.DataType, lengths, bits, window: int, gram: int, items:
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, keys = batch.column(0), batch.column(1), batch.column(2)
             for i, j, offsets, data in C.slices(texts):
                 data = C.lower_ascii(data)
                 starts, ends = C.spans(member[data], offsets)
@@ -86,11 +85,8 @@ def _kernel(id_field: pa.DataType, lengths, bits, window: int, gram: int, items:
                         text = b" ".join([raw[a:b] for a, b in zip(starts[s:s + length].tolist(), ends[s:s + length].tolist())])
                         r = int(row[s])
                         found[r].append({"start": s - int(first[r]), "len": length, "fp": f, "words": text.decode()})
-                raw_ids = ids.slice(i, j - i)
-                keys = [xxhash.xxh3_128_digest(repr(v).encode() + b"\0" + raw[a:b])
-                        for v, a, b in zip(raw_ids.to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [raw_ids.cast(id_field), pa.array(keys, pa.binary()), pa.array(count, pa.int64()), pa.array(found, _ARROW_WINDOWS)],
+                    [ids.slice(i, j - i).cast(id_field), keys.slice(i, j - i), pa.array(count, pa.int64()), pa.array(found, _ARROW_WINDOWS)],
                     names=["id", "key", "n_words", "windows"])
     return run
 
@@ -99,9 +95,10 @@ def _windows(df: DataFrame, lengths, bits, window: int, gram: int, items: bool)
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = C.column_type(df, "id")
-    schema = T.StructType([T.StructField("id", kind), T.StructField("key", T.BinaryType()),
+    schema = T.StructType([T.StructField("id", kind), T.StructField("key", T.StringType()),
                            T.StructField("n_words", T.LongType()), T.StructField("windows", _WINDOWS)])
-    return df.mapInArrow(_kernel(to_arrow_type(kind), lengths, bits, window, gram, items), schema)
+    keyed = df.withColumn("key", C.row_key(df["id"], df["text"]))
+    return keyed.mapInArrow(_kernel(to_arrow_type(kind), lengths, bits, window, gram, items), schema)
 
 
 def _bitmap(spark: SparkSession, fps: DataFrame):
@@ -148,6 +145,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window."""
+    keyed = C.pick(docs, id=id_col, text=text_col).withColumn("key", C.row_key(F.col("id"), F.col("text")))
+    hit = (decontaminate(keyed, benchmark, id_col="key", text_col="text", **options)
+           .where("contaminated").select(F.col("key").alias("hit_key")).distinct())
+    return docs.join(hit, C.row_key(docs[id_col], docs[text_col]) == hit["hit_key"], "left_anti")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
     return out.select(

@@ -1,8 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-Features are hashed words and character n-grams, each with a learned vector; a
-document is the average of its features' vectors, and a softmax over the two
-classes follows.  Both layers are trained by stochastic gradient descent in
+Features are hashed words, character n-grams and the shapes of word bigrams
+(a word that equals the one before, or the one two before), each with a learned
+vector; a document is the average of its features' vectors, ``BLANK`` zero
+vectors among them so that a few words alone decide little, and a softmax over
+the two classes follows.  Both layers are trained by stochastic gradient descent in
 numpy.  The label is never an input: a row's text alone is hashed.
 
 Fitting uses a bounded sample of labelled rows (about ``sample_rows``, kept by
@@ -30,6 +32,8 @@ from . import common as C
 
 BUCKETS, WIDTH = 1 << 16, 12
 GRAMS = (2, 3, 4)
+BLANK = 20
+REPEATED = (0, 1)  # the buckets of the repeat shapes, with a few hashed features beside them
 SAMPLE_ROWS, ROUNDS, RATE = 2500, 12, 0.5
 CUT = 0.3
 
@@ -39,8 +43,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     bits = C.U64(64 - BUCKETS.bit_length() + 1)
     member = C.not_space()
     starts, ends = C.spans(member[data], offsets)
-    buckets = [(C.span_hashes(data, starts, ends) >> bits).astype(np.int32)]
-    rows = [C.owner(starts, offsets).astype(np.int32)]
+    words, row = C.span_hashes(data, starts, ends), C.owner(starts, offsets).astype(np.int32)
+    buckets, rows = [(words >> bits).astype(np.int32)], [row]
+    for bucket, back in zip(REPEATED, (1, 2)):
+        again = row[back:][(words[back:] == words[:-back]) & (row[back:] == row[:-back])]
+        buckets.append(np.full(len(again), bucket, np.int32))
+        rows.append(again)
     place = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     values = C.BYTE_VALUE[data]
     for n in GRAMS:
@@ -67,7 +75,7 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], rounds: int = ROUNDS,
             label, buckets, counts = samples[i]
             lr = rate * (1 - steps / total)
             steps += 1
-            share = counts / max(1, counts.sum())
+            share = counts / (counts.sum() + BLANK)
             hidden = share @ vectors[buckets]
             z = out @ hidden + bias
             p = np.exp(z - z.max())
@@ -123,7 +131,7 @@ def _rows(batches, shared, id_type):
         for i, j, offsets, data in C.slices(batch.column(1)):
             bucket, row = features(data, offsets)
             n = np.bincount(row, minlength=j - i)
-            z = np.bincount(row, weights=weights[bucket], minlength=j - i) / np.maximum(n, 1) + bias
+            z = np.bincount(row, weights=weights[bucket], minlength=j - i) / (n + BLANK) + bias
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i).cast(id_type), pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -700, 700))))], names=["id", "score"])
 
@@ -141,6 +149,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "do
             .withColumn("predicted", (F.col("score") >= cut).cast("int")))
 
 
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``cut``, in one pass."""
+    at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            part = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["id", "text"])
+            scores = [out.column(1).to_numpy() for out in _rows([part], shared, pa.int64())]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     """Rows that never teach."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0

@@ -258,6 +258,18 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows.join(whole, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group: that of the least id, ids that are null last; of equal rows, one."""
+    order = F.coalesce(F.lpad((docs[id_col].cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 21, "0"), F.lit("~"))
+    key = F.concat_ws(":", order, C.row_key(docs[id_col], docs[text_col]))
+    keyed = docs.select(key.alias("row_key"), docs[text_col].alias("text"))
+    groups = simhash_groups(keyed, id_col="row_key", **options)
+    first = C.written(groups.where("row_key = component_id").groupBy(F.col("row_key").alias("first_key")).agg(F.count("*").alias("copies")), "group-firsts")
+    alone = docs.join(first.where("copies = 1"), key == first["first_key"], "left_semi")
+    again = docs.join(first.where("copies > 1"), key == first["first_key"], "inner")
+    return alone.unionByName(again.dropDuplicates(["first_key"]).select(*docs.columns)) if first.where("copies > 1").limit(1).count() else alone
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(C.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
