@@ -34,7 +34,7 @@ BUCKETS, WIDTH = 1 << 16, 12
 GRAMS = (2, 3, 4)
 BLANK = 20
 REPEATED = (0, 1)  # the buckets of the repeat shapes, with a few hashed features beside them
-SAMPLE_ROWS, ROUNDS, RATE = 2500, 12, 0.5
+SAMPLE_ROWS, ROUNDS, RATE = 1200, 12, 0.5
 CUT = 0.3
 
 
