@@ -36,7 +36,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 PAIR_WEIGHT, PAIR_LEAST = 0.2, 2
-MAX_BITS, ENTRY_BITS, PROBES, SHARDS = 28, 12, 4, 1024
+MAX_BITS, ENTRY_BITS, PROBES = 28, 12, 4
+LEAST_SHARD_BITS, SHARD_LEVELS = 15, 10  # a shard has 4 KB or more, so that all fill alike; 1024 shards at most
 HEAD_WORDS = 1 << 18
 END = C.mix(np.array([0x0E0D], np.uint64))[0]
 ADD = 0.1
@@ -91,22 +92,23 @@ def _positions(h: np.ndarray, level: np.ndarray, probe: int, shard_bits: int) ->
     return (x & C.U64((1 << shard_bits) - 1)).astype(np.int64)
 
 
-def _shard(h: np.ndarray) -> np.ndarray:
-    return (h >> C.U64(54)).astype(np.int64)
+def _shard(h: np.ndarray, levels: int) -> np.ndarray:
+    """The top ``levels`` bits."""
+    return (h >> C.U64(1) >> C.U64(63 - levels)).astype(np.int64)
 
 
-def _filter_rows(batches, starts: np.ndarray, least: tuple[int, int], shard_bits: int):
+def _filter_rows(batches, starts: np.ndarray, least: tuple[int, int], shard_bits: int, levels: int):
     slot: dict[int, int] = {}
     grid = np.zeros((0, 1 << shard_bits), bool)
     for batch in batches:
         h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         keep = n >= np.where(h & C.U64(1) == 1, least[1], least[0])
         h, q = h[keep], np.searchsorted(starts, n[keep], "right")
-        shard = _shard(h)
+        shard = _shard(h, levels)
         fresh = [s for s in np.unique(shard).tolist() if s not in slot]
         slot.update({s: len(slot) + k for k, s in enumerate(fresh)})
         grid = np.concatenate([grid, np.zeros((len(fresh), grid.shape[1]), bool)])
-        row = np.array([slot.get(s, 0) for s in range(SHARDS)])[shard]
+        row = np.array([slot.get(s, 0) for s in range(1 << levels)])[shard]
         for level in range(1, int(q.max(initial=0)) + 1):
             own = q >= level
             for probe in range(PROBES):
@@ -122,12 +124,13 @@ class Model:
 
     def __init__(self, bits: np.ndarray, shard_bits: int, starts: np.ndarray, total: int, kinds: int, pair_weight: float):
         self.bits, self.shard_bits, self.values = bits, shard_bits, level_values(starts)
+        self.levels = (len(bits) * 8).bit_length() - 1 - shard_bits
         self.total, self.kinds, self.pair_weight = total, kinds, pair_weight
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """The count that each n-gram's probes show."""
         level = np.zeros(len(h), np.int64)
-        live, base = np.arange(len(h)), _shard(h) << self.shard_bits
+        live, base = np.arange(len(h)), _shard(h, self.levels) << self.shard_bits
         step = 1
         while len(live) and step < len(self.values):
             for probe in range(PROBES):
@@ -163,12 +166,13 @@ def build(counts: DataFrame, total: int, kinds: int, pair_weight: float, max_bit
     while entries() * ENTRY_BITS > 1 << max_bits and max(least) < len(starts):
         least[1 if least[1] <= 4 * least[0] else 0] += 1
     bits = min(max_bits, max(17, int(entries() * ENTRY_BITS - 1).bit_length()))
-    shard_bits = bits - SHARDS.bit_length() + 1
+    levels = max(0, min(SHARD_LEVELS, bits - LEAST_SHARD_BITS))
+    shard_bits = bits - levels
     enter = tuple(int(starts[x - 1]) for x in least)
     whole = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (shard_bits - 3)
-    made = (counts.withColumn("shard", F.shiftrightunsigned("h", 54)).repartition("shard").select("h", "n")
-            .mapInArrow(lambda b: _filter_rows(b, starts, enter, shard_bits), "shard int, bits binary"))
+    made = (counts.withColumn("shard", F.shiftrightunsigned(F.shiftrightunsigned("h", 1), 63 - levels)).repartition("shard").select("h", "n")
+            .mapInArrow(lambda b: _filter_rows(b, starts, enter, shard_bits, levels), "shard int, bits binary"))
     for shard, part in made.collect():
         whole[shard * size:(shard + 1) * size] = np.frombuffer(part, np.uint8)
     return Model(whole, shard_bits, starts, total, kinds, pair_weight)
