@@ -39,32 +39,26 @@ def before(order: str = TS) -> WindowSpec:
     return by_symbol(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def whole(order: str = TS) -> WindowSpec:
-    return Window.partitionBy(SYMBOL).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-
-
-def add_trailing_sums(df: DataFrame, specs: dict[str, tuple[Column, int]]) -> DataFrame:
+def add_trailing_sums(df: DataFrame, specs: dict[str, tuple[Column, int]], bounded: tuple[str, ...] = ()) -> DataFrame:
     """Add ``name = sum of expr over the last n rows`` for each ``name: (expr, n)``.
 
     Computed as ``running_sum(t) - running_sum(t - n)``: both are O(1) per row
     (a running frame and an offset), where a bounded ROWS frame re-aggregates
     all ``n`` rows for every row.  Exact for integer expressions (cents).
+
+    ``bounded`` names use the ROWS frame all the same: squares, whose running
+    sum overflows on long histories, and doubles, whose running sum cancels.
     """
     run = expanding()
     w = by_symbol()
-    df = df.select("*", *[F.sum(e).over(run).alias(f"_cum_{k}") for k, (e, _) in specs.items()])
+    running = {k: v for k, v in specs.items() if k not in bounded}
+    df = df.select("*", *[F.sum(e).over(run).alias(f"_cum_{k}") for k, (e, _) in running.items()],
+                   *[F.sum(specs[k][0]).over(trailing(specs[k][1])).alias(k) for k in bounded])
     outs = [
         (F.col(f"_cum_{k}") - F.coalesce(F.lag(f"_cum_{k}", n).over(w), F.lit(0))).alias(k)
-        for k, (_, n) in specs.items()
+        for k, (_, n) in running.items()
     ]
-    return df.select("*", *outs).drop(*[f"_cum_{k}" for k in specs])
-
-
-def trailing_count(n: int) -> Column:
-    """Rows in the trailing window of ``n`` (partial at the start)."""
-    return F.least(F.row_number().over(by_symbol()), F.lit(n)).cast("long")
+    return df.select("*", *outs).drop(*[f"_cum_{k}" for k in running])
 
 
 def cents(c: Column | str) -> Column:
@@ -75,21 +69,3 @@ def cents(c: Column | str) -> Column:
 def ddiv(num: Column, den: Column) -> Column:
     """Double division that yields NULL for a zero denominator."""
     return F.try_divide(num.cast("double"), den.cast("double"))
-
-
-def mean_cents(c: Column, w: WindowSpec) -> Column:
-    """Window mean of a cents column, returned in price units."""
-    return F.sum(c).over(w).cast("double") / (F.count(c).over(w) * PRICE_SCALE).cast("double")
-
-
-def std_cents(c: Column, w: WindowSpec) -> Column:
-    """Sample standard deviation over a window of a cents column, in price units.
-
-    Exact integer moments: ``(n*sum(x^2) - sum(x)^2) / (n*(n-1))``; NULL for n < 2.
-    """
-    n = F.count(c).over(w)
-    s1 = F.sum(c).over(w)
-    s2 = F.sum(c * c).over(w)
-    num = (n * s2 - s1 * s1).cast("double")
-    var = num / (n * (n - 1)).cast("double")
-    return F.when(n > 1, F.sqrt(var) / float(PRICE_SCALE))

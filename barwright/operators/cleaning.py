@@ -20,11 +20,12 @@ def ffill_bfill(df: DataFrame, cols: list[str] | None = None, order: str = TS) -
     cols = cols or [c for c in df.columns if c not in (SYMBOL, order)]
     w = by_symbol(order)
     fwd = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # after the forward fill only the head is left, and all of it takes the symbol's first value
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = []
     for c in df.columns:
         if c in cols:
-            filled = F.coalesce(F.last(c, ignorenulls=True).over(fwd), F.first(c, ignorenulls=True).over(bwd))
+            filled = F.coalesce(F.last(c, ignorenulls=True).over(fwd), F.first(c, ignorenulls=True).over(whole))
             out.append(filled.alias(c))
         else:
             out.append(F.col(c))

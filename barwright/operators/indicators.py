@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRICE_SCALE, IndicatorParams
-from ..functions.ewm import _CH, _J, _RN, CHUNK, adjusted_ema, drop_row_index
+from ..functions.ewm import _RN, adjusted_ema, chunk_rows, drop_row_index
 from ..functions.windows import add_trailing_sums, by_symbol, cents, ddiv, trailing
 
 INDICATOR_COLUMNS = [
@@ -32,7 +32,7 @@ def _prepare(df: DataFrame) -> DataFrame:
     """Cents columns, previous close, first close and the row index (one Window node)."""
     w = by_symbol()
     c = cents("close")
-    out = df.select(
+    return df.select(
         "*",
         c.alias("_c"),
         cents("high").alias("_h"),
@@ -42,11 +42,6 @@ def _prepare(df: DataFrame) -> DataFrame:
         F.first("close").over(w).alias("_x0"),
         (F.row_number().over(w) - 1).cast("long").alias(_RN),
     )
-    return out.select(
-        "*",
-        F.floor(F.col(_RN) / CHUNK).cast("long").alias(_CH),
-        (F.col(_RN) % CHUNK).cast("int").alias(_J),
-    )
 
 
 _PREP = ["_c", "_h", "_l", "_pc", "_c0", "_x0"]
@@ -111,9 +106,10 @@ def ema(df: DataFrame, span: int, name: str | None = None, source: str = "close"
 
 
 def _macd_on(df: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
-    out = adjusted_ema(_centered(df, "close"), {"_ema_fast": ("_xc", fast), "_ema_slow": ("_xc", slow)})
+    chunk = chunk_rows([fast, slow, signal])  # one layout for both passes, where one fits
+    out = adjusted_ema(_centered(df, "close"), {"_ema_fast": ("_xc", fast), "_ema_slow": ("_xc", slow)}, chunk)
     out = out.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow", "_xc")
-    out = adjusted_ema(out, {"macd_signal": ("macd", signal)})
+    out = adjusted_ema(out, {"macd_signal": ("macd", signal)}, chunk)
     return out.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
@@ -125,7 +121,7 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keep_in
 def bollinger(df: DataFrame, period: int = 20, n_std: int = 2) -> DataFrame:
     out = _prepare(df)
     cc = F.col("_c") - F.col("_c0")
-    out = add_trailing_sums(out, {"_bs": (F.col("_c"), period), "_b1": (cc, period), "_b2": (cc * cc, period)})
+    out = add_trailing_sums(out, {"_bs": (F.col("_c"), period), "_b1": (cc, period), "_b2": (cc * cc, period)}, bounded=("_b2",))
     out = out.select("*", _mean_cents("_bs", period).alias("bb_middle"), _std_from("_b1", "_b2", period).alias("_bsd"))
     out = out.select(
         "*",
@@ -157,7 +153,7 @@ def stochastic(df: DataFrame, k_period: int = 14, d_period: int = 3) -> DataFram
 
 
 def volume_sma(df: DataFrame, period: int = 20) -> DataFrame:
-    out = add_trailing_sums(_prepare(df), {"_vs": (F.col("volume"), period)})
+    out = add_trailing_sums(_prepare(df), {"_vs": (F.col("volume"), period)}, bounded=("_vs",))
     return _finish(out.withColumn("volume_sma", F.col("_vs") / _n(period)).drop("_vs"))
 
 
@@ -199,7 +195,7 @@ def add_all_indicators(
         "_vs": (F.col("volume"), p.volume_period),
         "_trs": (_tr(), p.atr_period),
     }
-    out = add_trailing_sums(out, specs).select("*", _stoch_raw(p.stoch_k).alias("_k_raw"))
+    out = add_trailing_sums(out, specs, bounded=("_b2", "_vs")).select("*", _stoch_raw(p.stoch_k).alias("_k_raw"))
     out = out.select(
         "*",
         rsi_from_sums().alias("rsi"),

@@ -96,7 +96,7 @@ def ema_join(src: str, out: str, value: str, spans: dict[str, int], keys: str =
     cols = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
     return f"""{out} AS (
   SELECT {cols}, {', '.join(sums)}
-  FROM {src} a JOIN {src} b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 478 AND a.rn
+  FROM {src} a JOIN {src} b ON a.symbol = b.symbol AND b.rn <= a.rn
   GROUP BY {cols}
 )"""
 

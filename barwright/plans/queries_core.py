@@ -49,6 +49,20 @@ def q_ema(spark, sf_dir):
     return rounded(out.select("symbol", "ts", "ema_12", "ema_26"))
 
 
+@register(
+    "ema_long",
+    O.with_(O.bars_cte(), """base AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn,
+         close - first_value(close) OVER (PARTITION BY symbol ORDER BY ts) AS xc FROM bars)""",
+            O.ema_join("base", "e", "xc", {"ema50": 50, "ema200": 200}))
+    + "\nSELECT " + O.proj("e.symbol, e.ts, d:ema_50=e.ema50 + (b.close - b.xc), d:ema_200=e.ema200 + (b.close - b.xc)")
+    + " FROM e JOIN base b ON e.symbol = b.symbol AND e.ts = b.ts",
+)
+def q_ema_long(spark, sf_dir):
+    out = I.ema(I.ema(bars(spark, sf_dir), 50), 200)
+    return rounded(out.select("symbol", "ts", "ema_50", "ema_200"))
+
+
 @register("macd", O.over_indicators(O.proj("symbol, ts, d:macd, d:macd_signal, d:macd_histogram")))
 def q_macd(spark, sf_dir):
     return rounded(I.macd(bars(spark, sf_dir)).select("symbol", "ts", "macd", "macd_signal", "macd_histogram"))

@@ -56,11 +56,10 @@ def q_clip_strength(spark, sf_dir):
     "position_size",
     O.over_signals(
         "symbol, ts, signal, CAST(greatest(1, CASE WHEN close * 0.02 > 0 THEN floor(CAST(100000.0 AS DOUBLE) * 0.02 / (close * 0.02)) "
-        "ELSE floor(CAST(100000.0 AS DOUBLE) * 0.1 / close) END) AS BIGINT) AS position_size",
-        "WHERE signal <> 'hold'"),
+        "ELSE floor(CAST(100000.0 AS DOUBLE) * 0.1 / close) END) AS BIGINT) AS position_size"),
 )
 def q_position_size(spark, sf_dir):
-    s = signals(spark, sf_dir).filter(F.col("signal") != "hold")
+    s = signals(spark, sf_dir)
     return s.select("symbol", "ts", "signal", S.position_size(F.lit(CAPITAL), F.col("close")).alias("position_size"))
 
 

@@ -35,12 +35,16 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a scratch one only if unset."""
+    """Return the shared checkpoint folder; where it is unset, a scratch one for a local master only."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set: on {master} it must name a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="barwright-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf)
     spark.sparkContext.setCheckpointDir(conf)
@@ -48,6 +52,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder (never machine-local)."""
+    """A fresh path under the shared checkpoint folder (machine-local on a local master alone)."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
