@@ -39,6 +39,7 @@ PAIR_WEIGHT, PAIR_LEAST = 0.2, 2
 MAX_BITS, ENTRY_BITS, PROBES = 28, 12, 4
 LEAST_SHARD_BITS, SHARD_LEVELS = 15, 10  # a shard has 4 KB or more, so that all fill alike; 1024 shards at most
 HEAD_WORDS = 1 << 18
+COUNTED_TOKENS = 1 << 20  # counted together before they leave a task
 END = C.mix(np.array([0x0E0D], np.uint64))[0]
 ADD = 0.1
 
@@ -56,7 +57,7 @@ def level_values(starts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0.0], np.sqrt(starts[:-1] * np.maximum(starts[:-1], starts[1:] - 1.0)), [float(starts[-1])]))
 
 
-def tokens(texts, i: int, j: int, offsets: np.ndarray, data: np.ndarray, member=C.not_space()):
+def tokens(i: int, j: int, offsets: np.ndarray, data: np.ndarray, member=C.not_space()):
     """Token hashes of texts i..j, each text's words then the end; and the number of tokens of each."""
     data = C.lower_ascii(data)
     starts, ends = C.spans(member[data], offsets)
@@ -75,13 +76,22 @@ def pairs(tok: np.ndarray) -> np.ndarray:
 
 
 def _count_rows(batches):
+    def counted(got):
+        # each slice starts with a new text, whose first word follows the end mark that closes the slice before
+        tok = np.concatenate(got)
+        h, n = np.unique(np.concatenate([tok, pairs(tok)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    held, size = [], 0
     for batch in batches:
-        got = [tokens(None, i, j, o, d)[0] for i, j, o, d in C.slices(batch.column(0))]
-        if got:
-            # each slice starts with a new text, whose first word follows the end mark that closes the slice before
-            tok = np.concatenate(got)
-            h, n = np.unique(np.concatenate([tok, pairs(tok)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        for i, j, offsets, data in C.slices(batch.column(0)):
+            held.append(tokens(i, j, offsets, data)[0])
+            size += len(held[-1])
+            if size >= COUNTED_TOKENS:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
 
 
 # -- the filter ------------------------------------------------------------
@@ -186,7 +196,7 @@ def _score_rows(batches, shared, id_type):
     for batch in batches:
         uid, ids = batch.column(0), batch.column(1)
         for i, j, offsets, data in C.slices(batch.column(2)):
-            tok, count = tokens(None, i, j, offsets, data)
+            tok, count = tokens(i, j, offsets, data)
             first = np.cumsum(count) - count
             at = np.minimum(np.searchsorted(head, tok), max(0, len(head) - 1))
             hit = head[at] == tok if len(head) else np.zeros(len(tok), bool)
