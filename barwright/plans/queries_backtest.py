@@ -9,13 +9,23 @@ from ..operators import backtest as B
 from ..sources import fixtures as FX
 from . import oracle as O
 from .catalog import register, rounded
-from .queries_core import signals
+from .queries_core import bars, signals
+
+
+# what the fold, the equity curve and the metrics read of the signal table
+NEEDED = ["symbol", "ts", "close", "signal", "rsi", "ma_20", "ma_50"]
 
 
 def ledger(spark, sf_dir):
     return B.run_backtest(signals(spark, sf_dir))
 
 
+def _tables(spark, sf_dir):
+    """The pruned signal table and the (small) ledger, each written once: several plans read both."""
+    s = materialize(signals(spark, sf_dir).select(*NEEDED))
+    return s, materialize(B.run_backtest(s))
+
+
 @register(
     "bt_fold",
     O.over_backtest(O.proj("symbol, date, action, quantity, d:value, d:cash_after, position_after, final"), "bt_trades"),
@@ -51,13 +61,12 @@ def q_bt_final_close(spark, sf_dir):
 
 @register("bt_equity", O.over_backtest(O.proj("symbol, date, d:value, d:cash, position, d:price"), "bt_equity"))
 def q_bt_equity(spark, sf_dir):
-    s = materialize(signals(spark, sf_dir))
-    return rounded(B.equity_curve(s, B.run_backtest(s)))
+    return rounded(B.equity_curve(*_tables(spark, sf_dir)))
 
 
 def _summary(spark, sf_dir):
-    s = materialize(signals(spark, sf_dir))
-    return B.summary(s, B.run_backtest(s), universe=FX.derived_universe(spark, sf_dir))
+    s, trades = _tables(spark, sf_dir)
+    return B.summary(s, trades, universe=FX.derived_universe(spark, sf_dir))
 
 
 @register("bt_summary", O.over_backtest(O.proj(O.SUMMARY_COLS), "bt_summary"))
@@ -81,10 +90,17 @@ _metric("m_trade_stats", "total_trades, winning_trades, losing_trades, d:win_rat
 _metric("m_volatility", "d:volatility")
 _metric("m_sharpe", "d:sharpe_ratio")
 _metric("m_max_drawdown", "d:max_drawdown")
-_metric("m_buy_hold", "d:buy_hold_return")
 _metric("m_excess", "d:excess_return")
 
 
+@register("m_buy_hold", O.over_backtest(O.proj("symbol, d:buy_hold_return"), "bt_summary"))
+def q_buy_hold(spark, sf_dir):
+    """First and last close of each symbol's bars: no signals, no fold."""
+    held = B.bar_metrics(bars(spark, sf_dir).withColumn("signal", F.lit("hold")))
+    out = FX.derived_universe(spark, sf_dir).select("symbol").distinct().join(held, "symbol", "left")
+    return rounded(out.select("symbol", F.coalesce("buy_hold_return", F.lit(0.0)).alias("buy_hold_return")))
+
+
 @register("bt_report")
 def q_bt_report(spark, sf_dir):
     return B.report(_summary(spark, sf_dir))
