@@ -11,13 +11,14 @@ neither another entity's surrogate nor any entity of the corpus; those that
 clash take the next attempt until none does.  So distinct entities stay distinct
 and one entity has one surrogate everywhere.
 
-Scale: texts are matched once; only entity rows are shuffled, distinct ones
-with partial aggregation, and an entity that is very common meets its one
-surrogate row in a join that Spark may split.  Text without entities is never
-joined by value.  Nothing is collected but row counts of clashes.
+Scale: texts are matched once, and rows are written with their entities and a
+row number.  Only entity rows are shuffled, distinct ones with partial
+aggregation, and an entity that is very common meets its one surrogate row in a
+join that Spark may split.  Text without entities is passed on and never
+shuffled.  Nothing is collected but row counts of clashes.
 
 Defined cases: null text stays null; text without entities is unchanged; rows
-are kept one by one, repeated or not; a null id is an id; an empty table gives
+are kept one by one, repeated or not; ids are not read; an empty table gives
 an empty result; other columns pass through, whatever their names.
 """
 
@@ -203,13 +204,15 @@ def surrogates(entities: DataFrame, key: str = KEY, shape=surrogate) -> DataFram
     raise RuntimeError("no distinct surrogates were found")
 
 
-def replace_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, *, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with the text's entities replaced and, as last column, ``n_entities``."""
-    text = docs[text_col]
-    uid = C.row_key(docs[id_col], text)
-    found = C.written(
-        docs.select(uid.alias("uid"), F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("ents")).where(F.size("ents") > 0).dropDuplicates(["uid"]),
-        "found")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    base = C.written(
+        docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)],
+                    F.coalesce(F.regexp_extract_all(docs[text_col], F.lit(PATTERN), 0), F.array().cast("array<string>")).alias("ents"))
+        .select("*", F.size("ents").cast("long").alias("n_ents"), F.monotonically_increasing_id().alias("uid")), "found")
+    found = base.where("n_ents > 0")
     rows = (found.select("uid", F.posexplode("ents").alias("pos", "raw"))
             .select("uid", "pos", F.posexplode(_parts(F.col("raw"))).alias("part", "p")).select("uid", "pos", "part", "p.*"))
     table = surrogates(rows.where("kind <> 'keep'"), key)
@@ -217,15 +220,12 @@ def replace_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     whole = (rows.join(table, ["kind", "norm"], "left").select("uid", "pos", "part", out.alias("out"))
              .groupBy("uid", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "out"))), lambda x: x["out"]), "").alias("out"))
              .groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]).alias("subs")))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index(text_col)
-    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)], uid.alias("uid"))
     pieces = F.split(F.col(names[at]), PATTERN, -1)
     built = F.array_join(F.zip_with(pieces, "subs", lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    joined = keyed.join(C.written(whole, "replacements"), "uid", "left")
-    new = F.when(F.col("subs").isNull(), F.col(names[at])).otherwise(built)
-    return joined.select(*[(new if i == at else F.col(n)).alias(c) for i, (c, n) in enumerate(zip(docs.columns, names))],
-                         F.coalesce(F.size("subs"), F.lit(0)).cast("long").alias("n_entities"))
+    new = found.join(C.written(whole, "replacements"), "uid").select(
+        *[(built if i == at else F.col(n)).alias(c) for i, (c, n) in enumerate(zip(docs.columns, names))], F.col("n_ents").alias("n_entities"))
+    same = base.where("n_ents = 0").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)], F.col("n_ents").alias("n_entities"))
+    return same.union(new)
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
