@@ -208,6 +208,15 @@ def trade_metrics(ledger: DataFrame, bt: BacktestParams = DEFAULT.backtest) -> D
     )
 
 
+def ledger_summary(symbols: DataFrame, ledger: DataFrame, bt: BacktestParams = DEFAULT.backtest) -> DataFrame:
+    """Final value, total return and trade statistics of each of ``symbols``; without trades, the capital and zeros."""
+    cap = F.lit(float(bt.initial_capital))
+    stats = trade_metrics(ledger, bt)
+    out = symbols.join(stats, "symbol", "left").fillna(0, [c for c in stats.columns if c not in ("symbol", "final_value")])
+    final = F.coalesce(F.col("final_value"), cap)
+    return out.withColumns({"final_value": final, "total_return": (final - cap) / cap})
+
+
 def bar_metrics(signals: DataFrame) -> DataFrame:
     """Per symbol: bar count, first/last dates, buy & hold, signal counts."""
     n = F.count(F.lit(1))

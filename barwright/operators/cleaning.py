@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.windows import SYMBOL, TS, by_symbol, trailing
 
@@ -109,6 +110,25 @@ def bin_start(ts: Column, timeframe: str) -> Column:
     raise ValueError(f"unsupported timeframe {timeframe!r}")
 
 
+def tick_order(ticks: DataFrame, tiebreak: str) -> Column:
+    """(ts, tiebreak) as one DECIMAL(38, 0), which hash aggregation can hold (a struct key sorts every map task)."""
+    if isinstance(ticks.schema["ts"].dataType, T.TimestampNTZType):
+        micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    else:
+        micros = F.unix_micros("ts")
+    return (micros.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") * F.lit(10) + F.col(tiebreak)).cast("decimal(38,0)")
+
+
+def resample_bars(bars: DataFrame, timeframe: str) -> DataFrame:
+    """OHLCV bars of a coarser ``timeframe`` from OHLCV bars: first open, max high, min low, last close, summed volume."""
+    keyed = bars.select(SYMBOL, bin_start(F.col(TS), timeframe).alias("_bin"), TS, *OHLCV)
+    out = keyed.groupBy(SYMBOL, "_bin").agg(
+        F.min_by("open", TS).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", TS).alias("close"), F.sum("volume").alias("volume"),
+    )
+    return out.withColumnRenamed("_bin", TS)
+
+
 def resample(
     ticks: DataFrame,
     timeframe: str = "1D",
@@ -119,10 +139,11 @@ def resample(
     """OHLCV per ``(symbol, bin)``: first / max / min / last price, summed volume.
 
     Ticks with a NULL price are ignored for open and close; bins without any
-    price are dropped.  Grouping by ``(symbol, bin)`` spreads a hot symbol over
-    many reducers, and the partial aggregation runs map-side.
+    price are dropped.  Ticks of one instant are ordered by ``tiebreak`` (a long).
+    Grouping by ``(symbol, bin)`` spreads a hot symbol over many reducers, and
+    the partial aggregation runs map-side.
     """
-    order = F.struct(F.col("ts"), F.col(tiebreak)) if tiebreak else F.col("ts")
+    order = tick_order(ticks, tiebreak) if tiebreak else F.col("ts")
     has_price = F.col(price).isNotNull()
     keyed = ticks.select(
         SYMBOL,

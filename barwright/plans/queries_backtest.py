@@ -84,9 +84,21 @@ def _metric(name: str, cols: str):
     return q
 
 
-_metric("m_total_return", "d:total_return, d:final_value")
-_metric("m_trade_stats", "total_trades, winning_trades, losing_trades, d:win_rate, d:avg_return, "
-        "d:avg_winning_return, d:avg_losing_return")
+def _ledger_metric(name: str, cols: str):
+    """Metrics that the ledger alone gives: one pass over the trades, nothing written."""
+    spark_cols = [c.split("=")[0].replace("d:", "") for c in cols.split(", ")]
+
+    @register(name, O.over_backtest(O.proj("symbol, " + cols), "bt_summary"))
+    def q(spark, sf_dir):
+        known = FX.derived_universe(spark, sf_dir).select("symbol").distinct()
+        return rounded(B.ledger_summary(known, ledger(spark, sf_dir)).select("symbol", *spark_cols))
+
+    return q
+
+
+_ledger_metric("m_total_return", "d:total_return, d:final_value")
+_ledger_metric("m_trade_stats", "total_trades, winning_trades, losing_trades, d:win_rate, d:avg_return, "
+               "d:avg_winning_return, d:avg_losing_return")
 _metric("m_volatility", "d:volatility")
 _metric("m_sharpe", "d:sharpe_ratio")
 _metric("m_max_drawdown", "d:max_drawdown")
@@ -101,6 +113,28 @@ def q_buy_hold(spark, sf_dir):
     return rounded(out.select("symbol", F.coalesce("buy_hold_return", F.lit(0.0)).alias("buy_hold_return")))
 
 
+EMPTY_COLS = ["total_return", "final_value", "total_trades", "win_rate", "volatility", "sharpe_ratio", "max_drawdown",
+              "buy_hold_return", "data_points", "initial_capital"]
+
+
+@register(
+    "bt_empty",
+    O.with_(O.bars_cte(), """watch AS (SELECT DISTINCT p_brand AS symbol FROM part UNION SELECT DISTINCT event_type FROM events)""")
+    + """
+SELECT symbol, CAST(0 AS DOUBLE) AS total_return, CAST(100000 AS DOUBLE) AS final_value, CAST(0 AS BIGINT) AS total_trades,
+       CAST(0 AS DOUBLE) AS win_rate, CAST(0 AS DOUBLE) AS volatility, CAST(0 AS DOUBLE) AS sharpe_ratio,
+       CAST(0 AS DOUBLE) AS max_drawdown, CAST(0 AS DOUBLE) AS buy_hold_return, CAST(0 AS BIGINT) AS data_points,
+       CAST(100000 AS DOUBLE) AS initial_capital
+FROM watch WHERE symbol NOT IN (SELECT symbol FROM bars)""",
+)
+def q_bt_empty(spark, sf_dir):
+    """The empty result of listed symbols that have no bars (tick symbols are listed, too)."""
+    listed = (FX.derived_universe(spark, sf_dir).select("symbol")
+              .union(FX.table(spark, sf_dir, "events").select("event_type")).distinct())
+    s, trades = _tables(spark, sf_dir)
+    return rounded(B.summary(s, trades, universe=listed).where("data_points = 0").select("symbol", *EMPTY_COLS))
+
+
 @register("bt_report")
 def q_bt_report(spark, sf_dir):
     return B.report(_summary(spark, sf_dir))

@@ -22,6 +22,8 @@ SCAN_END = dt.date(1999, 1, 1)
 SCAN_DAYS = 200
 VALIDATE_AS_OF = dt.date(1998, 8, 3)
 REPORT_AS_OF = dt.date(2001, 12, 31)
+INTRADAY_SYMBOL = "purchase"
+INTRADAY_START, INTRADAY_END = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 15)
 _start = SCAN_END - dt.timedelta(days=SCAN_DAYS)
 
 # ------------------------------------------------------------------ scans
@@ -38,24 +40,34 @@ TICKS_SQL = "ticks AS (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts,
 
 def _resample_sql(width_us: int, name: str = "rs") -> str:
     return f"""{name}_k AS (
-  SELECT symbol, make_timestamp(epoch_us(ts) // {width_us} * {width_us}) AS ts, price, volume, ts AS t0
+  SELECT symbol, make_timestamp(epoch_us(ts) // {width_us} * {width_us}) AS ts, price, volume, ts AS t0, event_id
   FROM ticks
 ),
 {name} AS (
-  SELECT symbol, ts, arg_min(price, t0) AS open, max(price) AS high, min(price) AS low,
-         arg_max(price, t0) AS close, sum(volume) AS volume
+  SELECT symbol, ts, first(price ORDER BY t0, event_id) AS open, max(price) AS high, min(price) AS low,
+         last(price ORDER BY t0, event_id) AS close, sum(volume) AS volume
   FROM {name}_k WHERE price IS NOT NULL GROUP BY symbol, ts
 )"""
 
 
 @register("scan_intraday", O.with_(TICKS_SQL, _resample_sql(300_000_000)) + "\nSELECT " + O.proj(O.BAR_COLS) + " FROM rs")
 def q_scan_intraday(spark, sf_dir):
-    return rounded(C.resample(FX.event_ticks(spark, sf_dir), "5m"))
+    return rounded(SB.scan_intraday(FX.event_ticks(spark, sf_dir), "5m"))
+
+
+@register(
+    "scan_intraday_range",
+    O.with_(TICKS_SQL.replace("FROM events)", f"FROM events WHERE event_type = '{INTRADAY_SYMBOL}' AND ts >= TIMESTAMP '{INTRADAY_START}' AND ts < TIMESTAMP '{INTRADAY_END}')"),
+            _resample_sql(900_000_000)) + "\nSELECT " + O.proj(O.BAR_COLS) + " FROM rs",
+)
+def q_scan_intraday_range(spark, sf_dir):
+    ticks = FX.event_ticks(spark, sf_dir)
+    return rounded(SB.scan_intraday(ticks, "15m", [INTRADAY_SYMBOL], INTRADAY_START, INTRADAY_END))
 
 
 @register("resample", O.with_(TICKS_SQL, _resample_sql(3_600_000_000)) + "\nSELECT " + O.proj(O.BAR_COLS) + " FROM rs")
 def q_resample(spark, sf_dir):
-    return rounded(C.resample(FX.event_ticks(spark, sf_dir), "1h"))
+    return rounded(C.resample(FX.event_ticks(spark, sf_dir), "1h", tiebreak="seq"))
 
 
 @register(
@@ -63,34 +75,24 @@ def q_resample(spark, sf_dir):
     O.with_(TICKS_SQL, _resample_sql(86_400_000_000)) + "\nSELECT " + O.proj(O.BAR_COLS) + " FROM rs",
 )
 def q_resample_daily(spark, sf_dir):
-    return rounded(C.resample(FX.event_ticks(spark, sf_dir), "1D"))
+    return rounded(C.resample(FX.event_ticks(spark, sf_dir), "1D", tiebreak="seq"))
 
 
-@register(
-    "resample_weekly",
-    O.over_bars(
-        O.proj("symbol, week AS ts, d:open, d:high, d:low, d:close, d:volume"),
-        "",
-    ).replace(
-        "SELECT symbol, week AS ts",
-        "SELECT symbol, week AS ts",
-    ).replace(
-        " FROM bars ",
-        """ FROM (SELECT symbol, CAST(date_trunc('week', ts) AS DATE) + 6 AS week,
-                     arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
-                     arg_max(close, ts) AS close, sum(volume) AS volume
-              FROM bars GROUP BY symbol, CAST(date_trunc('week', ts) AS DATE) + 6) w """,
-    ),
-)
+def _coarser_sql(start: str) -> str:
+    return O.with_(O.bars_cte()) + "\nSELECT " + O.proj(O.BAR_COLS) + f""" FROM (
+  SELECT symbol, {start} AS ts, arg_min(open, bars.ts) AS open, max(high) AS high, min(low) AS low,
+         arg_max(close, bars.ts) AS close, sum(volume) AS volume
+  FROM bars GROUP BY symbol, {start}) b"""
+
+
+@register("resample_weekly", _coarser_sql("CAST(date_trunc('week', bars.ts) AS DATE) + 6"))
 def q_resample_weekly(spark, sf_dir):
-    b = bars(spark, sf_dir).select("symbol", "ts", F.col("open").alias("price_open"), "high", "low", "close", "volume")
-    wk = C.bin_start(F.col("ts"), "1W")
-    keyed = b.select("symbol", wk.alias("week"), "ts", "price_open", "high", "low", "close", "volume")
-    out = keyed.groupBy("symbol", "week").agg(
-        F.min_by("price_open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"),
-    )
-    return rounded(out.withColumnRenamed("week", "ts"))
+    return rounded(C.resample_bars(bars(spark, sf_dir), "1W"))
+
+
+@register("resample_monthly", _coarser_sql("CAST(date_trunc('month', bars.ts) AS DATE)"))
+def q_resample_monthly(spark, sf_dir):
+    return rounded(C.resample_bars(bars(spark, sf_dir), "1M"))
 
 
 UNIVERSE_SQL = (
@@ -103,23 +105,28 @@ def q_universe(spark, sf_dir):
     return FX.derived_universe(spark, sf_dir)
 
 
-@register("symbol_limit", O.with_(UNIVERSE_SQL) + "\nSELECT DISTINCT symbol FROM universe ORDER BY symbol LIMIT 3")
+# brands in the order of their first part, then tick symbols, which have no daily bars
+WATCH_SQL = """watch AS (
+  SELECT p_brand AS symbol, CAST(min(p_partkey) AS BIGINT) AS position FROM part WHERE starts_with(p_brand, 'Brand#1') GROUP BY p_brand
+  UNION ALL SELECT event_type, CAST(min(event_id) AS BIGINT) + 1099511627776 FROM events GROUP BY event_type)"""
+
+
+@register("symbol_limit", O.with_(WATCH_SQL) + "\nSELECT symbol FROM watch ORDER BY position, symbol LIMIT 3")
 def q_symbol_limit(spark, sf_dir):
-    u = FX.derived_universe(spark, sf_dir).select("symbol").distinct().withColumn("position", F.lit(0))
-    return SB.symbol_limit(u, 3).select("symbol")
+    return SB.symbol_limit(FX.watch_list(spark, sf_dir), 3).select("symbol")
 
 
-@register("scan_symbols", O.with_(O.bars_cte(), UNIVERSE_SQL) + "\nSELECT "
-          + O.proj(O.BAR_COLS) + " FROM bars WHERE symbol IN (SELECT symbol FROM universe)")
+@register("scan_symbols", O.with_(O.bars_cte(), WATCH_SQL) + "\nSELECT "
+          + O.proj(O.BAR_COLS) + " FROM bars WHERE symbol IN (SELECT symbol FROM watch)")
 def q_scan_symbols(spark, sf_dir):
-    hits, _ = SB.scan_symbols(bars(spark, sf_dir), FX.derived_universe(spark, sf_dir))
+    hits, _ = SB.scan_symbols(bars(spark, sf_dir), FX.watch_list(spark, sf_dir))
     return rounded(hits)
 
 
-@register("scan_symbols_missing", O.with_(O.bars_cte(), UNIVERSE_SQL)
-          + "\nSELECT DISTINCT symbol FROM universe WHERE symbol NOT IN (SELECT symbol FROM bars)")
+@register("scan_symbols_missing", O.with_(O.bars_cte(), WATCH_SQL)
+          + "\nSELECT DISTINCT symbol FROM watch WHERE symbol NOT IN (SELECT symbol FROM bars)")
 def q_scan_symbols_missing(spark, sf_dir):
-    _, misses = SB.scan_symbols(bars(spark, sf_dir), FX.derived_universe(spark, sf_dir))
+    _, misses = SB.scan_symbols(bars(spark, sf_dir), FX.watch_list(spark, sf_dir))
     return misses
 
 
@@ -130,7 +137,7 @@ def q_scan_symbols_missing(spark, sf_dir):
                                      "d:low=round_even(low, 2), d:close=round_even(close, 2), d:volume") + " FROM rs",
 )
 def q_standardize_bars(spark, sf_dir):
-    raw = C.resample(FX.event_ticks(spark, sf_dir), "1h")
+    raw = C.resample(FX.event_ticks(spark, sf_dir), "1h", tiebreak="seq")
     vendor = raw.toDF(*["Symbol", "Date", "Open", "High", "Low", "Close", "Volume"]).withColumnRenamed("Date", "ts")
     return rounded(SB.standardize_bars(vendor).select(*["symbol", "ts", "open", "high", "low", "close", "volume"]))
 
@@ -158,7 +165,9 @@ def q_validate_symbols(spark, sf_dir):
 
 @register("dedup", O.over_bars("DISTINCT " + O.proj(O.BAR_COLS)))
 def q_dedup(spark, sf_dir):
-    return rounded(C.dedup(bars(spark, sf_dir)))
+    """Every bar, those of list MFGR_1 twice."""
+    b = bars(spark, sf_dir)
+    return rounded(C.dedup(b.unionByName(b.where(F.col("symbol").startswith("Brand#1")))))
 
 
 HOURLY_GRID_SQL = """grid AS (
@@ -179,7 +188,7 @@ def _fill(c: str) -> str:
     + " FROM gapped",
 )
 def q_ffill_bfill(spark, sf_dir):
-    hourly = C.resample(FX.event_ticks(spark, sf_dir), "1h")
+    hourly = C.resample(FX.event_ticks(spark, sf_dir), "1h", tiebreak="seq")
     return rounded(C.ffill_bfill(C.regular_grid(hourly, "1 hour")).select(
         "symbol", "ts", "open", "high", "low", "close", "volume"))
 

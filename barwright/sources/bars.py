@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import SYMBOL, TS
+from ..operators.cleaning import resample
 
 BAR_SCHEMA = T.StructType([
     T.StructField("symbol", T.StringType(), False),
@@ -40,6 +41,24 @@ def scan_daily(bars: DataFrame, end: dt.date, days: int = 200, symbols: list[str
     return out
 
 
+def scan_intraday(
+    ticks: DataFrame, interval: str = "5m", symbols: list[str] | None = None,
+    start: dt.datetime | None = None, end: dt.datetime | None = None,
+) -> DataFrame:
+    """Bars of ``interval`` (1m, 5m, 15m, 1h) from the ticks with ``start <= ts < end``, optionally of some symbols.
+
+    The bounds are plain comparisons on the tick time, so they reach the scan.
+    """
+    out = ticks
+    if start is not None:
+        out = out.filter(F.col(TS) >= F.lit(start).cast(ticks.schema[TS].dataType))
+    if end is not None:
+        out = out.filter(F.col(TS) < F.lit(end).cast(ticks.schema[TS].dataType))
+    if symbols is not None:
+        out = out.filter(F.col(SYMBOL).isin(list(symbols)))
+    return resample(out, interval, tiebreak="seq" if "seq" in ticks.columns else None)
+
+
 def standardize_bars(df: DataFrame, symbol: str | None = None) -> DataFrame:
     """Lower-case names, drop rows with any NULL, require OHLCV, round OHLC to cents.
 

@@ -92,6 +92,16 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def watch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, position): the brands of list MFGR_1, in order of their first part, then the tick
+    symbols, which have no daily bars."""
+    brands = (table(spark, sf_dir, "part").where(F.col("p_brand").startswith("Brand#1"))
+              .groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_partkey").cast("long").alias("position")))
+    quoted = (table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol"))
+              .agg((F.min("event_id") + F.lit(1 << 40)).cast("long").alias("position")))
+    return brands.unionByName(quoted)
+
+
 def derived_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Watch lists (name, symbol) derived from the part brands."""
     part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import signals as S
+from ..operators.cleaning import tick_order
 from ..session import scratch_path
 
 TICK_SCHEMA = T.StructType([
@@ -54,18 +55,19 @@ def read_tick_stream(spark: SparkSession, path: str, max_files: int | None = Non
     ev = r.load(path)
     return ev.select(
         F.col("event_type").alias("symbol"), wallclock_to_instant("ts").alias("ts"),
-        F.col("value").alias("price"), F.lit(1.0).alias("volume")
+        F.col("value").alias("price"), F.lit(1.0).alias("volume"), F.col("event_id").alias("seq")
     )
 
 
 def stream_bars(ticks: DataFrame, width: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Tumbling OHLCV bars; late ticks (older than the watermark) are dropped."""
-    w = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", width).alias("win"))
+    order = tick_order(ticks, "seq")
+    w = ticks.withColumn("_o", order).withWatermark("ts", delay).groupBy("symbol", F.window("ts", width).alias("win"))
     agg = w.agg(
-        F.min_by("price", "ts").alias("open"),
+        F.min_by("price", "_o").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", "ts").alias("close"),
+        F.max_by("price", "_o").alias("close"),
         F.sum("volume").alias("volume"),
     )
     return agg.select("symbol", instant_to_wallclock("win.start").alias("ts"), "open", "high", "low", "close", "volume")

@@ -132,3 +132,23 @@ def test_universe_without_data_gets_empty_result(spark):
     rows = {r.symbol: r for r in B.summary(sig, universe=uni).collect()}
     assert rows["NOPE"].final_value == 100000.0 and rows["NOPE"].total_trades == 0
     assert rows["NOPE"].total_return == 0.0 and rows["X"].data_points == 80
+
+
+def test_ticks_of_one_instant_are_ordered_by_their_number(spark):
+    at = dt.datetime(2024, 1, 1, 10, 0, 0)
+    rows = [("a", at, 5.0, 1.0, 30), ("a", at, 7.0, 1.0, 10), ("a", at, 6.0, 1.0, 20), ("a", at, None, 1.0, 5)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        ticks = spark.createDataFrame(rows, f"symbol string, ts {kind}, price double, volume double, seq long")
+        bars = C.resample(ticks, "5m", tiebreak="seq")
+        got = bars.first()
+        assert (got["open"], got["high"], got["low"], got["close"], got["volume"]) == (7.0, 7.0, 5.0, 5.0, 4.0)
+        assert "SortAggregate" not in bars._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coarser_bars_from_bars(spark):
+    days = [("a", dt.date(2024, 1, d), float(d), d + 1.0, d - 1.0, d + 0.5, 10.0) for d in (1, 7, 8, 31)] + [("a", dt.date(2024, 2, 1), 9.0, 9.0, 9.0, 9.0, 1.0)]
+    bars = spark.createDataFrame(days, "symbol string, ts date, open double, high double, low double, close double, volume double")
+    month = C.resample_bars(bars, "1M").orderBy("ts").collect()
+    assert [tuple(r) for r in month] == [("a", dt.date(2024, 1, 1), 1.0, 32.0, 0.0, 31.5, 40.0), ("a", dt.date(2024, 2, 1), 9.0, 9.0, 9.0, 9.0, 1.0)]
+    week = C.resample_bars(bars, "1W").orderBy("ts").first()
+    assert tuple(week) == ("a", dt.date(2024, 1, 7), 1.0, 8.0, 0.0, 7.5, 20.0)

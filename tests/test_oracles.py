@@ -14,7 +14,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 NAMES = [
     "daily_bars", "all_indicators", "signal", "current_signals", "bt_trades", "bt_equity", "bt_summary",
     "resample", "ffill_bfill", "outlier_filter", "derive_volatility", "ml_scale", "ml_features_alt", "s_bars",
-    "ema", "ema_long", "macd", "bollinger", "volume_sma", "position_size",
+    "ema", "ema_long", "macd", "bollinger", "volume_sma", "position_size", "scan_intraday_range", "resample_weekly",
+    "resample_monthly", "bt_empty", "dedup", "symbol_limit", "scan_symbols", "scan_symbols_missing", "m_trade_stats",
 ]
 
 
