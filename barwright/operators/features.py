@@ -68,9 +68,10 @@ def split(clean: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
     """Chronological split: the first ``int(n * 0.8)`` rows of each symbol train.
 
     If fewer than ``min_test_rows`` rows would be left for testing, a
-    stratified 30 % test sample is drawn instead: rows are ranked inside each
-    (symbol, target) class by a seeded hash, the lowest ``ceil(0.3 * class
-    size)`` go to test (deterministic; not the same draw as scikit-learn).
+    stratified test sample of ``ceil(0.3 * n)`` rows is drawn instead, shared
+    among the two classes by their size (the odd row goes to the larger
+    remainder, class 0 if equal): rows are ranked inside each (symbol, target)
+    class by a seeded hash (deterministic; not the same draw as scikit-learn).
     """
     rn = F.row_number().over(by_symbol())
     n_train = F.floor(F.col("n_clean") * ml.train_fraction)
@@ -85,7 +86,10 @@ def split(clean: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
     h = F.xxhash64(F.col(SYMBOL), F.col(TS), F.lit(ml.seed))
     strat_rank = F.row_number().over(cls.orderBy(h, TS))
     cls_n = F.count(F.lit(1)).over(cls)
-    strat_test = strat_rank <= F.ceil(cls_n * ml.small_test_fraction)
+    wanted = cls_n * F.ceil(F.col("n_clean") * ml.small_test_fraction)
+    odd = 2 * F.pmod(wanted, F.col("n_clean"))
+    gets_odd = (odd > F.col("n_clean")) | ((odd == F.col("n_clean")) & (F.col("target") == 0))
+    strat_test = strat_rank <= F.floor(wanted / F.col("n_clean")) + gets_odd.cast("int")
     out = out.withColumn(
         "is_train",
         F.when(small, ~strat_test).otherwise(F.col("_rn") <= F.col("_n_train")),

@@ -172,7 +172,12 @@ def q_ml_predictor(spark, sf_dir):
                               F.col("probability").alias("confidence"), "features"))
 
 
-@register("ml_split_small")
+@register(
+    "ml_split_small",
+    over_features("symbol, target, n, w // nn + CASE WHEN 2 * (w % nn) > nn OR (2 * (w % nn) = nn AND target = 0) THEN 1 ELSE 0 END AS n_test",
+                  "(SELECT symbol, target, count(*) AS n, max(n_clean) AS nn, "
+                  "count(*) * CAST(ceil(max(n_clean) * CAST(0.3 AS DOUBLE)) AS BIGINT) AS w FROM fclean GROUP BY symbol, target)"),
+)
 def q_ml_split_small(spark, sf_dir):
     """Stratified fallback split forced on every symbol (min_test_rows above any test size)."""
     from dataclasses import replace
