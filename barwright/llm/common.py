@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -118,7 +118,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit polynomial hash of each byte span, equal for equal spans anywhere."""
     if not len(starts):
         return np.zeros(0, U64)
-    power, inverse = _powers(max(21, int(len(data) + 1).bit_length()))
+    power, inverse = _powers(max(20, int(len(data) + 1).bit_length()))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(BYTE_VALUE[data] * power[:len(data)], dtype=U64, out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
