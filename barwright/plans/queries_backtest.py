@@ -74,12 +74,21 @@ def q_bt_summary(spark, sf_dir):
     return rounded(_summary(spark, sf_dir).select(*B.SUMMARY_COLUMNS))
 
 
-def _metric(name: str, cols: str):
-    spark_cols = [c.split("=")[0].replace("d:", "") for c in cols.split(", ")]
+def _known(spark, sf_dir):
+    return FX.derived_universe(spark, sf_dir).select("symbol").distinct()
 
-    @register(name, O.over_backtest(O.proj("symbol, " + cols), "bt_summary"))
+
+def _curve_metric(name: str, *cols: str):
+    """Metrics of the equity curve; the return in the Sharpe ratio comes from the ledger."""
+
+    @register(name, O.over_backtest(O.proj("symbol, " + ", ".join(f"d:{c}" for c in cols)), "bt_summary"))
     def q(spark, sf_dir):
-        return rounded(_summary(spark, sf_dir).select("symbol", *spark_cols))
+        s, trades = _tables(spark, sf_dir)
+        curve = B.curve_metrics(B.equity_curve(s, trades))
+        out = B.ledger_summary(_known(spark, sf_dir), trades).join(curve, "symbol", "left")
+        vol = F.coalesce("volatility", F.lit(0.0))
+        out = out.withColumn("sharpe_ratio", F.when(vol > 0, F.col("total_return") / vol).otherwise(F.lit(0.0)))
+        return rounded(out.select("symbol", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols]))
 
     return q
 
@@ -90,8 +99,7 @@ def _ledger_metric(name: str, cols: str):
 
     @register(name, O.over_backtest(O.proj("symbol, " + cols), "bt_summary"))
     def q(spark, sf_dir):
-        known = FX.derived_universe(spark, sf_dir).select("symbol").distinct()
-        return rounded(B.ledger_summary(known, ledger(spark, sf_dir)).select("symbol", *spark_cols))
+        return rounded(B.ledger_summary(_known(spark, sf_dir), ledger(spark, sf_dir)).select("symbol", *spark_cols))
 
     return q
 
@@ -99,18 +107,29 @@ def _ledger_metric(name: str, cols: str):
 _ledger_metric("m_total_return", "d:total_return, d:final_value")
 _ledger_metric("m_trade_stats", "total_trades, winning_trades, losing_trades, d:win_rate, d:avg_return, "
                "d:avg_winning_return, d:avg_losing_return")
-_metric("m_volatility", "d:volatility")
-_metric("m_sharpe", "d:sharpe_ratio")
-_metric("m_max_drawdown", "d:max_drawdown")
-_metric("m_excess", "d:excess_return")
+_curve_metric("m_volatility", "volatility")
+_curve_metric("m_sharpe", "sharpe_ratio")
+_curve_metric("m_max_drawdown", "max_drawdown")
 
 
 @register("m_buy_hold", O.over_backtest(O.proj("symbol, d:buy_hold_return"), "bt_summary"))
 def q_buy_hold(spark, sf_dir):
     """First and last close of each symbol's bars: no signals, no fold."""
+    return rounded(_buy_hold(spark, sf_dir))
+
+
+def _buy_hold(spark, sf_dir):
     held = B.bar_metrics(bars(spark, sf_dir).withColumn("signal", F.lit("hold")))
-    out = FX.derived_universe(spark, sf_dir).select("symbol").distinct().join(held, "symbol", "left")
-    return rounded(out.select("symbol", F.coalesce("buy_hold_return", F.lit(0.0)).alias("buy_hold_return")))
+    return _known(spark, sf_dir).join(held, "symbol", "left").select(
+        "symbol", F.coalesce("buy_hold_return", F.lit(0.0)).alias("buy_hold_return"))
+
+
+@register("m_excess", O.over_backtest(O.proj("symbol, d:excess_return"), "bt_summary"))
+def q_excess(spark, sf_dir):
+    """Return of the ledger over buy-and-hold of the bars: no equity curve."""
+    gained = B.ledger_summary(_known(spark, sf_dir), ledger(spark, sf_dir))
+    out = gained.join(_buy_hold(spark, sf_dir), "symbol")
+    return rounded(out.select("symbol", (F.col("total_return") - F.col("buy_hold_return")).alias("excess_return")))
 
 
 EMPTY_COLS = ["total_return", "final_value", "total_trades", "win_rate", "volatility", "sharpe_ratio", "max_drawdown",

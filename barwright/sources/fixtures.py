@@ -4,7 +4,7 @@
   tick whose price is ``100 + extendedprice / quantity / 10000`` rounded to
   cents (``scaled``), or ``extendedprice / quantity`` rounded to cents (raw).
   Both are computed in exact integer cents.  Ticks within a day are ordered by
-  the six-column key below, which is unique.
+  the key below, packed into one decimal.
 * ticks: symbol = event type, price = value, volume 1 per row.
 * universe: watch lists derived from the brands (``MFGR_<first digit>``).
 
@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tick order key within a day.
+# Tick order key within a day, and the decimal digits that its key columns take when packed.
 TICK_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+KEY_DIGITS = {"l_linenumber": 1, "l_partkey": 12, "l_suppkey": 10}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,22 @@ def _tick_cents(scaled: bool) -> Column:
     return F.floor((ep_c * 2 + qty) / (qty * 2)).cast("long")
 
 
+def tick_key() -> Column:
+    """The key columns of a tick, most significant first, as one DECIMAL(38, 0).
+
+    Hash aggregation can hold it, where a struct key makes every map task sort
+    its ticks.  Order, line, part and supplier identify a lineitem; a row that
+    repeats all four is the same tick again, with the same price.  A line number
+    over 9 or a key too large for its digits raises an error under ANSI mode, it
+    never changes the order.
+    """
+    key = F.coalesce("l_orderkey", F.lit(0)).cast("decimal(15,0)")
+    for c, digits in KEY_DIGITS.items():
+        shift = F.lit(10**digits).cast(f"decimal({digits + 1},0)")
+        key = (key * shift + F.coalesce(c, F.lit(0)).cast(f"decimal({digits},0)")).cast("decimal(38,0)")
+    return key
+
+
 def lineitem_ticks(spark: SparkSession, sf_dir: str, scaled: bool = True, start=None, end=None) -> DataFrame:
     """One row per lineitem: symbol, ts (ship timestamp), price_c, qty, key.
 
@@ -55,7 +72,7 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str, scaled: bool = True, start=
         F.col("l_shipdate").alias("ts"),
         _tick_cents(scaled).alias("price_c"),
         F.col("l_quantity").alias("qty"),
-        F.struct(*TICK_KEY).alias("key"),
+        tick_key().alias("key"),
     )
 
 
