@@ -66,6 +66,10 @@ class MLParams:
     seed: int = 42
     l2: float = 1.0  # inverse of C = 1.0
     max_iter: int = 1000
+    max_fit_rows: int = 200_000  # rows of one symbol that a fit reads; beyond it a hashed sample
+    tree_depth: int = 10
+    tree_min_leaf: int = 10
+    forest_trees: int = 100
 
 
 @dataclass(frozen=True)

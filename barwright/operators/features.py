@@ -1,8 +1,9 @@
 """Feature tables for next-bar direction models.
 
-All per-symbol work is window functions on the ``(symbol, ts)`` layout the
-indicators already use; split and scaling statistics are whole-partition
-windows, so no extra exchange or join is needed.
+Features and split are window functions on the ``(symbol, ts)`` layout the
+indicators already use.  Scaling statistics are a grouped aggregate (partial sums
+per map task, one small row per symbol) that is kept with the model and joined to
+the rows to scale, so new bars are scaled like the training rows.
 """
 
 from __future__ import annotations
@@ -97,18 +98,31 @@ def split(clean: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
     return out.drop("_rn", "_n_train")
 
 
+def fit_scaler(split_df: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """``symbol, means, stds``: mean and population std (0 -> 1) of the training rows, in the order of ``features``."""
+    features = features or FEATURES
+    stats = [F.avg(c).alias(f"{c}_mu") for c in features] + [F.stddev_pop(c).alias(f"{c}_sd") for c in features]
+    got = split_df.filter(F.col("is_train")).groupBy(SYMBOL).agg(*stats)
+    sds = [F.when(F.col(f"{c}_sd") == 0, F.lit(1.0)).otherwise(F.col(f"{c}_sd")) for c in features]
+    return got.select(SYMBOL, F.array(*[f"{c}_mu" for c in features]).alias("means"), F.array(*sds).alias("stds"))
+
+
+def transform(df: DataFrame, scaler: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """``df`` with each feature standardised by ``scaler``; symbols it does not know have no rows."""
+    features = features or FEATURES
+    joined = df.join(scaler.select(SYMBOL, "means", "stds"), SYMBOL)
+    cols = [((F.col(c) - F.col("means")[i]) / F.col("stds")[i]).alias(c) for i, c in enumerate(features)]
+    return joined.select(*[c for c in df.columns if c not in features], *cols)
+
+
 def scale(split_df: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
-    """Standardise each feature with the training rows' mean and population std (0 -> 1)."""
-    w = _whole()
-    cols = []
-    for c in feature_columns(ml.max_lag):
-        x = F.when(F.col("is_train"), F.col(c))
-        mu = F.avg(x).over(w)
-        sd = F.stddev_pop(x).over(w)
-        sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-        cols.append(((F.col(c) - mu) / sd).alias(c))
-    keep = [c for c in split_df.columns if c not in feature_columns(ml.max_lag)]
-    return split_df.select(*keep, *cols)
+    """Standardise each feature by the training rows; pass a materialized table, it is read twice."""
+    features = feature_columns(ml.max_lag)
+    return transform(split_df, fit_scaler(split_df, features), features)
+
+
+ALT_FEATURES = ["RSI", "MA_20", "MA_50", "MACD", "MACD_Signal", "MACD_Hist", "Volume_Change", "Price_Change",
+                "Close_Lag1", "Close_Lag2", "Volatility"]
 
 
 def alt_features(bars: DataFrame, ind: IndicatorParams = DEFAULT.indicators, min_rows: int = 20) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Per-symbol logistic regression: fit, predict, evaluate, persist.
+"""Next-bar direction models: fit, predict, evaluate, persist.
 
 Model: L2-regularised logistic regression (C = 1, intercept not penalised)
 on standardised features, one model per symbol.  The optimum is unique, so a
 Newton solve gives the same coefficients any exact solver would.
 
 The fit is the only Python step: ``groupBy(symbol).applyInPandas`` hands one
-symbol's training rows (bounded by its bar history, ~33 doubles per bar) to a
+symbol's training rows (at most about ``max_fit_rows``, 33 doubles each) to a
 numpy Newton solver.  Scoring, the "latest" row and every metric are JVM
 expressions and aggregates over the coefficient table joined by symbol.
 """
@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MLParams
 from ..functions.windows import SYMBOL, TS
-from .features import feature_columns
+from .features import feature_columns, transform
 
 COEF_SCHEMA = "symbol string, intercept double, coef array<double>, n_train long, iterations int"
 
@@ -43,14 +45,19 @@ def _newton(X: np.ndarray, y: np.ndarray, l2: float, max_iter: int) -> tuple[np.
     return w, it
 
 
-def fit_logistic(scaled: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
-    """Coefficients per symbol from the training rows of a scaled feature table."""
-    feats = feature_columns(ml.max_lag)
+def fit_logistic(scaled: DataFrame, ml: MLParams = DEFAULT.ml, features: list[str] | None = None,
+                 target: str = "target") -> DataFrame:
+    """Coefficients per symbol from the training rows of a scaled feature table.
+
+    A symbol of more than ``ml.max_fit_rows`` clean rows (``n_clean``) is fitted on a hashed sample of about
+    that many, so that a task's group is bounded; every row is scored.
+    """
+    feats = features or feature_columns(ml.max_lag)
     l2, max_iter = ml.l2, ml.max_iter
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         X = pdf[feats].to_numpy(dtype=float)
-        y = pdf["target"].to_numpy(dtype=float)
+        y = pdf[target].to_numpy(dtype=float)
         if len(np.unique(y)) < 2:  # one class only: constant model
             w = np.zeros(len(feats) + 1)
             w[0] = 40.0 if y.size and y[0] == 1 else -40.0
@@ -62,13 +69,14 @@ def fit_logistic(scaled: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
             "n_train": [len(pdf)], "iterations": [it],
         })
 
-    train = scaled.filter(F.col("is_train")).select(SYMBOL, *feats, "target")
+    chosen = F.pmod(F.xxhash64(SYMBOL, TS, F.lit(ml.seed)), F.col("n_clean")) < ml.max_fit_rows
+    train = scaled.filter(F.col("is_train") & chosen).select(SYMBOL, *feats, target)
     return train.groupBy(SYMBOL).applyInPandas(fit, COEF_SCHEMA)
 
 
-def score(scaled: DataFrame, coefs: DataFrame, ml: MLParams = DEFAULT.ml) -> DataFrame:
+def score(scaled: DataFrame, coefs: DataFrame, ml: MLParams = DEFAULT.ml, features: list[str] | None = None) -> DataFrame:
     """Add ``decision``, ``probability`` (P(up)) and ``prediction`` to every row."""
-    feats = feature_columns(ml.max_lag)
+    feats = features or feature_columns(ml.max_lag)
     joined = scaled.join(coefs.select(SYMBOL, "intercept", "coef"), SYMBOL)
     decision = F.col("intercept")
     for i, c in enumerate(feats):
@@ -119,18 +127,73 @@ def evaluate(scored: DataFrame) -> DataFrame:
 
 def latest(scored: DataFrame) -> DataFrame:
     """The newest row of each symbol with its class and confidence (max probability)."""
-    w = Window.partitionBy(SYMBOL).orderBy(F.col(TS).desc())
-    last = scored.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    last = scored.groupBy(SYMBOL).agg(
+        F.max(TS).alias(TS), F.max_by("prediction", TS).alias("latest_prediction"),
+        F.max_by("probability", TS).alias("probability"))
     return last.select(
-        SYMBOL, TS, F.col("prediction").alias("latest_prediction"),
+        SYMBOL, TS, "latest_prediction",
         F.greatest(F.col("probability"), F.lit(1.0) - F.col("probability")).alias("confidence"),
         "probability",
     )
 
 
-def save(coefs: DataFrame, path: str) -> None:
-    coefs.write.mode("overwrite").parquet(path)
+def for_all(symbols: DataFrame, results: DataFrame) -> DataFrame:
+    """A result row for each of ``symbols``: those without a model get accuracy, confidence and
+    probability 0.5 and class 0."""
+    defaults = {"accuracy": 0.5, "latest_prediction": 0, "confidence": 0.5, "probability": 0.5}
+    out = symbols.select(SYMBOL).distinct().join(results, SYMBOL, "left")
+    return out.fillna({c: v for c, v in defaults.items() if c in results.columns})
+
+
+# ---------------------------------------------------------------- saved models
+
+
+def bundle(coefs: DataFrame, scaler: DataFrame, features: list[str] | None = None, model_type: str = "logistic_regression") -> DataFrame:
+    """All that scoring new bars needs, one row per symbol: features, their means and stds, coefficients."""
+    names = F.array(*[F.lit(c) for c in features or feature_columns()])
+    return coefs.join(scaler, SYMBOL).withColumns({"features": names, "model_type": F.lit(model_type)})
+
+
+def save(bundled: DataFrame, path: str) -> None:
+    bundled.write.mode("overwrite").parquet(path)
 
 
 def load(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def score_with(rows: DataFrame, bundled: DataFrame) -> DataFrame:
+    """Raw feature rows (of new bars, say) scaled and scored by a saved model."""
+    first = bundled.select("features").first()  # one row: the feature names are the same for all symbols
+    if first is None:
+        raise ValueError("the saved model holds no symbol")
+    features = list(first[0])
+    return score(transform(rows, bundled, features), bundled, features=features)
+
+
+# ---------------------------------------------------------------- trees
+
+
+def fit_trees(scaled: DataFrame, features: list[str] | None = None, model_type: str = "decision_tree", ml: MLParams = DEFAULT.ml):
+    """A decision tree or a random forest (MLlib) over the training rows of all symbols together.
+
+    Features are standardised per symbol, so one model serves all; any other
+    ``model_type`` is an error.
+    """
+    feats = features or feature_columns(ml.max_lag)
+    common = {"featuresCol": "x", "labelCol": "target", "maxDepth": ml.tree_depth, "seed": ml.seed}
+    if model_type == "decision_tree":
+        learner = DecisionTreeClassifier(minInstancesPerNode=ml.tree_min_leaf, **common)
+    elif model_type == "random_forest":
+        learner = RandomForestClassifier(numTrees=ml.forest_trees, **common)
+    else:
+        raise ValueError(f"unknown tree model {model_type!r}")
+    rows = VectorAssembler(inputCols=feats, outputCol="x").transform(scaled.filter(F.col("is_train")))
+    return learner.fit(rows.select("x", F.col("target").cast("double").alias("target")))
+
+
+def importance(model, spark, features: list[str] | None = None, top: int = 5) -> DataFrame:
+    """``rank, feature, importance``: the features a tree model splits on most, ties in feature order."""
+    feats = features or feature_columns()
+    ranked = sorted(zip(feats, model.featureImportances.toArray()), key=lambda r: -r[1])[:top]
+    return spark.createDataFrame([(i, f, float(v)) for i, (f, v) in enumerate(ranked, 1)], "rank int, feature string, importance double")

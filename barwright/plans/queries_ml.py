@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.materialize import materialize
 from ..operators import features as FE
 from ..operators import model as M
 from ..session import scratch_path
+from ..sources import fixtures as FX
 from ..sources import sinks as SK
 from . import oracle as O
 from .catalog import register, rounded
@@ -49,8 +51,19 @@ def raw(spark, sf_dir):
     return FE.raw_features(bars(spark, sf_dir))
 
 
+def split_rows(spark, sf_dir):
+    """The split feature table, written once: scaler and rows both read it."""
+    return materialize(FE.split(FE.clean_features(raw(spark, sf_dir))))
+
+
 def scaled(spark, sf_dir):
-    return FE.scale(FE.split(FE.clean_features(raw(spark, sf_dir))))
+    return FE.scale(split_rows(spark, sf_dir))
+
+
+def listed(spark, sf_dir):
+    """Every listed symbol: the brands and the tick symbols, which have no daily bars."""
+    return (FX.derived_universe(spark, sf_dir).select("symbol")
+            .union(FX.table(spark, sf_dir, "events").select("event_type")).distinct())
 
 
 @register("ml_target", over_features("symbol, ts, target", "f1"))
@@ -88,10 +101,14 @@ def q_ml_split(spark, sf_dir):
     return FE.split(FE.clean_features(raw(spark, sf_dir))).select("symbol", "ts", "target", "is_train")
 
 
-def _scale_expr(c: str) -> str:
+def _z(c: str) -> str:
     mu = f"avg(CASE WHEN is_train THEN {c} END) OVER (PARTITION BY symbol)"
     sd = f"stddev_pop(CASE WHEN is_train THEN {c} END) OVER (PARTITION BY symbol)"
-    return f"d:{c}=({c} - {mu}) / (CASE WHEN {sd} = 0 THEN 1.0 ELSE {sd} END)"
+    return f"({c} - {mu}) / (CASE WHEN {sd} = 0 THEN 1.0 ELSE {sd} END)"
+
+
+def _scale_expr(c: str) -> str:
+    return f"d:{c}={_z(c)}"
 
 
 @register(
@@ -133,8 +150,8 @@ def q_ml_features_alt(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    sc = materialize(scaled(spark, sf_dir))
-    coefs = M.fit_logistic(sc)
+    sc = scaled(spark, sf_dir)
+    coefs = materialize(M.fit_logistic(sc))
     return sc, coefs, M.score(sc, coefs)
 
 
@@ -153,7 +170,7 @@ def q_ml_predict_all(spark, sf_dir):
 @register("ml_predict_next")
 def q_ml_predict_next(spark, sf_dir):
     _, _, s = _scored(spark, sf_dir)
-    return rounded(M.latest(s))
+    return rounded(M.for_all(listed(spark, sf_dir), M.latest(s)))
 
 
 @register("ml_evaluate")
@@ -164,14 +181,88 @@ def q_ml_evaluate(spark, sf_dir):
 
 @register("ml_predictor")
 def q_ml_predictor(spark, sf_dir):
-    _, _, s = _scored(spark, sf_dir)
-    last = M.latest(s).select("symbol", "ts", "latest_prediction", "probability")
-    feats = s.select("symbol", "ts", F.array(*FEATS).alias("features"))
-    out = last.join(feats, ["symbol", "ts"])
+    """Direction, P(up) and the raw newest row of the second feature set, by a model of that set."""
+    alt = FE.alt_features(bars(spark, sf_dir))
+    rows = materialize(FE.split(alt.withColumn("n_clean", F.count(F.lit(1)).over(Window.partitionBy("symbol")))))
+    scaler = FE.fit_scaler(rows, FE.ALT_FEATURES)
+    sc = FE.transform(rows, scaler, FE.ALT_FEATURES)
+    s = M.score(sc, M.fit_logistic(sc, features=FE.ALT_FEATURES, target="Target"), features=FE.ALT_FEATURES)
+    newest = rows.select("symbol", "ts", F.array(*FE.ALT_FEATURES).alias("features"))
+    out = M.for_all(listed(spark, sf_dir), M.latest(s).join(newest, ["symbol", "ts"]))
     return rounded(out.select("symbol", "ts", F.col("latest_prediction").alias("direction"),
                               F.col("probability").alias("confidence"), "features"))
 
 
+@register("ml_importance")
+def q_ml_importance(spark, sf_dir):
+    """The five features that a decision tree over all symbols splits on most."""
+    return rounded(M.importance(M.fit_trees(scaled(spark, sf_dir)), spark))
+
+
+# A coefficient table that SQL can state: P(up) grows with MACD less its signal line, both standardised.
+RULE = {"macd": 1.0, "macd_signal": -1.0}
+_RULE_CTE = f"""rule0 AS (
+  SELECT symbol, ts, is_train, target,
+         {_z('macd')} - {_z('macd_signal')} AS decision
+  FROM fsplit
+),
+rule AS (
+  SELECT *, 1.0 / (1.0 + exp(-decision)) AS probability, CASE WHEN decision > 0 THEN 1 ELSE 0 END AS prediction FROM rule0
+)"""
+
+
+def _over_rule(select: str, frm: str, tail: str = "", *ctes: str) -> str:
+    return O.with_(O.bars_cte(), O.indicators_ctes(), FEATURES_CTES, _RULE_CTE, *ctes) + f"\nSELECT {select} FROM {frm} {tail}"
+
+
+def _by_rule(spark, sf_dir):
+    sc = scaled(spark, sf_dir)
+    coef = F.array(*[F.lit(RULE.get(c, 0.0)) for c in FEATS])
+    return M.score(sc, sc.select("symbol").distinct().select("symbol", F.lit(0.0).alias("intercept"), coef.alias("coef")))
+
+
+@register("ml_predict_all_rule", _over_rule(O.proj("symbol, ts, is_train, target, d:probability, prediction"), "rule"))
+def q_ml_predict_all_rule(spark, sf_dir):
+    return rounded(_by_rule(spark, sf_dir).select("symbol", "ts", "is_train", "target", "probability", "prediction"))
+
+
+@register(
+    "ml_predict_next_rule",
+    _over_rule(O.proj("symbol, ts, coalesce(prediction, 0) AS latest_prediction, d:confidence=coalesce(greatest(probability, 1.0 - probability), 0.5), "
+                      "d:probability=coalesce(probability, 0.5)"),
+               "known LEFT JOIN newest USING (symbol)", "",
+               "known AS (SELECT DISTINCT p_brand AS symbol FROM part UNION SELECT DISTINCT event_type FROM events)",
+               "newest AS (SELECT * FROM rule QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"),
+)
+def q_ml_predict_next_rule(spark, sf_dir):
+    return rounded(M.for_all(listed(spark, sf_dir), M.latest(_by_rule(spark, sf_dir))))
+
+
+SCORES = ["accuracy", "precision", "recall", "f1_score", "total_samples", "positive_samples", "negative_samples"]
+
+
+@register(
+    "ml_evaluate_rule",
+    _over_rule(O.proj("symbol, d:accuracy=(tp + tn) / n, d:precision=(p0 * neg + p1 * pos) / n, d:recall=(r0 * neg + r1 * pos) / n, "
+                      "d:f1_score=(coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) * neg + coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) * pos) / n, "
+                      "CAST(n AS BIGINT) AS total_samples, CAST(pos AS BIGINT) AS positive_samples, CAST(neg AS BIGINT) AS negative_samples"),
+               "parts", "",
+               """hits AS (
+  SELECT symbol, CAST(count(*) AS DOUBLE) AS n, CAST(sum(target) AS DOUBLE) AS pos, CAST(sum(1 - target) AS DOUBLE) AS neg,
+         CAST(sum(target * prediction) AS DOUBLE) AS tp, CAST(sum((1 - target) * (1 - prediction)) AS DOUBLE) AS tn,
+         CAST(sum(prediction) AS DOUBLE) AS said1, CAST(sum(1 - prediction) AS DOUBLE) AS said0
+  FROM rule WHERE NOT is_train GROUP BY symbol
+)""",
+               """parts AS (
+  SELECT *, coalesce(tp / nullif(said1, 0), 0) AS p1, coalesce(tn / nullif(said0, 0), 0) AS p0,
+         coalesce(tp / nullif(pos, 0), 0) AS r1, coalesce(tn / nullif(neg, 0), 0) AS r0
+  FROM hits
+)"""),
+)
+def q_ml_evaluate_rule(spark, sf_dir):
+    return rounded(M.evaluate(_by_rule(spark, sf_dir)).select("symbol", *SCORES))
+
+
 @register(
     "ml_split_small",
     over_features("symbol, target, n, w // nn + CASE WHEN 2 * (w % nn) > nn OR (2 * (w % nn) = nn AND target = 0) THEN 1 ELSE 0 END AS n_test",
@@ -193,8 +284,8 @@ def q_ml_split_small(spark, sf_dir):
 @register("sink_ml")
 def q_sink_ml(spark, sf_dir):
     _, _, s = _scored(spark, sf_dir)
-    ev = M.evaluate(s).select("symbol", "accuracy")
-    preds = ev.join(M.latest(s), "symbol")
+    s = s.select("symbol", "ts", "is_train", "target", "prediction", "probability")
+    preds = M.for_all(listed(spark, sf_dir), M.evaluate(s).select("symbol", "accuracy").join(M.latest(s), "symbol"))
     path = scratch_path(spark, "ml_predictions")
     SK.write_table(rounded(SK.ml_table(preds, REPORT_AS_OF)), path)
     return spark.read.parquet(path)
@@ -202,7 +293,11 @@ def q_sink_ml(spark, sf_dir):
 
 @register("model_save_load")
 def q_model_save_load(spark, sf_dir):
-    _, coefs, _ = _scored(spark, sf_dir)
+    """Models with scaler and feature names, saved, loaded, and used on the newest raw features."""
+    rows = split_rows(spark, sf_dir)
+    scaler = FE.fit_scaler(rows)
     path = scratch_path(spark, "model")
-    M.save(coefs, path)
-    return M.load(spark, path)
+    M.save(M.bundle(M.fit_logistic(FE.transform(rows, scaler)), scaler), path)
+    saved = M.load(spark, path)
+    last = M.latest(M.score_with(rows.select("symbol", "ts", *FEATS), saved))
+    return rounded(saved.join(last, "symbol"))

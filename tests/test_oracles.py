@@ -16,6 +16,7 @@ NAMES = [
     "resample", "ffill_bfill", "outlier_filter", "derive_volatility", "ml_scale", "ml_features_alt", "s_bars",
     "ema", "ema_long", "macd", "bollinger", "volume_sma", "position_size", "scan_intraday_range", "resample_weekly",
     "resample_monthly", "bt_empty", "dedup", "symbol_limit", "scan_symbols", "scan_symbols_missing", "m_trade_stats", "ml_split_small",
+    "ml_evaluate_rule", "ml_predict_next_rule", "m_volatility", "m_excess",
 ]
 
 
@@ -51,7 +52,7 @@ def test_query_matches_sql(spark, small_dir, con, name):
 def test_every_query_has_sql_or_is_model_or_stream():
     no_sql = {name for name, q in REGISTRY.items() if q.sql is None}  # the llm queries have tests of their own
     assert no_sql <= {"ml_train", "ml_predict_all", "ml_predict_next", "ml_evaluate", "ml_predictor",
-                      "sink_ml", "model_save_load", "bt_report"}
+                      "ml_importance", "sink_ml", "model_save_load", "bt_report"}
 
 
 def test_entry_runs(spark):
