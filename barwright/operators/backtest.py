@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,72 +292,57 @@ def summary(
     )
 
 
-def signal_distribution_map(summary_df: DataFrame) -> DataFrame:
-    """``symbol, signal_distribution map<string,long>`` (non-zero counts only)."""
-    entries = F.filter(
-        F.array(
-            F.struct(F.lit("buy").alias("key"), F.col("signals_buy").alias("value")),
-            F.struct(F.lit("hold").alias("key"), F.col("signals_hold").alias("value")),
-            F.struct(F.lit("sell").alias("key"), F.col("signals_sell").alias("value")),
-        ),
-        lambda e: e["value"] > 0,
-    )
-    return summary_df.select("symbol", F.map_from_entries(entries).alias("signal_distribution"))
-
-
-# Report layout and number formats of the surveyed report.
+# Report layout and number formats of the surveyed report, in printf notation.
 REPORT_TEMPLATE = """
-BACKTEST REPORT - {symbol}
+BACKTEST REPORT - %s
 {rule}
 
 PERFORMANCE SUMMARY:
-Total Return:           {total_return:.2%}
-Buy & Hold Return:      {buy_hold_return:.2%}
-Excess Return:          {excess_return:.2%}
-Final Portfolio Value:  ${final_value:,.2f}
+Total Return:           %.2f%%
+Buy & Hold Return:      %.2f%%
+Excess Return:          %.2f%%
+Final Portfolio Value:  $%,.2f
 
 RISK METRICS:
-Volatility (Annual):    {volatility:.2%}
-Sharpe Ratio:          {sharpe_ratio:.2f}
-Maximum Drawdown:      {max_drawdown:.2%}
+Volatility (Annual):    %.2f%%
+Sharpe Ratio:          %.2f
+Maximum Drawdown:      %.2f%%
 
 TRADING STATISTICS:
-Total Trades:          {total_trades}
-Winning Trades:        {winning_trades}
-Losing Trades:         {losing_trades}
-Win Rate:             {win_rate:.1%}
+Total Trades:          %d
+Winning Trades:        %d
+Losing Trades:         %d
+Win Rate:             %.1f%%
 
 AVERAGE RETURNS:
-Average Return/Trade:  ${avg_return:,.2f}
-Average Winning Trade: ${avg_winning_return:,.2f}
-Average Losing Trade:  ${avg_losing_return:,.2f}
+Average Return/Trade:  $%,.2f
+Average Winning Trade: $%,.2f
+Average Losing Trade:  $%,.2f
 
 DATA INFO:
-Data Points:          {data_points}
-Signal Distribution:  {distribution}
-"""
-
-_REPORT_FIELDS = [
-    "symbol", "total_return", "buy_hold_return", "excess_return", "final_value", "volatility", "sharpe_ratio",
-    "max_drawdown", "total_trades", "winning_trades", "losing_trades", "win_rate", "avg_return",
-    "avg_winning_return", "avg_losing_return", "data_points", "signals_buy", "signals_sell", "signals_hold",
+Data Points:          %d
+Signal Distribution:  %s
+""".format(rule="=" * 50)
+
+#: What fills the template, in order: column, what it is multiplied by, decimals (None: as it is).
+REPORT_FIELDS = [
+    ("symbol", None, None), ("total_return", 100, 2), ("buy_hold_return", 100, 2), ("excess_return", 100, 2),
+    ("final_value", 1, 2), ("volatility", 100, 2), ("sharpe_ratio", 1, 2), ("max_drawdown", 100, 2),
+    ("total_trades", None, None), ("winning_trades", None, None), ("losing_trades", None, None), ("win_rate", 100, 1),
+    ("avg_return", 1, 2), ("avg_winning_return", 1, 2), ("avg_losing_return", 1, 2), ("data_points", None, None),
 ]
 
 
-def report(summary_df: DataFrame) -> DataFrame:
-    """``symbol, report``: the formatted text report of each summary row.
-
-    Number formatting is Python's (``.2%``, ``,.2f``), applied by a vectorised
-    pandas UDF over the one-row-per-symbol summary.
-    """
+def distribution_text() -> Column:
+    """The signals that occur with their counts, most frequent first, equal counts by name."""
+    found = F.filter(
+        F.array(*[F.struct((-F.col(f"signals_{k}")).alias("n"), F.lit(k).alias("name")) for k in ("buy", "hold", "sell")]),
+        lambda e: e["n"] < 0)
+    parts = F.transform(F.array_sort(found), lambda e: F.concat(F.lit("'"), e["name"], F.lit("': "), (-e["n"]).cast("string")))
+    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
 
-    @F.pandas_udf("string")
-    def fmt(s: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in s.itertuples(index=False):
-            d = r._asdict()
-            dist = {k: int(d[f"signals_{k}"]) for k in ("hold", "sell", "buy") if d[f"signals_{k}"]}
-            out.append(REPORT_TEMPLATE.format(rule="=" * 50, distribution=dist, **d))
-        return pd.Series(out)
 
-    return summary_df.select("symbol", fmt(F.struct(*_REPORT_FIELDS)).alias("report"))
+def report(summary_df: DataFrame) -> DataFrame:
+    """``symbol, report``: the formatted text report of each summary row."""
+    shown = [F.col(c) if digits is None else F.round(F.col(c) * by, digits) + F.lit(0.0) for c, by, digits in REPORT_FIELDS]
+    return summary_df.select("symbol", F.format_string(REPORT_TEMPLATE, *shown, distribution_text()).alias("report"))

@@ -169,7 +169,7 @@ IND_COLS = (
 )
 
 
-def signals_ctes(src: str = "ind", out: str = "sig") -> str:
+def signals_ctes(src: str = "ind", out: str = "sig", bonus: float = 0.1) -> str:
     return f"""{out}_a AS (
   SELECT *, CASE WHEN s20 * n50 > s50 * n20 THEN 1 ELSE -1 END AS ma_cross
   FROM {src}
@@ -197,9 +197,9 @@ def signals_ctes(src: str = "ind", out: str = "sig") -> str:
       (CASE WHEN is_sell THEN (rsi - 70.0) / 30.0 * 0.5 + (CASE WHEN cross_down THEN 1.0 ELSE 0.0 END) * 0.5
             WHEN is_buy THEN (30.0 - rsi) / 30.0 * 0.5 + (CASE WHEN cross_up THEN 1.0 ELSE 0.0 END) * 0.5
             ELSE 0.0 END
-       + CASE WHEN (is_sell OR is_buy) AND volume_spike THEN 0.1 ELSE 0.0 END)
-       + CASE WHEN is_sell AND macd_bearish THEN 0.1 WHEN is_sell THEN 0.0
-              WHEN is_buy AND macd_bullish THEN 0.1 ELSE 0.0 END,
+       + CASE WHEN (is_sell OR is_buy) AND volume_spike THEN {bonus} ELSE 0.0 END)
+       + CASE WHEN is_sell AND macd_bearish THEN {bonus} WHEN is_sell THEN 0.0
+              WHEN is_buy AND macd_bullish THEN {bonus} ELSE 0.0 END,
       1.0) AS signal_strength,
     concat_ws(' ', CASE WHEN oversold THEN 'RSI_OVERSOLD' END, CASE WHEN cross_up THEN 'MA_CROSSOVER_UP' END,
                    CASE WHEN overbought THEN 'RSI_OVERBOUGHT' END, CASE WHEN cross_down THEN 'MA_CROSSOVER_DOWN' END)

@@ -154,6 +154,22 @@ def q_bt_empty(spark, sf_dir):
     return rounded(B.summary(s, trades, universe=listed).where("data_points = 0").select("symbol", *EMPTY_COLS))
 
 
-@register("bt_report")
+def _report_sql() -> str:
+    """The same layout in DuckDB's printf, which has no thousands separator beside %: those go through format."""
+    args = []
+    for c, by, digits in B.REPORT_FIELDS:
+        if digits is None:
+            args.append(c)
+        elif by == 1 and c != "sharpe_ratio":
+            args.append(f"format('{{:,.{digits}f}}', round({c}, {digits}) + 0.0)")
+        else:
+            args.append(f"round({c} * {by}, {digits}) + 0.0")
+    template = B.REPORT_TEMPLATE.replace("%,.2f", "%s")
+    distribution = """(SELECT string_agg(name || ': ' || n, ', ' ORDER BY n DESC, name)
+    FROM (VALUES ('''buy''', signals_buy), ('''hold''', signals_hold), ('''sell''', signals_sell)) d(name, n) WHERE n > 0)"""
+    return f"symbol, printf('{template}', {', '.join(args)}, '{{' || {distribution} || '}}') AS report"
+
+
+@register("bt_report", O.over_backtest(_report_sql(), "bt_summary"))
 def q_bt_report(spark, sf_dir):
     return B.report(_summary(spark, sf_dir))

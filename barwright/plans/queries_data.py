@@ -133,12 +133,15 @@ def q_scan_symbols_missing(spark, sf_dir):
 @register(
     "standardize_bars",
     O.with_(TICKS_SQL, _resample_sql(3_600_000_000))
-    + "\nSELECT symbol, ts, " + O.proj("d:open=round_even(open, 2), d:high=round_even(high, 2), "
-                                     "d:low=round_even(low, 2), d:close=round_even(close, 2), d:volume") + " FROM rs",
+    + "\nSELECT symbol, ts, " + O.proj(", ".join(f"d:{c}=round_even({c} / 7, 2)" for c in ("open", "high", "low", "close")) + ", d:volume")
+    + " FROM rs WHERE hour(ts) <> 12",
 )
 def q_standardize_bars(spark, sf_dir):
     raw = C.resample(FX.event_ticks(spark, sf_dir), "1h", tiebreak="seq")
-    vendor = raw.toDF(*["Symbol", "Date", "Open", "High", "Low", "Close", "Volume"]).withColumnRenamed("Date", "ts")
+    # a vendor's feed: prices of a seventh lot, with parts of a cent, and no volume at noon
+    vendor = raw.select(
+        F.col("symbol").alias("Symbol"), "ts", *[(F.col(c) / 7).alias(c.title()) for c in ("open", "high", "low", "close")],
+        F.when(F.hour("ts") != 12, F.col("volume")).alias("Volume"))
     return rounded(SB.standardize_bars(vendor).select(*["symbol", "ts", "open", "high", "low", "close", "volume"]))
 
 
@@ -204,12 +207,14 @@ def q_outlier_filter(spark, sf_dir):
 
 @register(
     "coerce_numeric",
-    "SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events",
+    "SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, "
+    "TRY_CAST(json_extract_string(props, '$.k') || CASE WHEN event_type = 'click' THEN ' units' ELSE '' END AS DOUBLE) AS k FROM events",
 )
 def q_coerce_numeric(spark, sf_dir):
     ev = FX.table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.get_json_object("props", "$.k").alias("k"),
+        # clicks carry a unit, which no number has
+        F.concat(F.get_json_object("props", "$.k"), F.when(F.col("event_type") == "click", " units").otherwise("")).alias("k"),
     )
     return C.coerce_numeric(ev, ["k"])
 

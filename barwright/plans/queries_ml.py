@@ -81,14 +81,30 @@ def q_ml_clean(spark, sf_dir):
     return rounded(FE.clean_features(raw(spark, sf_dir)).select("symbol", "ts", *FEATS, "target"))
 
 
+# Beside each symbol, its first 100 bars (too few clean rows) and its first 99 (too few bars).
+_SHORT_BARS = O.bars_cte("all_bars") + """,
+bars AS (
+  SELECT * FROM all_bars
+  UNION ALL
+  SELECT symbol || '/' || n, ts, open, high, low, close, volume
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM all_bars)
+  JOIN (VALUES (100), (99)) short(n) ON rn <= n
+)"""
+
+
 @register(
     "ml_min_rows",
-    over_features("symbol, max(n_raw) AS n_raw, count(*) FILTER (WHERE n_raw >= 100 AND n_clean IS NOT NULL) AS n_clean, "
-                  "max(n_raw) >= 100 AND count(*) FILTER (WHERE n_clean IS NOT NULL) >= 50 AS trainable",
-                  "(SELECT f1.symbol, f1.n_raw, fc.n_clean FROM f1 LEFT JOIN fc USING (symbol, ts))", "GROUP BY symbol"),
+    O.with_(_SHORT_BARS, O.indicators_ctes(), FEATURES_CTES) + """
+SELECT symbol, max(n_raw) AS n_raw, count(*) FILTER (WHERE n_raw >= 100 AND n_clean IS NOT NULL) AS n_clean,
+       max(n_raw) >= 100 AND count(*) FILTER (WHERE n_clean IS NOT NULL) >= 50 AS trainable
+FROM (SELECT f1.symbol, f1.n_raw, fc.n_clean FROM f1 LEFT JOIN fc USING (symbol, ts)) GROUP BY symbol""",
 )
 def q_ml_min_rows(spark, sf_dir):
-    r = raw(spark, sf_dir)
+    b = bars(spark, sf_dir)
+    rn = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
+    short = b.withColumn("rn", rn).withColumn("n", F.explode(F.array(F.lit(100), F.lit(99)))).where("rn <= n")
+    short = short.withColumn("symbol", F.concat("symbol", F.lit("/"), F.col("n").cast("string")))
+    r = FE.raw_features(b.unionByName(short.select(*b.columns)))
     clean_flag = F.when(F.col("n_raw") >= 100, F.lit(1))
     for c in FEATS:
         clean_flag = F.when(F.col(c).isNotNull(), clean_flag)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..operators import signals as S
 from . import oracle as O
 from .catalog import register, rounded
-from .queries_core import signals
+from .queries_core import bars, signals
 
 CAPITAL = 100000.0
 
@@ -41,15 +44,20 @@ def q_confirm_macd(spark, sf_dir):
     return _sig(spark, sf_dir, "macd_bullish", "macd_bearish")
 
 
+STRONG = replace(DEFAULT.strategy, confirm_bonus=0.6)  # so large a bonus that strengths reach the cap
+
+
 @register(
     "clip_strength",
-    O.over_signals("symbol, signal, count(*) AS n, count(*) FILTER (WHERE signal_strength >= 1.0) AS n_capped",
-                   "GROUP BY symbol, signal"),
+    O.with_(O.bars_cte(), O.indicators_ctes(), O.signals_ctes(bonus=STRONG.confirm_bonus))
+    + "\nSELECT symbol, signal, count(*) AS n, count(*) FILTER (WHERE signal_strength >= 1.0) AS n_capped, "
+    + O.proj("d:strongest=max(signal_strength)") + " FROM sig GROUP BY symbol, signal",
 )
 def q_clip_strength(spark, sf_dir):
-    s = signals(spark, sf_dir)
-    return s.groupBy("symbol", "signal").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("signal_strength") >= 1.0, 1)).alias("n_capped"))
+    s = S.generate_signals(bars(spark, sf_dir), st=STRONG)
+    return rounded(s.groupBy("symbol", "signal").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("signal_strength") >= 1.0, 1)).alias("n_capped"),
+        F.max("signal_strength").alias("strongest")))
 
 
 @register(

@@ -52,7 +52,7 @@ def test_query_matches_sql(spark, small_dir, con, name):
 def test_every_query_has_sql_or_is_model_or_stream():
     no_sql = {name for name, q in REGISTRY.items() if q.sql is None}  # the llm queries have tests of their own
     assert no_sql <= {"ml_train", "ml_predict_all", "ml_predict_next", "ml_evaluate", "ml_predictor",
-                      "ml_importance", "sink_ml", "model_save_load", "bt_report"}
+                      "ml_importance", "sink_ml", "model_save_load"}
 
 
 def test_entry_runs(spark):
