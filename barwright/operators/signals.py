@@ -121,8 +121,8 @@ def signal_distribution(signals: DataFrame) -> DataFrame:
 
 def current_signals(signals: DataFrame) -> DataFrame:
     """The last bar of each symbol, kept only when it is not a hold."""
-    w = by_symbol().orderBy(F.col("ts").desc())
-    last = signals.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    # the order of the signal windows again: no second sort
+    last = signals.withColumn("_next", F.lead("ts").over(by_symbol())).filter(F.col("_next").isNull())
     return last.filter(F.col("signal") != "hold").select(
         "symbol", "signal", F.col("close").alias("price"), "rsi", "ma_20", "ma_50", F.col("ts").alias("date")
     )

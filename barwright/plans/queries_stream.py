@@ -64,7 +64,7 @@ def q_s_sliding_volume(spark, sf_dir):
 )
 def q_s_current_signals(spark, sf_dir):
     """Daily bars arrive as a stream (one file per year); each micro-batch
-    updates the bar table and overwrites the current-signals table."""
+    carries the newest bars on and derives the current signals from them."""
     src = scratch_path(spark, "s_current_signals-src")
     b = bars(spark, sf_dir).withColumn("year", F.year("ts"))
     b.write.partitionBy("year").parquet(src)
@@ -72,16 +72,17 @@ def q_s_current_signals(spark, sf_dir):
     return rounded(SB.run_current_signals(stream))
 
 
-@register("s_state", O.over_indicators(O.proj("symbol, ts, d:macd, d:macd_signal")))
+@register("s_state", O.over_indicators(O.proj("symbol, ts, d:macd, d:macd_signal") + ", false AS late"))
 def q_s_state(spark, sf_dir):
-    """Daily bars stream in one file per year (oldest first, one file per
-    micro-batch); per-symbol state carries the EMAs across batches."""
+    """Daily bars stream in year by year, oldest first, each year dealt by symbol
+    (small years are one file, one file per micro-batch); per-symbol state
+    carries the EMAs across batches."""
     from ..streaming.state import streaming_macd
 
     src = scratch_path(spark, "s_state-src")
     b = materialize(bars(spark, sf_dir))
     years = [r[0] for r in b.select(F.year("ts")).distinct().orderBy(1).collect()]  # bounded: calendar years
     for y in years:
-        b.filter(F.year("ts") == y).coalesce(1).write.mode("append").parquet(src)
+        b.filter(F.year("ts") == y).repartition("symbol").write.mode("append").parquet(src)
     stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(src)
     return rounded(SB.run_available_now(streaming_macd(stream), "s_state"))

@@ -3,8 +3,8 @@
 * ``stream_bars``: ticks -> watermark -> tumbling event-time windows -> OHLCV,
   append mode (a bar is emitted once its window closes);
 * ``stream_sliding_volume``: sliding event-time windows of volume / ticks;
-* ``current_signals_sink``: ``foreachBatch`` that appends each micro-batch of
-  bars to a bar table and overwrites the current-signals table from it.
+* ``current_signals_sink``: ``foreachBatch`` that carries each symbol's newest
+  bars from batch to batch and derives the current signals from them.
 
 ``run_available_now`` drives a query with ``trigger(availableNow=True)``
 into parquet under the shared checkpoint folder and returns the result as a
@@ -13,10 +13,11 @@ batch DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import DEFAULT, IndicatorParams
 from ..operators import signals as S
 from ..operators.cleaning import tick_order
 from ..session import scratch_path
@@ -98,33 +99,56 @@ def run_available_now(df: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(df.schema).parquet(out)
 
 
-def current_signals_sink(bars_path: str, signals_path: str):
-    """``foreachBatch`` function: append the batch's bars, rebuild current signals.
+def newest_bars(bars: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` newest bars of each symbol."""
+    newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc())
+    return bars.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= keep).drop("_rn")
 
-    Idempotent per epoch: the batch is written into ``epoch=<id>`` so a
-    replayed epoch overwrites its own output instead of duplicating bars.
+
+def current_signals_sink(tail_path: str, signals_path: str, ind: IndicatorParams = DEFAULT.indicators):
+    """``foreachBatch`` function: carries each symbol's newest bars on, rebuilds current signals from them.
+
+    A current signal looks back over its longest window and one bar more (the
+    cross), so that many bars are kept and a batch costs its own rows and a few
+    per symbol, however long the history.  The newest bars of a union are those
+    of its parts' newest, so the order of arrival does not matter.  Each epoch
+    reads the epoch before and writes folders of its own: a replayed epoch gives
+    the same result, and readers never see a half-written table.
     """
+    keep = max(ind.ma_long, ind.ma_short, ind.rsi_period + 1, ind.volume_period) + 1
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{bars_path}/epoch={epoch_id}")
-        all_bars = spark.read.parquet(bars_path).drop("epoch")
-        current = S.current_signals(S.generate_signals(all_bars))
-        current.write.mode("overwrite").parquet(signals_path)
+        rows = batch
+        if epoch_id > 0:
+            rows = spark.read.schema(batch.schema).parquet(f"{tail_path}/epoch={epoch_id - 1}").unionByName(batch)
+        newest_bars(rows, keep).write.mode("overwrite").parquet(f"{tail_path}/epoch={epoch_id}")
+        tail = spark.read.schema(batch.schema).parquet(f"{tail_path}/epoch={epoch_id}")
+        S.current_signals(S.generate_signals(tail, ind)).write.mode("overwrite").parquet(f"{signals_path}/epoch={epoch_id}")
 
     return handle
 
 
 def run_current_signals(bar_stream: DataFrame, name: str = "current-signals") -> DataFrame:
+    """Current signals after everything available; no rows if no batch came."""
     spark = bar_stream.sparkSession
-    bars_path = scratch_path(spark, f"{name}-bars")
+    tail_path = scratch_path(spark, f"{name}-bars")
     signals_path = scratch_path(spark, f"{name}-table")
     ckpt = scratch_path(spark, f"{name}-ckpt")
+    done: list[int] = []
+    sink = current_signals_sink(tail_path, signals_path)
+
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        sink(batch, epoch_id)
+        done[:] = [epoch_id]
+
     q = (
-        bar_stream.writeStream.foreachBatch(current_signals_sink(bars_path, signals_path))
+        bar_stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     )
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(signals_path)
+    if not done:
+        return S.current_signals(S.generate_signals(spark.createDataFrame([], bar_stream.schema)))
+    return spark.read.parquet(f"{signals_path}/epoch={done[0]}")

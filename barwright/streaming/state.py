@@ -3,8 +3,10 @@
 ``applyInPandasWithState`` keyed by symbol keeps, per symbol, the first close
 (centring), the last bar time, and the numerator / denominator of the three
 adjusted EMAs (``N_t = x_t + q N_{t-1}``, ``D_t = 1 + q D_{t-1}``).  Each
-micro-batch is processed in time order; bars not newer than the stored last
-bar are late and ignored.  State is O(1) per symbol and lives in the state
+micro-batch is processed in time order; a bar not newer than the stored last
+bar is late: it is put out with ``late`` true and no values, so that late bars
+can be counted and replayed.  A task holds a symbol's bars of one micro-batch
+(bounded by the source's files per trigger).  State is O(1) per symbol and lives in the state
 store (checkpointed), so it survives restarts and executor loss.
 """
 
@@ -29,6 +31,7 @@ OUT_SCHEMA = T.StructType([
     T.StructField("ts", T.DateType()),
     T.StructField("macd", T.DoubleType()),
     T.StructField("macd_signal", T.DoubleType()),
+    T.StructField("late", T.BooleanType()),
 ])
 
 
@@ -43,10 +46,14 @@ def _updater(p: IndicatorParams):
             x0, last_ts, nf, df_, ns, ds, ng, dg = state.get
         else:
             x0, last_ts, nf, df_, ns, ds, ng, dg = None, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0
-        out_ts, out_m, out_s = [], [], []
+        out_ts, out_m, out_s, out_late = [], [], [], []
         for ts, close in zip(pdf["ts"], pdf["close"]):
-            if last_ts is not None and ts <= last_ts:
-                continue  # late bar
+            out_ts.append(ts)
+            out_late.append(last_ts is not None and ts <= last_ts)
+            if out_late[-1]:
+                out_m.append(None)
+                out_s.append(None)
+                continue
             if x0 is None:
                 x0 = close
             x = close - x0
@@ -54,13 +61,12 @@ def _updater(p: IndicatorParams):
             ns, ds = x + qs * ns, 1.0 + qs * ds
             m = nf / df_ - ns / ds
             ng, dg = m + qg * ng, 1.0 + qg * dg
-            out_ts.append(ts)
             out_m.append(m)
             out_s.append(ng / dg)
             last_ts = ts
         if x0 is not None:
             state.update((x0, last_ts, nf, df_, ns, ds, ng, dg))
-        yield pd.DataFrame({"symbol": key[0], "ts": out_ts, "macd": out_m, "macd_signal": out_s})
+        yield pd.DataFrame({"symbol": key[0], "ts": out_ts, "macd": out_m, "macd_signal": out_s, "late": out_late})
 
     return update
 
