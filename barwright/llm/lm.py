@@ -40,6 +40,9 @@ MAX_BITS, ENTRY_BITS, PROBES = 28, 12, 4
 LEAST_SHARD_BITS, SHARD_LEVELS = 15, 10  # a shard has 4 KB or more, so that all fill alike; 1024 shards at most
 HEAD_WORDS = 1 << 18
 COUNTED_TOKENS = 1 << 20  # counted together before they leave a task
+SCORED_TOKENS = 1 << 19  # scored together: word pairs that recur are probed once, in the order of the filter
+PROBED = 1 << 14  # n-grams probed together, so that what is derived from them stays in the cache
+ONE = np.uint64(1)
 END = C.mix(np.array([0x0E0D], np.uint64))[0]
 ADD = 0.1
 
@@ -96,10 +99,15 @@ def _count_rows(batches):
 
 # -- the filter ------------------------------------------------------------
 
-def _positions(h: np.ndarray, level: np.ndarray, probe: int, shard_bits: int) -> np.ndarray:
-    """Bit within the n-gram's shard for one probe of (n-gram, level)."""
-    x = C.mix(h + level.astype(np.uint64) * C.U64(0x9E3779B97F4A7C15) + C.U64(probe * 0x51ED270B + 1))
-    return (x & C.U64((1 << shard_bits) - 1)).astype(np.int64)
+def _probe_hash(h: np.ndarray, level: int) -> np.ndarray:
+    """One hash of (n-gram, level), from which all its probes follow."""
+    return C.mix(h + C.U64(level * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1))
+
+
+def _position(x: np.ndarray, probe: int, shard_bits: int) -> np.ndarray:
+    """Bit within the n-gram's shard: the hash's low half and so many strides, its odd high half."""
+    at = x + C.U64(probe) * ((x >> C.U64(32)) | ONE)
+    return (at & C.U64((1 << shard_bits) - 1)).astype(np.int64)
 
 
 def _shard(h: np.ndarray, levels: int) -> np.ndarray:
@@ -121,8 +129,9 @@ def _filter_rows(batches, starts: np.ndarray, least: tuple[int, int], shard_bits
         row = np.array([slot.get(s, 0) for s in range(1 << levels)])[shard]
         for level in range(1, int(q.max(initial=0)) + 1):
             own = q >= level
+            x, at = _probe_hash(h[own], level), row[own]
             for probe in range(PROBES):
-                grid[row[own], _positions(h[own], np.full(int(own.sum()), level), probe, shard_bits)] = True
+                grid[at, _position(x, probe, shard_bits)] = True
     if slot:
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(slot), pa.int32()), pa.array([np.packbits(grid[r], bitorder="little").tobytes() for r in slot.values()], pa.binary())],
@@ -138,17 +147,24 @@ class Model:
         self.total, self.kinds, self.pair_weight = total, kinds, pair_weight
 
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """The count that each n-gram's probes show."""
+        """The count that each n-gram's probes show; ascending n-grams probe shard by shard."""
+        blocks = [self._levels(h[i:i + PROBED]) for i in range(0, len(h), PROBED)]
+        return self.values[np.concatenate(blocks)] if blocks else np.zeros(0)
+
+    def _levels(self, h: np.ndarray) -> np.ndarray:
         level = np.zeros(len(h), np.int64)
         live, base = np.arange(len(h)), _shard(h, self.levels) << self.shard_bits
-        step = 1
-        while len(live) and step < len(self.values):
+        for step in range(1, len(self.values)):
+            x = _probe_hash(h, step)
+            there = np.ones(len(h), bool)
             for probe in range(PROBES):
-                at = base[live] + _positions(h[live], np.full(len(live), step), probe, self.shard_bits)
-                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                at = base + _position(x, probe, self.shard_bits)
+                there &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
+            live, h, base = live[there], h[there], base[there]
+            if not len(live):
+                break
             level[live] = step
-            step += 1
-        return self.values[level]
+        return level
 
     def log_probs(self, tok: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before."""
@@ -159,7 +175,8 @@ class Model:
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[0] = one[which[-1]] if len(c) else 0  # the last token of a slice is the end mark
-        both = self.counts(pairs(tok))
+        kinds, which = np.unique(pairs(tok), return_inverse=True)
+        both = self.counts(kinds)[which]
         return np.log10(np.where(before > 0, self.pair_weight * np.minimum(1.0, both / np.maximum(before, 1.0)) + (1 - self.pair_weight) * p, p))
 
 
@@ -193,21 +210,33 @@ def build(counts: DataFrame, total: int, kinds: int, pair_weight: float, max_bit
 def _score_rows(batches, shared, id_type):
     model, head, head_n = shared.value
     logs = np.log10(head_n + ADD)
+
+    def scored(held):
+        tok, count = np.concatenate([t for _, _, t, _ in held]), np.concatenate([n for _, _, _, n in held])
+        first = np.cumsum(count) - count
+        at = np.minimum(np.searchsorted(head, tok), max(0, len(head) - 1))
+        hit = head[at] == tok if len(head) else np.zeros(len(tok), bool)
+        base = np.add.reduceat(np.where(hit, logs[at], 0.0) if len(head) else np.zeros(len(tok)), first)
+        known = np.add.reduceat(hit.astype(np.int64), first)
+        score = np.add.reduceat(model.log_probs(tok), first)
+        rest = np.concatenate(([0], np.cumsum(count - known))).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([u for u, _, _, _ in held]), pa.concat_arrays([k for _, k, _, _ in held]), pa.array(count), pa.array(score),
+             pa.array(base), pa.array(known), pa.ListArray.from_arrays(rest, pa.array(tok[~hit].view(np.int64)))],
+            names=["uid", "id", "n_tokens", "score", "base", "known", "rest"])
+
+    held, size = [], 0
     for batch in batches:
         uid, ids = batch.column(0), batch.column(1)
         for i, j, offsets, data in C.slices(batch.column(2)):
             tok, count = tokens(i, j, offsets, data)
-            first = np.cumsum(count) - count
-            at = np.minimum(np.searchsorted(head, tok), max(0, len(head) - 1))
-            hit = head[at] == tok if len(head) else np.zeros(len(tok), bool)
-            base = np.add.reduceat(np.where(hit, logs[at], 0.0) if len(head) else np.zeros(len(tok)), first)
-            known = np.add.reduceat(hit.astype(np.int64), first)
-            score = np.add.reduceat(model.log_probs(tok), first)
-            rest = np.concatenate(([0], np.cumsum(count - known))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [uid.slice(i, j - i), ids.slice(i, j - i).cast(id_type), pa.array(count), pa.array(score), pa.array(base), pa.array(known),
-                 pa.ListArray.from_arrays(rest, pa.array(tok[~hit].view(np.int64)))],
-                names=["uid", "id", "n_tokens", "score", "base", "known", "rest"])
+            held.append((uid.slice(i, j - i), ids.slice(i, j - i).cast(id_type), tok, count))
+            size += len(tok)
+            if size >= SCORED_TOKENS:
+                yield scored(held)
+                held, size = [], 0
+    if held:
+        yield scored(held)
 
 
 def score(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
