@@ -2,8 +2,8 @@
 
 Counts of words and word pairs over all training documents are quantised on a
 logarithmic scale (exact up to about five, then steps of a fifth).  An n-gram
-of level q is entered q times, as (n-gram, 1) to (n-gram, q), into one Bloom
-filter, which is broadcast.  A count is read by probing (n-gram, 1),
+of level q is entered q times, as (n-gram, 1) to (n-gram, q), into a Bloom
+filter, which is broadcast in parts.  A count is read by probing (n-gram, 1),
 (n-gram, 2), ... until a probe fails.  Probabilities are interpolated:
 
     P(w)     = c(w) / (N + V), and V / (N + V) for any word without a count
@@ -11,10 +11,12 @@ filter, which is broadcast.  A count is read by probing (n-gram, 1),
 
 with N training tokens of V kinds; u is the word before, or the end mark.
 
-The filter's size is bounded: 12 bits an entry up to ``2**MAX_BITS`` bits
-(32 MB).  Beyond that the least counts that pairs, then words, need to enter
-rise by levels until it fits; the choice is made from the exact histogram of
-levels over all n-grams.  Words enter from 1, pairs from 2 occurrences on.
+Every counted n-gram enters, words and pairs seen once among them.  The filter
+has 12 bits an entry, the entries known from the exact histogram of levels.  A
+part is bounded at ``2**MAX_BITS`` bits (32 MB): a larger filter is dealt by hash
+into as many parts as it needs, the driver makes and broadcasts them one after
+the other, and scoring passes each group of texts over the parts, one held at a
+time.
 
 The base score needs exact counts.  The most frequent words (at most
 ``HEAD_WORDS``, 16 bytes each) are broadcast; the rest of each document's words
@@ -33,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
 from . import common as C
 
-PAIR_WEIGHT, PAIR_LEAST = 0.2, 2
+PAIR_WEIGHT = 0.2
 MAX_BITS, ENTRY_BITS, PROBES = 28, 12, 4
-LEAST_SHARD_BITS, SHARD_LEVELS = 15, 10  # a shard has 4 KB or more, so that all fill alike; 1024 shards at most
+LEAST_SHARD_BITS, SHARD_LEVELS = 15, 10  # a shard has 4 KB or more, so that all fill alike; 1024 shards a part at most
+DEALT_SHARDS = 3  # 2**3 neighbouring shards of a part are filled by one task
 HEAD_WORDS = 1 << 18
 COUNTED_TOKENS = 1 << 20  # counted together before they leave a task
 SCORED_TOKENS = 1 << 19  # scored together: word pairs that recur are probed once, in the order of the filter
@@ -115,43 +119,69 @@ def _shard(h: np.ndarray, levels: int) -> np.ndarray:
     return (h >> C.U64(1) >> C.U64(63 - levels)).astype(np.int64)
 
 
-def _filter_rows(batches, starts: np.ndarray, least: tuple[int, int], shard_bits: int, levels: int):
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the filter that holds an n-gram."""
+    return ((h >> ONE) % C.U64(parts)).astype(np.int64)
+
+
+def _filter_rows(batches, starts: np.ndarray, parts: int, shard_bits: int, levels: int):
     slot: dict[int, int] = {}
     grid = np.zeros((0, 1 << shard_bits), bool)
     for batch in batches:
         h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        keep = n >= np.where(h & C.U64(1) == 1, least[1], least[0])
-        h, q = h[keep], np.searchsorted(starts, n[keep], "right")
-        shard = _shard(h, levels)
-        fresh = [s for s in np.unique(shard).tolist() if s not in slot]
+        q = np.searchsorted(starts, n, "right")
+        places, which = np.unique(_part(h, parts) << levels | _shard(h, levels), return_inverse=True)
+        fresh = [s for s in places.tolist() if s not in slot]
         slot.update({s: len(slot) + k for k, s in enumerate(fresh)})
         grid = np.concatenate([grid, np.zeros((len(fresh), grid.shape[1]), bool)])
-        row = np.array([slot.get(s, 0) for s in range(1 << levels)])[shard]
+        row = np.array([slot[s] for s in places.tolist()], np.int64)[which]
         for level in range(1, int(q.max(initial=0)) + 1):
             own = q >= level
             x, at = _probe_hash(h[own], level), row[own]
             for probe in range(PROBES):
                 grid[at, _position(x, probe, shard_bits)] = True
-    if slot:
+    for s, r in slot.items():
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(slot), pa.int32()), pa.array([np.packbits(grid[r], bitorder="little").tobytes() for r in slot.values()], pa.binary())],
-            names=["shard", "bits"])
+            [pa.array([s >> levels], pa.int32()), pa.array([s & (1 << levels) - 1], pa.int32()),
+             pa.array([np.packbits(grid[r], bitorder="little").tobytes()], pa.binary())], names=["part", "shard", "bits"])
+
+
+class Here:
+    """A part of the filter that stays where it was made, read like a broadcast."""
+
+    def __init__(self, value: np.ndarray):
+        self.value = value
 
 
 class Model:
-    """The broadcast filter and what reading it needs."""
+    """The filter's parts (broadcasts, or ``Here``) and what reading them needs."""
 
-    def __init__(self, bits: np.ndarray, shard_bits: int, starts: np.ndarray, total: int, kinds: int, pair_weight: float):
-        self.bits, self.shard_bits, self.values = bits, shard_bits, level_values(starts)
-        self.levels = (len(bits) * 8).bit_length() - 1 - shard_bits
+    def __init__(self, parts: list, levels: int, shard_bits: int, starts: np.ndarray, total: int, kinds: int, pair_weight: float):
+        self.parts, self.levels, self.shard_bits, self.values = parts, levels, shard_bits, level_values(starts)
         self.total, self.kinds, self.pair_weight = total, kinds, pair_weight
 
+    @property
+    def bits(self) -> np.ndarray:
+        """The first part's bits."""
+        return self.parts[0].value
+
+    def __getstate__(self):
+        return self.__dict__ | {"parts": []}  # broadcasts do not travel within another
+
     def counts(self, h: np.ndarray) -> np.ndarray:
         """The count that each n-gram's probes show; ascending n-grams probe shard by shard."""
-        blocks = [self._levels(h[i:i + PROBED]) for i in range(0, len(h), PROBED)]
-        return self.values[np.concatenate(blocks)] if blocks else np.zeros(0)
-
-    def _levels(self, h: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(h), np.uint8 if len(self.values) <= 256 else np.int64)
+        part = _part(h, len(self.parts)) if len(self.parts) > 1 else None
+        for k, held in enumerate(self.parts):
+            bits = held.value
+            own = np.flatnonzero(part == k) if part is not None else np.arange(len(h))
+            for i in range(0, len(own), PROBED):
+                level[own[i:i + PROBED]] = self._levels(bits, h[own[i:i + PROBED]])
+            if part is not None and getattr(held, "_path", None):
+                vars(held).pop("_value", None)  # a worker holds one part at a time; the next read loads it from its file
+        return self.values[level]
+
+    def _levels(self, bits: np.ndarray, h: np.ndarray) -> np.ndarray:
         level = np.zeros(len(h), np.int64)
         live, base = np.arange(len(h)), _shard(h, self.levels) << self.shard_bits
         for step in range(1, len(self.values)):
@@ -159,7 +189,7 @@ class Model:
             there = np.ones(len(h), bool)
             for probe in range(PROBES):
                 at = base + _position(x, probe, self.shard_bits)
-                there &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
+                there &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)
             live, h, base = live[there], h[there], base[there]
             if not len(live):
                 break
@@ -169,46 +199,50 @@ class Model:
     def log_probs(self, tok: np.ndarray) -> np.ndarray:
         """log10 of each token's probability after the one before."""
         kinds, which = np.unique(tok, return_inverse=True)
-        one = self.counts(kinds)
+        both_kinds, both_which = np.unique(pairs(tok), return_inverse=True)
+        found = self.counts(np.concatenate([kinds, both_kinds]))
+        one, both = found[:len(kinds)], found[len(kinds):][both_which]
         alone = np.where(one > 0, one, float(self.kinds)) / (self.total + self.kinds)
         c, p = one[which], alone[which]
         before = np.empty_like(c)
         before[1:] = c[:-1]
         before[0] = one[which[-1]] if len(c) else 0  # the last token of a slice is the end mark
-        kinds, which = np.unique(pairs(tok), return_inverse=True)
-        both = self.counts(kinds)[which]
         return np.log10(np.where(before > 0, self.pair_weight * np.minimum(1.0, both / np.maximum(before, 1.0)) + (1 - self.pair_weight) * p, p))
 
 
-def build(counts: DataFrame, total: int, kinds: int, pair_weight: float, max_bits: int) -> Model:
+def build(counts: DataFrame, total: int, kinds: int, pair_weight: float, max_bits: int, share=Here) -> Model:
+    """The model of exact counts; ``share`` takes each part of at most ``2**max_bits`` bits once it is made."""
     starts = level_starts(max(1, total))
-    level = F.lit(0)
-    # the histogram of (pair?, level) from exact counts
+    # the entries, from the histogram of levels of the exact counts
     bounds = F.array(*[F.lit(int(s)) for s in starts])
     level = F.size(F.filter(bounds, lambda s: s <= F.col("n")))
-    hist: dict[tuple[int, int], int] = {(r["pair"], r["q"]): r["rows"] for r in counts.groupBy("n", F.expr("h & 1").cast("int").alias("pair")).agg(
-        F.count("*").alias("m")).groupBy("pair", level.alias("q")).agg(F.sum("m").alias("rows")).collect()}
-    least = [1, 1]  # levels from which words and pairs enter
-    entries = lambda: sum(q * m for (pair, q), m in hist.items() if q >= least[pair])
-    while entries() * ENTRY_BITS > 1 << max_bits and max(least) < len(starts):
-        least[1 if least[1] <= 4 * least[0] else 0] += 1
-    bits = min(max_bits, max(17, int(entries() * ENTRY_BITS - 1).bit_length()))
+    entries = counts.groupBy("n").agg(F.count("*").alias("m")).agg(F.sum(level * F.col("m"))).first()[0] or 0
+    parts = max(1, -(-entries * ENTRY_BITS // (1 << max_bits)))
+    bits = min(max_bits, max(17, int(entries * ENTRY_BITS - 1).bit_length()))
     levels = max(0, min(SHARD_LEVELS, bits - LEAST_SHARD_BITS))
     shard_bits = bits - levels
-    enter = tuple(int(starts[x - 1]) for x in least)
-    whole = np.zeros(1 << (bits - 3), np.uint8)
     size = 1 << (shard_bits - 3)
-    made = (counts.withColumn("shard", F.shiftrightunsigned(F.shiftrightunsigned("h", 1), 63 - levels)).repartition("shard").select("h", "n")
-            .mapInArrow(lambda b: _filter_rows(b, starts, enter, shard_bits, levels), "shard int, bits binary"))
-    for shard, part in made.collect():
-        whole[shard * size:(shard + 1) * size] = np.frombuffer(part, np.uint8)
-    return Model(whole, shard_bits, starts, total, kinds, pair_weight)
+    unsigned = F.shiftrightunsigned("h", 1)
+    path = scratch_path(counts.sparkSession, "ngram-filter")
+    (counts.select("h", "n").repartition(unsigned % parts, F.shiftrightunsigned(unsigned, 63 - levels + min(levels, DEALT_SHARDS)))
+     .mapInArrow(lambda b: _filter_rows(b, starts, parts, shard_bits, levels), "part int, shard int, bits binary")
+     .write.partitionBy("part").parquet(path))
+    made = counts.sparkSession.read.schema("shard int, bits binary, part int").parquet(path)
+
+    def filled(part: int) -> np.ndarray:
+        whole = np.zeros(1 << (bits - 3), np.uint8)
+        for shard, found in made.where(F.col("part") == part).select("shard", "bits").collect():
+            whole[shard * size:(shard + 1) * size] |= np.frombuffer(found, np.uint8)
+        return whole
+
+    return Model([share(filled(k)) for k in range(parts)], levels, shard_bits, starts, total, kinds, pair_weight)
 
 
 # -- scoring ---------------------------------------------------------------
 
-def _score_rows(batches, shared, id_type):
+def _score_rows(batches, shared, parts, id_type):
     model, head, head_n = shared.value
+    model.parts = parts
     logs = np.log10(head_n + ADD)
 
     def scored(held):
@@ -247,25 +281,25 @@ def score(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     src = C.pick(docs, id=id_col, text=text_col)
     counts = C.written(
-        C.pick(training, text=text_col).mapInArrow(_count_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        .where(f"(h & 1) = 0 or n >= {PAIR_LEAST}"), "ngram-counts")
+        C.pick(training, text=text_col).mapInArrow(_count_rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "ngram-counts")
     words = counts.where("(h & 1) = 0")
     by_n = words.groupBy("n").agg(F.count("*").alias("m"))
     total, kinds = by_n.agg(F.sum(F.col("n") * F.col("m")), F.sum("m")).first()
     total, kinds = total or 0, kinds or 0
-    model = build(counts, total, kinds, pair_weight, max_bits)
+    model = build(counts, total, kinds, pair_weight, max_bits, spark.sparkContext.broadcast)
     cut = _head_cut(words, kinds, head_words)
     top = words.where(F.col("n") >= cut).toArrow()
     head = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(head)
     shared = spark.sparkContext.broadcast((model, head[order], top.column("n").to_numpy()[order].astype(np.float64)))
+    parts = model.parts
     kind = C.column_type(src, "id")
     id_type = to_arrow_type(kind)
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("id", kind), T.StructField("n_tokens", T.LongType()),
                            T.StructField("score", T.DoubleType()), T.StructField("base", T.DoubleType()), T.StructField("known", T.LongType()),
                            T.StructField("rest", T.ArrayType(T.LongType()))])
     rows = C.written(src.select(F.monotonically_increasing_id().alias("uid"), "id", "text")
-                     .mapInArrow(lambda b: _score_rows(b, shared, id_type), schema), "scored")
+                     .mapInArrow(lambda b: _score_rows(b, shared, parts, id_type), schema), "scored")
     rest = (rows.select("uid", F.explode("rest").alias("h")).join(words.where(F.col("n") < cut), "h", "left")
             .groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("more"), F.count("n").alias("more_known")))
     each = float(np.log10(total + ADD * (kinds + 1)))

@@ -48,6 +48,31 @@ def test_filter_reads_back_levels(spark):
     assert len(small.bits) == 1 << 14
 
 
+def test_every_ngram_enters_a_filter_of_many_parts(spark):
+    rng = np.random.default_rng(1)
+    h = np.unique(rng.integers(-1 << 63, 1 << 63, 9000, np.int64))  # words and pairs
+    n = rng.choice([1, 2, 40], len(h))
+    frame = spark.createDataFrame([(int(a), int(b)) for a, b in zip(h, n)], "h long, n long")
+    model = lm.build(frame, int(n.sum()), len(h), 0.2, 17)
+    starts = lm.level_starts(int(n.sum()))
+    want = lm.level_values(starts)[np.searchsorted(starts, n, "right")]
+    got = model.counts(h.view(np.uint64))
+    assert len(model.parts) > 2 and all(len(p.value) == 1 << 14 for p in model.parts)
+    assert (got >= want).all() and (got == want).mean() > 0.95
+    assert (model.counts((h ^ 1).view(np.uint64)) == 0).mean() > 0.95
+
+
+def test_scores_are_alike_in_one_part_and_in_many(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(100)]  # every word and pair is seen once
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    one, many = (sorted((r["doc_id"], r["score"]) for r in lm.score(frame, frame, max_bits=b).collect()) for b in (28, 17))
+    # 1/N for a word; the pair follows its word each time, the end mark's pairs aside
+    total = 100 * 401
+    follows = 0.2 + 0.8 / (total + 40001)
+    for got in (one, many):
+        assert all(abs(s / (399 * math.log10(follows)) - 1) < 0.05 for _, s in got)
+
+
 def test_model_beats_the_base_on_held_out_documents(spark):
     out = lm.op2_lm_scores(spark, f"{DATA}/sf0.01").where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert out[0] > out[1]
