@@ -36,6 +36,7 @@ UNKNOWN = 1e-7
 SMOOTH = 0.01
 CACHE_WORDS = 300_000
 SAFE_BYTES = 40  # products over longer words could underflow, so these are rescaled on the way
+LOW, LIFT = 1e-120, 1e100  # at a character's end, sums under LOW are multiplied by LIFT
 MARK = P.WORD_START.encode()
 
 
@@ -59,20 +60,21 @@ class Segmenter:
         k = self.probs.shape[1]
         alpha = np.zeros((most + 1, n, k))
         alpha[0] = 1.0
-        shift = np.zeros(n)
+        lifts = np.zeros((n, k))
+        reach = max(4, int(self.auto.size.max()))  # no piece or character is longer, so sums further back are not read again
         for i, rows, found in self.auto.ends(rows_, sizes):
             here = alpha[i + 1]
             for r, p in found:
                 here[r] += alpha[i + 1 - self.auto.size[p], r] * self.probs[p]
             r = rows[ends[rows, i] > 0]
             here[r] += alpha[i + 1 - ends[r, i], r] * UNKNOWN
-            if most > SAFE_BYTES and i % 8 == 7:
-                low = rows[(here[rows].max(axis=1) < 1e-120) & (here[rows].max(axis=1) > 0)]
+            if most > SAFE_BYTES:
+                low, lang = np.nonzero(here[r] < LOW)  # each language by itself: one may be far below another
                 if len(low):
-                    alpha[:i + 2, low] *= 1e100
-                    shift[low] -= 100 * np.log(10)
-        with np.errstate(divide="ignore"):
-            return np.log(alpha[sizes, np.arange(n)]) + shift[:, None]
+                    low = r[low]
+                    alpha[max(0, i + 1 - reach):i + 2, low, lang] *= LIFT
+                    lifts[low, lang] += 1
+        return np.log(alpha[sizes, np.arange(n)]) - lifts * np.log(LIFT)
 
     def log_probs(self, words: list[bytes]) -> np.ndarray:
         """One row of log probabilities for each word."""

@@ -122,6 +122,16 @@ def test_forward_sums_every_segmentation():
     assert seg.log_probs([long.encode()])[0, 0] == pytest.approx(30 * small, rel=0.05)
 
 
+@pytest.mark.parametrize("char", ["é", "я", "文", "🙂", "x"])
+def test_long_words_of_any_character_size_stay_finite(char):
+    names = [language.P.WORD_START, char]
+    seg = language.Segmenter(names, np.array([[0.5, 0.5], [1e-3, 1e-9]]))
+    for other in (char, "ω", "語", "🙃"):  # learned, and in no vocabulary
+        got = seg.log_probs(language.words_of(other * 3000))[0]
+        each = np.log(np.array([1e-3, 1e-9]) + language.UNKNOWN) if other == char else np.log(language.UNKNOWN)
+        assert got == pytest.approx(math.log(0.5 + language.UNKNOWN) + 3000 * each * np.ones(2), rel=1e-9)
+
+
 def test_quality_on_held_out_documents(spark):
     out = quality.op5_quality(spark, f"{DATA}/sf0.01").toPandas()
     labels = duckdb.sql(f"select doc_id, quality from '{DATA}/sf0.01/labels.parquet'").df()
