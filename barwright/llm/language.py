@@ -96,14 +96,17 @@ def fit(words: list[bytes], counts: np.ndarray, pieces: list[str], rounds: int =
     auto = P.Automaton(pieces)
     probs = np.full(len(pieces), 1.0 / len(pieces))
     weight = dict(zip(words, counts.tolist()))
+    reach = max(4, int(auto.size.max()))
     for _ in range(rounds):
         expected = np.zeros(len(pieces))
-        for group in P.by_size([w for w in words if len(w) <= SAFE_BYTES], cells=1 << 18):
+        for group in P.by_size(words, cells=1 << 18):
             rows_, sizes = P.padded(group)
             ends = P.char_ends(rows_, sizes)
             n, most = rows_.shape
             alpha = np.zeros((most + 1, n))
             alpha[0] = 1.0
+            long = most > SAFE_BYTES
+            lifts, lifted = np.zeros(n), np.zeros((most + 1, n) if long else (0, n))  # so often a row's and each sum's LIFT was applied
             matches: list[list] = []
             for i, rows, found in auto.ends(rows_, sizes):
                 kept = []
@@ -113,16 +116,33 @@ def fit(words: list[bytes], counts: np.ndarray, pieces: list[str], rounds: int =
                 r = rows[ends[rows, i] > 0]
                 alpha[i + 1, r] += alpha[i + 1 - ends[r, i], r] * UNKNOWN
                 matches.append(kept)
+                if long:
+                    lifted[i + 1] = lifts
+                    low, near = r[alpha[i + 1, r] < LOW], slice(max(0, i + 1 - reach), i + 2)
+                    alpha[near, low] *= LIFT
+                    lifted[near, low] += 1
+                    lifts[low] += 1
             total = alpha[sizes, np.arange(n)]
             beta = np.zeros((most + 1, n))
             beta[sizes, np.arange(n)] = 1.0
             share = np.array([weight[w] for w in group]) / total
+            back = np.zeros(n)  # so often LIFT was applied to a row's beta
             for i in range(most - 1, -1, -1):
+                if long:
+                    low = np.flatnonzero((beta[i + 1] < LOW) & (beta[i + 1] > 0))
+                    beta[max(0, i + 1 - reach):i + 2, low] *= LIFT
+                    back[low] += 1
                 for r, p in matches[i]:
                     begin = i + 1 - auto.size[p]
                     flow = probs[p] * beta[i + 1, r]
                     beta[begin, r] += flow
-                    np.add.at(expected, p, alpha[begin, r] * flow * share[r])
+                    if long:
+                        with np.errstate(divide="ignore"):  # the logarithm of no way is -inf
+                            ways = np.log(alpha[begin, r]) + np.log(flow) - np.log(total[r])
+                        ways += (lifts[r] - lifted[begin, r] - back[r]) * np.log(LIFT)
+                        np.add.at(expected, p, np.exp(ways) * share[r] * total[r])
+                    else:
+                        np.add.at(expected, p, alpha[begin, r] * flow * share[r])
                 r = np.flatnonzero(ends[:, i] > 0)
                 beta[i + 1 - ends[r, i], r] += beta[i + 1, r] * UNKNOWN
         probs = (expected + SMOOTH) / (expected.sum() + SMOOTH * len(pieces))

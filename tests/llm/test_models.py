@@ -132,6 +132,31 @@ def test_long_words_of_any_character_size_stay_finite(char):
         assert got == pytest.approx(math.log(0.5 + language.UNKNOWN) + 3000 * each * np.ones(2), rel=1e-9)
 
 
+def test_fit_learns_from_words_of_any_length(monkeypatch):
+    names = [language.P.WORD_START, "日", "本", "日本", "本日", "語", "日本語"]
+    short = language.words_of("日本語日本 本日本日日 日本語 ω語日本")
+    counts = np.array([3.0, 2.0, 5.0, 1.0])
+    want = language.fit(short, counts, names)
+    monkeypatch.setattr(language, "SAFE_BYTES", 0)  # the path of long words
+    assert language.fit(short, counts, names) == pytest.approx(want, rel=1e-9)
+    monkeypatch.undo()
+    got = language.fit(language.words_of("日本語" * 1000 + " " + "ω" * 900), np.ones(2), names, rounds=1)
+    p = 1 / 7  # three ways to cut one 日本語, and 本語 has no piece
+    ways = {"日本語": p, "日本+語": p * p, "日+本+語": p**3}
+    share = {k: v / sum(ways.values()) for k, v in ways.items()}
+    assert got[6] / got[5] == pytest.approx(share["日本語"] / (share["日本+語"] + share["日+本+語"]), rel=1e-3)
+
+
+def test_language_written_without_spaces(spark):
+    rng = np.random.default_rng(3)
+    texts = [(i, "".join(rng.choice(list("日本語文字" if i % 2 else "中国汉字文"), 60)), "ja" if i % 2 else "zh") for i in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").repartition(2)
+    langs, probs = language.train(frame)
+    assert langs == ["ja", "zh"] and probs.max() > 0.05  # not the even share of pieces that taught nothing
+    out = language.identify(frame, (langs, probs)).join(frame, "doc_id")
+    assert out.where("lang_pred = lang and score between 0.99 and 1").count() == 40
+
+
 def test_quality_on_held_out_documents(spark):
     out = quality.op5_quality(spark, f"{DATA}/sf0.01").toPandas()
     labels = duckdb.sql(f"select doc_id, quality from '{DATA}/sf0.01/labels.parquet'").df()
