@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK, QUERIES, K = 8192, 128, 5
-DEPTHS = (1 / 64, 1 / 8, 1 / 2)
+DEPTHS = (1 / 64, 1 / 8, 1 / 2, 7 / 8, 1)  # the last reads every list to its end, where both bounds are the product
 FEW = 1 / 16  # of a block: so few open vectors are resolved at once
 
 
@@ -46,13 +46,15 @@ class Block:
     def at(self, depth: int) -> tuple:
         """What reading every list to a depth shows: values for the upper and the lower bounds, from either end."""
         if depth not in self.depths:
+            if depth == len(self.x):
+                return (self.x,) * 4
             top, bottom = self.lists[-depth], self.lists[depth - 1]
             self.depths[depth] = (np.maximum(self.x, top), np.minimum(self.x, bottom),
                                   np.where(self.x >= top, self.x, self.lists[0]), np.where(self.x <= bottom, self.x, self.lists[-1]))
         return self.depths[depth]
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query row, ids, scores) of the k best others of each query."""
+    def still_open(self, ids: np.ndarray, queries: np.ndarray, k: int, depths=DEPTHS) -> np.ndarray:
+        """Queries x vectors: the others that may be among the k best once the lists are read so deep."""
         n = len(self.ids)
         up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
         # products of long components are not exact as doubles: bounds are widened by what rounding can do
@@ -63,9 +65,9 @@ class Block:
         own = np.searchsorted(self.ids, ids)
         mine = (own < n) & (self.ids[np.minimum(own, n - 1)] == ids)
         open_[mine, own[mine]] = False
-        for share in DEPTHS:
+        for share in depths:
             depth = max(1, int(n * share))
-            if n <= 64 or not len(todo):
+            if n <= k or not len(todo):
                 break
             high_top, high_bottom, low_top, low_bottom = self.at(depth)
             upper = up[todo] @ high_top.T + down[todo] @ high_bottom.T + slack[todo, None]
@@ -74,12 +76,13 @@ class Block:
             bound = np.partition(lower, n - k, axis=1)[:, n - k]
             open_[todo] &= upper >= bound[:, None]
             todo = todo[open_[todo].sum(1) > max(k, n * FEW)]
+        return open_
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        """(query row, ids, scores) of the k best others of each query."""
+        open_ = self.still_open(ids, queries, k)
         for row in range(len(ids)):
             left = np.flatnonzero(open_[row])
-            if len(left) > max(4 * k, n * FEW):  # read to the end: the lists show every component
-                near = self.x[left] @ queries[row].astype(np.float64)
-                if len(left) > k:
-                    left = left[near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * slack[row]]
             scores = (self.whole[left] * queries[row]).sum(1)
             best = np.lexsort((self.ids[left], -scores))[:k]
             yield row, self.ids[left[best]], scores[best]

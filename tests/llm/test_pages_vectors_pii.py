@@ -32,6 +32,17 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(frame.where("false")).count() == 0
 
 
+def test_bounds_are_read_until_few_are_open():
+    rng = np.random.default_rng(6)
+    for n in (50, 2000):
+        block = topk.Block(np.arange(n), np.floor(256 * rng.normal(0, 0.4, (n, 64))).astype(np.int64))
+        left = block.still_open(block.ids[:10], block.whole[:10], 5)
+        assert (left.sum(1) < max(10, n * topk.FEW + 1)).all()
+        for row, found, scores in block.search(block.ids[:10], block.whole[:10], 5):
+            s = block.whole @ block.whole[row]
+            assert found.tolist() == [i for i in np.lexsort((block.ids, -s)).tolist() if i != row][:5] and left[row, found].all()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_sql_says_the_same(spark, name):
     sf = f"{DATA}/sf0.001"
