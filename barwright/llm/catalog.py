@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language, lm, pii, quality, simhash, token_counts, topk
+from . import bpe, decontaminate, html_text, language, lm, periodic, pii, quality, simhash, token_counts, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_language_id": language.op9_language_id,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 SQL = {
