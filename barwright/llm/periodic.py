@@ -192,7 +192,9 @@ def planted(id_: Column, text: Column) -> Column:
     n = F.size(words).cast("long")
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    copied = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+    root = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    times, more = F.floor((n - a) / p).cast("int"), ((n - a) % p).cast("int")
+    copied = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.flatten(F.array_repeat(root, times)), F.slice(root, F.lit(1), more))
     return F.when((h % 10 == 0) & F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)), F.concat_ws(" ", copied)).otherwise(text)
 
 
