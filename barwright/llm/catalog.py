@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language, lm, periodic, pii, quality, simhash, token_counts, topk
+from . import bpe, decontaminate, html_text, language, lm, periodic, pii, quality, repair, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,9 +16,12 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_repair_conversations": repair.op12_repair_conversations,
+    "op13_token_files": token_files.op13_token_files,
 }
 
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op4_exact_topk": topk.SQL,
+    "op12_repair_conversations": repair.SQL,
 }
