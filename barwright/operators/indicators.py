@@ -15,10 +15,13 @@ chains, which keeps analysis time flat.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRICE_SCALE, IndicatorParams
+from ..functions import blocks as B
 from ..functions.ewm import _RN, adjusted_ema, chunk_rows, drop_row_index
 from ..functions.windows import add_trailing_sums, by_symbol, cents, ddiv, trailing
 
@@ -29,9 +32,13 @@ INDICATOR_COLUMNS = [
 
 
 def _prepare(df: DataFrame) -> DataFrame:
-    """Cents columns, previous close, first close and the row index (one Window node)."""
+    """Cents columns, previous close, first close and the row index (one Window node).
+
+    Rows dealt in blocks bring the index and the symbol's first close with them.
+    """
     w = by_symbol()
     c = cents("close")
+    given = {"_x0": F.first("close").over(w), _RN: (F.row_number().over(w) - 1).cast("long")}
     return df.select(
         "*",
         c.alias("_c"),
@@ -39,8 +46,7 @@ def _prepare(df: DataFrame) -> DataFrame:
         cents("low").alias("_l"),
         F.lag(c).over(w).alias("_pc"),
         F.first(c).over(w).alias("_c0"),
-        F.first("close").over(w).alias("_x0"),
-        (F.row_number().over(w) - 1).cast("long").alias(_RN),
+        *[value.alias(name) for name, value in given.items() if name not in df.columns],
     )
 
 
@@ -170,11 +176,30 @@ def atr(df: DataFrame, period: int = 14) -> DataFrame:
 HELPER_SUMS = ["_rsi_g", "_rsi_l", "_s_short", "_n_short", "_s_long", "_n_long", "_vs", "_vn"]
 
 
+def longest_window(p: IndicatorParams) -> int:
+    return max(p.rsi_period, p.ma_short, p.ma_long, p.bb_period, p.volume_period, p.atr_period, p.stoch_k + p.stoch_d)
+
+
+def _blocked_macd(out: DataFrame, rows: DataFrame, p: IndicatorParams, block_rows: int) -> DataFrame:
+    """MACD on rows dealt in blocks: two scans, each with a table of carries, the second over the first's result."""
+    fast_slow = {"_ema_fast": ("_xc", p.macd_fast), "_ema_slow": ("_xc", p.macd_slow)}
+    keys = [B.SYMBOL, "ts", B.BLOCK, B.HALO, _RN]
+
+    def lines(df: DataFrame, thin: DataFrame) -> DataFrame:
+        both = B.carried_ema(_centered(df, "close"), _centered(thin, "close"), fast_slow, block_rows)
+        return both.withColumn("macd", F.col("_ema_fast") - F.col("_ema_slow")).drop("_ema_fast", "_ema_slow", "_xc")
+
+    thin = rows.select(*keys, "close", B.FIRST)
+    signal = B.carried_ema(lines(out, thin), lines(thin, thin).select(*keys, "macd"), {"macd_signal": ("macd", p.macd_signal)}, block_rows)
+    return signal.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
+
+
 def add_all_indicators(
     df: DataFrame,
     p: IndicatorParams = DEFAULT.indicators,
     keep_sums: bool = False,
     keep_index: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Bars + the 13 indicator columns.
 
@@ -182,7 +207,28 @@ def add_all_indicators(
     With ``keep_sums`` the exact helper sums used by the signal rules are kept
     (``HELPER_SUMS``; ``_vs``/``_vn`` are the volume sum and count over the
     volume period).
+
+    ``block_rows`` runs every window per block of so many rows of a symbol
+    instead of per symbol (``functions.blocks``), for symbols of millions of
+    bars; values are the same.
     """
+    if block_rows:
+        rows = B.deal(df, block_rows, longest_window(p) + 1)
+        out = drop_helpers(_indicators(rows, p, lambda out: _blocked_macd(out, rows, p, block_rows)), keep_sums, True)
+        out = B.undeal(out)
+        return out if keep_index else drop_row_index(out)
+    out = _indicators(df, p, lambda out: _macd_on(out, p.macd_fast, p.macd_slow, p.macd_signal))
+    return drop_helpers(out, keep_sums, keep_index)
+
+
+def drop_helpers(df: DataFrame, keep_sums: bool, keep_index: bool) -> DataFrame:
+    out = df.drop(*_PREP)
+    if not keep_sums:
+        out = out.drop(*HELPER_SUMS)
+    return out if keep_index else drop_row_index(out)
+
+
+def _indicators(df: DataFrame, p: IndicatorParams, with_macd: Callable[[DataFrame], DataFrame]) -> DataFrame:
     out = _prepare(df)
     cc = F.col("_c") - F.col("_c0")
     specs = {
@@ -214,9 +260,4 @@ def add_all_indicators(
         (F.col("bb_middle") + F.col("_bsd") * float(p.bb_std)).alias("bb_upper"),
         (F.col("bb_middle") - F.col("_bsd") * float(p.bb_std)).alias("bb_lower"),
     ).drop("_bs", "_b1", "_b2", "_bsd", "_trs")
-    out = _stoch_finish(out, p.stoch_d)
-    out = _macd_on(out, p.macd_fast, p.macd_slow, p.macd_signal)
-    out = out.drop(*_PREP)
-    if not keep_sums:
-        out = out.drop(*HELPER_SUMS)
-    return out if keep_index else drop_row_index(out)
+    return with_macd(_stoch_finish(out, p.stoch_d))

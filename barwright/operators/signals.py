@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, IndicatorParams, StrategyParams
+from ..functions import blocks as B
 from ..functions.ewm import drop_row_index
 from ..functions.windows import add_trailing_sums, by_symbol
-from .indicators import add_all_indicators
+from .indicators import _blocked_macd, _indicators, add_all_indicators, longest_window
 
 SIGNAL_COLUMNS = [
     "signal", "signal_strength", "entry_reason", "ma_cross", "ma_cross_signal",
@@ -47,14 +48,24 @@ def generate_signals(
     ind: IndicatorParams = DEFAULT.indicators,
     st: StrategyParams = DEFAULT.strategy,
     keep_helpers: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """Bars -> bars + indicators + signal columns (one row per input bar)."""
-    df = add_all_indicators(bars, ind, keep_sums=True, keep_index=True)
+    """Bars -> bars + indicators + signal columns (one row per input bar).
+
+    With ``block_rows`` no window holds a whole symbol (see ``functions.blocks``).
+    """
+    if block_rows:
+        rows = B.deal(bars, block_rows, max(longest_window(ind), st.volume_window) + 1)
+        df = _indicators(rows, ind, lambda out: _blocked_macd(out, rows, ind, block_rows))
+        return drop_row_index(B.undeal(_rules(df.drop("_c", "_h", "_l", "_pc", "_c0"), ind, st, keep_helpers)))
+    return drop_row_index(_rules(add_all_indicators(bars, ind, keep_sums=True, keep_index=True), ind, st, keep_helpers))
+
+
+def _rules(df: DataFrame, ind: IndicatorParams, st: StrategyParams, keep_helpers: bool) -> DataFrame:
     if st.volume_window != ind.volume_period:
         n = st.volume_window
         df = add_trailing_sums(df.drop("_vs", "_vn"), {"_vs": (F.col("volume"), n)})
         df = df.withColumn("_vn", F.least(F.col("_ewm_rn") + 1, F.lit(n)).cast("long"))
-    df = drop_row_index(df)
     up = (F.col("_s_short") * F.col("_n_long")) > (F.col("_s_long") * F.col("_n_short"))
     cross = F.when(up, F.lit(1)).otherwise(F.lit(-1))
     df = df.withColumn("ma_cross", cross)

@@ -59,6 +59,16 @@ def q_bt_final_close(spark, sf_dir):
     return rounded(t.select("symbol", "date", "quantity", "price", "value", "pnl", "entry_reason", "exit_reason"))
 
 
+@register("bt_incremental", O.over_backtest(O.proj(O.TRADE_COLS), "bt_trades"))
+def q_bt_incremental(spark, sf_dir):
+    """The ledger in two parts: the first half of the days, then the rest from the saved state; equal to the ledger of all."""
+    s = materialize(signals(spark, sf_dir).select(*NEEDED))
+    middle = s.agg(F.expr("date_add(min(ts), cast(datediff(max(ts), min(ts)) / 2 as int))")).first()[0]
+    early = materialize(B.continue_backtest(s.where(F.col("ts") <= F.lit(middle))))
+    late = materialize(B.continue_backtest(s, B.saved_state(early)))
+    return rounded(B.trades(B.append_ledger(early, late)))
+
+
 @register("bt_equity", O.over_backtest(O.proj("symbol, date, d:value, d:cash, position, d:price"), "bt_equity"))
 def q_bt_equity(spark, sf_dir):
     return rounded(B.equity_curve(*_tables(spark, sf_dir)))
@@ -79,12 +89,12 @@ def _known(spark, sf_dir):
 
 
 def _curve_metric(name: str, *cols: str):
-    """Metrics of the equity curve; the return in the Sharpe ratio comes from the ledger."""
+    """Metrics of the equity curve, merged from blocks; the return in the Sharpe ratio comes from the ledger."""
 
     @register(name, O.over_backtest(O.proj("symbol, " + ", ".join(f"d:{c}" for c in cols)), "bt_summary"))
     def q(spark, sf_dir):
         s, trades = _tables(spark, sf_dir)
-        curve = B.curve_metrics(B.equity_curve(s, trades))
+        curve = B.merge_blocks(B.curve_blocks(s, trades))
         out = B.ledger_summary(_known(spark, sf_dir), trades).join(curve, "symbol", "left")
         vol = F.coalesce("volatility", F.lit(0.0))
         out = out.withColumn("sharpe_ratio", F.when(vol > 0, F.col("total_return") / vol).otherwise(F.lit(0.0)))
@@ -150,8 +160,7 @@ def q_bt_empty(spark, sf_dir):
     """The empty result of listed symbols that have no bars (tick symbols are listed, too)."""
     listed = (FX.derived_universe(spark, sf_dir).select("symbol")
               .union(FX.table(spark, sf_dir, "events").select("event_type")).distinct())
-    s, trades = _tables(spark, sf_dir)
-    return rounded(B.summary(s, trades, universe=listed).where("data_points = 0").select("symbol", *EMPTY_COLS))
+    return rounded(B.empty_summary(listed, bars(spark, sf_dir)).select("symbol", *EMPTY_COLS))
 
 
 def _report_sql() -> str:

@@ -93,6 +93,22 @@ def q_all_indicators(spark, sf_dir):
     return rounded(I.add_all_indicators(bars(spark, sf_dir)).select(*BAR_COLS, *IND))
 
 
+# rows of a block; production tables with millions of bars a symbol take the default of functions.blocks
+BLOCK_ROWS = 512
+
+
+@register("all_indicators_blocked", O.over_indicators(O.proj(O.BAR_COLS + ", " + O.IND_COLS)))
+def q_all_indicators_blocked(spark, sf_dir):
+    """The same values with windows per block of a symbol's rows."""
+    return rounded(I.add_all_indicators(bars(spark, sf_dir), block_rows=BLOCK_ROWS).select(*BAR_COLS, *IND))
+
+
+@register("signal_blocked", O.over_signals(O.proj(O.BAR_COLS + ", " + O.IND_COLS + ", " + O.SIG_COLS)))
+def q_signal_blocked(spark, sf_dir):
+    out = S.generate_signals(bars(spark, sf_dir), block_rows=BLOCK_ROWS)
+    return rounded(out.select(*BAR_COLS, *IND, *S.SIGNAL_COLUMNS))
+
+
 @register("signal", O.over_signals(O.proj(O.BAR_COLS + ", " + O.IND_COLS + ", " + O.SIG_COLS)))
 def q_signal(spark, sf_dir):
     return rounded(signals(spark, sf_dir).select(*BAR_COLS, *IND, *S.SIGNAL_COLUMNS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.materialize import materialize
-from ..operators import signals as S
+from ..operators.indicators import INDICATOR_COLUMNS as S_INDICATORS
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..streaming import bars as SB
@@ -72,17 +72,57 @@ def q_s_current_signals(spark, sf_dir):
     return rounded(SB.run_current_signals(stream))
 
 
+def bar_waves(spark, sf_dir, count: int, jitter_days: int) -> list:
+    """The daily bars in waves by time, each bar up to ``jitter_days`` late."""
+    b = materialize(bars(spark, sf_dir))
+    return SB.in_waves(b, F.unix_date("ts"), count, jitter_days, F.struct("symbol", "ts"))
+
+
 @register("s_state", O.over_indicators(O.proj("symbol, ts, d:macd, d:macd_signal") + ", false AS late"))
 def q_s_state(spark, sf_dir):
-    """Daily bars stream in year by year, oldest first, each year dealt by symbol
-    (small years are one file, one file per micro-batch); per-symbol state
-    carries the EMAs across batches."""
+    """Daily bars arrive in four waves, oldest first; per-symbol state carries the EMAs across batches and restarts."""
     from ..streaming.state import streaming_macd
 
-    src = scratch_path(spark, "s_state-src")
-    b = materialize(bars(spark, sf_dir))
-    years = [r[0] for r in b.select(F.year("ts")).distinct().orderBy(1).collect()]  # bounded: calendar years
-    for y in years:
-        b.filter(F.year("ts") == y).repartition("symbol").write.mode("append").parquet(src)
-    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    return rounded(SB.run_available_now(streaming_macd(stream), "s_state"))
+    return rounded(SB.run_in_waves(bar_waves(spark, sf_dir, 4, 0), streaming_macd, "s_state"))
+
+
+# Bars arrive up to 20 days late and wait 30 days behind the newest: what is older than that is out.
+JITTER_DAYS, WAIT_DAYS, WAVES = 20, 30, 4
+_RELEASED = f"ts < (SELECT max(ts) - INTERVAL {WAIT_DAYS} DAY FROM bars)"
+
+
+@register(
+    "s_signals",
+    O.with_(O.bars_cte(), O.indicators_ctes(), O.signals_ctes())
+    + "\nSELECT " + O.proj(O.BAR_COLS + ", " + O.IND_COLS + ", signal, d:signal_strength, signal_reason, ma_cross, ma_cross_signal, "
+                           "d:volume_avg, volume_spike, macd_bullish, macd_bearish").replace("signal_reason", "entry_reason AS signal_reason")
+    + f" FROM sig WHERE {_RELEASED}",
+)
+def q_s_signals(spark, sf_dir):
+    """All indicators and the signal of every bar, from a stream whose bars arrive out of order in four waves."""
+    out = _engine(spark, sf_dir, "s_signals")
+    return rounded(out.select(*SIGNAL_COLS))
+
+
+@register(
+    "s_trades",
+    O.over_backtest(O.proj("symbol, date, action, quantity, d:price, d:value, d:commission, d:signal_strength, entry_reason, d:rsi, d:ma_20, d:ma_50, "
+                           "d:pnl, exit_reason, d:cash_after, position_after"), "bt_trades",
+                    "WHERE NOT final AND " + _RELEASED.replace("ts <", "date <")),
+)
+def q_s_trades(spark, sf_dir):
+    """The backtest's trades, from the same stream; what is open stays open."""
+    from ..streaming.engine import TRADE_COLUMNS, stream_trades
+
+    return rounded(stream_trades(_engine(spark, sf_dir, "s_trades")).select(*[c for c in TRADE_COLUMNS if c != "seq"]))
+
+
+SIGNAL_COLS = ["symbol", "ts", "open", "high", "low", "close", "volume", *S_INDICATORS, "signal", "signal_strength", "signal_reason", "ma_cross",
+               "ma_cross_signal", "volume_avg", "volume_spike", "macd_bullish", "macd_bearish"]
+
+
+def _engine(spark, sf_dir, name):
+    from ..streaming.engine import stream_signals
+
+    waves = bar_waves(spark, sf_dir, WAVES, JITTER_DAYS)
+    return SB.run_in_waves(waves, lambda b: stream_signals(b, f"{WAIT_DAYS} days"), name)
