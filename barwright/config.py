@@ -69,6 +69,7 @@ class MLParams:
     max_fit_rows: int = 200_000  # rows of one symbol that a fit reads; beyond it a hashed sample
     tree_depth: int = 10
     tree_min_leaf: int = 10
+    tree_min_split: int = 20
     forest_trees: int = 100
 
 

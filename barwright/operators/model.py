@@ -6,7 +6,8 @@ Newton solve gives the same coefficients any exact solver would.
 
 The fit is the only Python step: ``groupBy(symbol).applyInPandas`` hands one
 symbol's training rows (at most about ``max_fit_rows``, 33 doubles each) to a
-numpy Newton solver.  Scoring, the "latest" row and every metric are JVM
+numpy Newton solver, or ``fit_logistic_sums`` adds up each step's gradient and
+Hessian over all rows of symbols of any size.  Scoring, the "latest" row and every metric are JVM
 expressions and aggregates over the coefficient table joined by symbol.
 """
 
@@ -14,12 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MLParams
+from ..functions.materialize import materialize
 from ..functions.windows import SYMBOL, TS
 from .features import feature_columns, transform
 
@@ -74,6 +77,90 @@ def fit_logistic(scaled: DataFrame, ml: MLParams = DEFAULT.ml, features: list[st
     return train.groupBy(SYMBOL).applyInPandas(fit, COEF_SCHEMA)
 
 
+def fit_logistic_sums(scaled: DataFrame, ml: MLParams = DEFAULT.ml, features: list[str] | None = None, target: str = "target") -> DataFrame:
+    """The same coefficients from all training rows, with no group of a symbol's rows anywhere.
+
+    Each Newton step is one job: tasks turn the rows they read into one row of sums a symbol
+    (gradient and upper half of the Hessian), the sums of a symbol are added as they stream by, and its
+    small system is solved.  Symbols that have converged take no further part; the driver
+    sees only how many have not.  A symbol may have any number of rows on any number of tasks.
+    """
+    feats = features or feature_columns(ml.max_lag)
+    d = len(feats) + 1
+    upper = np.triu_indices(d)
+    rows = materialize(scaled.filter(F.col("is_train")).select(
+        SYMBOL, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in feats]).alias("x"), F.col(target).cast("double").alias("y")))
+    counts = rows.groupBy(SYMBOL).agg(F.count(F.lit(1)).alias("n_train"), F.sum("y").alias("ones"))
+    one_class = F.when(F.col("ones") == 0, -40.0).when(F.col("ones") == F.col("n_train"), 40.0)
+    coefs = materialize(counts.select(
+        SYMBOL, F.concat(F.array(F.coalesce(one_class, F.lit(0.0))), F.array_repeat(F.lit(0.0), d - 1)).alias("w"),
+        "n_train", F.lit(0).alias("iterations"), one_class.isNotNull().alias("done")))
+
+    def sums(batches):
+        held: dict[str, list] = {}
+
+        def out():
+            names = list(held)
+            table = {"symbol": names, "sums": [held[s][0] for s in names], "w": [held[s][1] for s in names]}
+            held.clear()
+            return pa.RecordBatch.from_pydict(table, schema=pa.schema([("symbol", pa.string()), ("sums", pa.list_(pa.float64())), ("w", pa.list_(pa.float64()))]))
+
+        for batch in batches:
+            symbols = np.array(batch.column("symbol").to_pylist(), dtype=object)
+            x = batch.column("x").flatten().to_numpy().reshape(-1, d)
+            y, w = batch.column("y").to_numpy(), batch.column("w").flatten().to_numpy().reshape(-1, d)
+            order = np.argsort(symbols, kind="stable")
+            cuts = np.flatnonzero(np.concatenate(([True], symbols[order][1:] != symbols[order][:-1]))) if len(order) else []
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                i = order[a:b]
+                A, now = x[i], w[i[0]]
+                p = 1.0 / (1.0 + np.exp(-(A @ now)))
+                part = np.concatenate([A.T @ (p - y[i]), ((A * (p * (1 - p))[:, None]).T @ A)[upper]])
+                name = symbols[i[0]]
+                held[name] = [held[name][0] + part, now] if name in held else [part, now]
+            if len(held) > 2000:
+                yield out()
+        if held:
+            yield out()
+
+    reg = np.full(d, ml.l2)
+    reg[0] = 0.0
+
+    def solved(name: str, total: np.ndarray, w: np.ndarray) -> dict:
+        hessian = np.zeros((d, d))
+        hessian[upper] = total[d:]
+        hessian = hessian + np.triu(hessian, 1).T + np.diag(reg)
+        step = np.linalg.solve(hessian + 1e-12 * np.eye(d), total[:d] + reg * w)
+        return {"symbol": name, "w": w - step, "done": bool(np.max(np.abs(step)) < 1e-10)}
+
+    def solve(batches):
+        schema = pa.schema([("symbol", pa.string()), ("w", pa.list_(pa.float64())), ("done", pa.bool_())])
+        name, total, w = None, None, None
+        for batch in batches:
+            out = []
+            for s, part, now in zip(*[batch.column(c).to_pylist() for c in ("symbol", "sums", "w")]):
+                if s != name:
+                    if name is not None:
+                        out.append(solved(name, total, w))
+                    name, total, w = s, np.zeros(len(part)), np.array(now)
+                total += np.array(part)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if name is not None:
+            yield pa.RecordBatch.from_pylist([solved(name, total, w)], schema)
+
+    for it in range(1, ml.max_iter + 1):
+        active = coefs.where(~F.col("done")).select(SYMBOL, "w")
+        if active.isEmpty():
+            break
+        parts = rows.join(active, SYMBOL).mapInArrow(sums, "symbol string, sums array<double>, w array<double>")
+        new = parts.repartition(SYMBOL).sortWithinPartitions(SYMBOL).mapInArrow(solve, "symbol string, w array<double>, done boolean")
+        new = new.select(SYMBOL, F.col("w").alias("_w"), F.col("done").alias("_done"))
+        coefs = materialize(coefs.join(new, SYMBOL, "left").select(
+            SYMBOL, F.coalesce("_w", "w").alias("w"), "n_train",
+            F.when(F.col("_w").isNotNull(), F.lit(it)).otherwise(F.col("iterations")).alias("iterations"), F.coalesce("_done", "done").alias("done")))
+    return coefs.select(SYMBOL, F.col("w")[0].alias("intercept"), F.slice("w", 2, d - 1).alias("coef"), "n_train", "iterations")
+
+
 def score(scaled: DataFrame, coefs: DataFrame, ml: MLParams = DEFAULT.ml, features: list[str] | None = None) -> DataFrame:
     """Add ``decision``, ``probability`` (P(up)) and ``prediction`` to every row."""
     feats = features or feature_columns(ml.max_lag)

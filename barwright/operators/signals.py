@@ -165,15 +165,3 @@ def valid_signal(st: StrategyParams = DEFAULT.strategy) -> Column:
         & F.col("ma_50").isNotNull()
     )
 
-
-def strategy_summary(spark, ind: IndicatorParams = DEFAULT.indicators, st: StrategyParams = DEFAULT.strategy) -> DataFrame:
-    desc = (
-        f"Buy when RSI < {st.rsi_oversold} or MA({ind.ma_short}) crosses above MA({ind.ma_long}). "
-        f"Sell when RSI > {st.rsi_overbought} or MA({ind.ma_short}) crosses below MA({ind.ma_long})."
-    )
-    return spark.createDataFrame(
-        [("RSI-MA Strategy", st.rsi_oversold, st.rsi_overbought, ind.ma_short, ind.ma_long,
-          st.stop_loss_pct, st.take_profit_pct, desc)],
-        "name string, rsi_oversold int, rsi_overbought int, ma_short int, ma_long int, "
-        "stop_loss_pct double, take_profit_pct double, description string",
-    )

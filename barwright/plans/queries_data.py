@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.materialize import materialize
 from ..operators import cleaning as C
 from ..operators import backtest as B
 from ..operators import signals as S
@@ -13,6 +14,7 @@ from ..session import scratch_path
 from ..sources import bars as SB
 from ..sources import fixtures as FX
 from ..sources import sinks as SK
+from ..sources.store import BarStore
 from . import oracle as O
 from .catalog import register, rounded
 from .queries_core import bars, signals
@@ -266,10 +268,20 @@ def q_derive_gap(spark, sf_dir):
 # ------------------------------------------------------------------ sinks
 
 
-def _written(spark, df, name):
+def _yesterday():
+    return {"updated": F.lit(REPORT_AS_OF - dt.timedelta(days=1))}
+
+
+def published(spark, df, name, stale):
+    """The report ``df`` after an earlier report (every symbol twice, with ``stale`` columns) was published at the same path."""
     path = scratch_path(spark, name)
-    SK.write_table(df, path)
-    return spark.read.parquet(path)
+    df = materialize(df)
+    old = df.withColumns(stale)
+    SK.publish(old.unionByName(old), path)
+    return SK.publish(df, path)
+
+
+
 
 
 @register(
@@ -281,7 +293,7 @@ def _written(spark, df, name):
 )
 def q_sink_trading_log(spark, sf_dir):
     led = B.run_backtest(signals(spark, sf_dir))
-    return _written(spark, rounded(SK.trading_log(led, REPORT_AS_OF)), "trading_log")
+    return published(spark, rounded(SK.trading_log(led, REPORT_AS_OF)), "trading_log", _yesterday())
 
 
 @register(
@@ -292,7 +304,7 @@ def q_sink_trading_log(spark, sf_dir):
 def q_sink_performance(spark, sf_dir):
     from .queries_backtest import _summary
 
-    return _written(spark, rounded(SK.performance(_summary(spark, sf_dir))), "performance")
+    return published(spark, rounded(SK.performance(_summary(spark, sf_dir))), "performance", {"final_value": F.lit(0.0)})
 
 
 @register(
@@ -305,4 +317,68 @@ def q_sink_performance(spark, sf_dir):
 )
 def q_sink_signals(spark, sf_dir):
     cur = S.current_signals(signals(spark, sf_dir))
-    return _written(spark, rounded(SK.signals_table(cur, REPORT_AS_OF)), "signals")
+    return published(spark, rounded(SK.signals_table(cur, REPORT_AS_OF)), "signals", _yesterday())
+
+
+@register(
+    "sink_log_by_symbol",
+    O.over_backtest(
+        O.proj("date, symbol, upper(action) AS action, quantity, d:price, d:value, d:commission, d:signal_strength, "
+               f"entry_reason, d:rsi, d:ma_20, d:ma_50, d:pnl, 'BACKTEST' AS mode, "
+               f"CASE WHEN symbol LIKE '%2' THEN DATE '{REPORT_AS_OF}' ELSE DATE '{REPORT_AS_OF}' - 1 END AS updated"),
+        "bt_trades"),
+)
+def q_sink_log_by_symbol(spark, sf_dir):
+    """Yesterday's trading log, in which only the symbols that end in 2 are published again."""
+    path = scratch_path(spark, "trading_log_by_symbol")
+    log = materialize(rounded(SK.trading_log(B.run_backtest(signals(spark, sf_dir)), REPORT_AS_OF)))
+    SK.publish(log.withColumns(_yesterday()), path)
+    return SK.republish(log.where(F.col("symbol").endswith("2")), path)
+
+
+# ------------------------------------------------------------------ bar store, watch lists in JSON
+
+# Bars of list MFGR_1 end here, so that their newest prices lie in older periods of the store.
+DELISTED = dt.date(1996, 1, 1)
+
+
+@register(
+    "latest_price_store",
+    O.over_bars(O.proj("symbol, d:price=max_by(close, ts), max(ts) AS ts"),
+                f"WHERE NOT (symbol LIKE 'Brand#1%' AND ts >= DATE '{DELISTED}') GROUP BY symbol"),
+)
+def q_latest_price_store(spark, sf_dir):
+    """Newest prices of all listed symbols from stored bars: newest period first, older ones for the symbols still missing."""
+    kept = bars(spark, sf_dir).where(~(F.col("symbol").startswith("Brand#1") & (F.col("ts") >= F.lit(DELISTED))))
+    store = BarStore(spark, scratch_path(spark, "bar-store")).write(kept)
+    listed = (FX.derived_universe(spark, sf_dir).select("symbol")
+              .union(FX.table(spark, sf_dir, "events").select("event_type")).distinct())
+    found, _ = store.latest_price(listed)
+    return rounded(found)
+
+
+@register("universe_json", O.with_(UNIVERSE_SQL) + """
+SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY symbol) - 1 AS INTEGER) AS position, symbol FROM universe""")
+def q_universe_json(spark, sf_dir):
+    """The watch lists written as the JSON file they come in, and read from it."""
+    lists = FX.derived_universe(spark, sf_dir).groupBy("name").agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
+    path = scratch_path(spark, "universe-json")
+    whole = lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "symbols")))).alias("value"))  # one small file, as it is kept
+    whole.coalesce(1).write.text(path)
+    return SB.read_universe(spark, path)
+
+
+@register(
+    "ffill_bfill_head",
+    O.with_(TICKS_SQL, _resample_sql(3_600_000_000), HOURLY_GRID_SQL.replace("gapped AS", "gapped0 AS"), """heads AS (
+  SELECT symbol, min(ts) + INTERVAL 5 HOUR AS known FROM gapped0 GROUP BY symbol),
+gapped AS (SELECT g.symbol, g.ts, """ + ", ".join(f"CASE WHEN g.ts >= known THEN {c} END AS {c}" for c in C.OHLCV)
+            + " FROM gapped0 g JOIN heads USING (symbol))")
+    + "\nSELECT symbol, ts, " + ", ".join(O.r(_fill(c), c) for c in C.OHLCV) + " FROM gapped",
+)
+def q_ffill_bfill_head(spark, sf_dir):
+    """Hourly bars whose first five hours of each symbol are missing: only the backward fill reaches them."""
+    grid = C.regular_grid(C.resample(FX.event_ticks(spark, sf_dir), "1h", tiebreak="seq"), "1 hour")
+    heads = grid.groupBy("symbol").agg((F.min("ts") + F.expr("INTERVAL 5 HOUR")).alias("known"))
+    gapped = grid.join(heads, "symbol").select("symbol", "ts", *[F.when(F.col("ts") >= F.col("known"), F.col(c)).alias(c) for c in C.OHLCV])
+    return rounded(C.ffill_bfill(gapped).select("symbol", "ts", *C.OHLCV))

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.materialize import materialize
 from ..operators import features as FE
 from ..operators import model as M
+from ..operators import trees as TR
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources import sinks as SK
 from . import oracle as O
 from .catalog import register, rounded
 from .queries_core import bars
-from .queries_data import REPORT_AS_OF
+from .queries_data import REPORT_AS_OF, published
 
 FEATS = FE.FEATURES
 _LAGS = ", ".join(
@@ -135,9 +136,7 @@ def q_ml_scale(spark, sf_dir):
     return rounded(scaled(spark, sf_dir).select("symbol", "ts", "is_train", "target", *FEATS))
 
 
-@register(
-    "ml_features_alt",
-    O.with_(O.bars_cte(), O.indicators_ctes(), """a0 AS (
+ALT_CTES = """a0 AS (
   SELECT symbol, ts, rsi AS RSI, ma_20 AS MA_20, ma_50 AS MA_50, macd AS MACD, macd_signal AS MACD_Signal,
          macd - macd_signal AS MACD_Hist,
          volume / nullif(lag(volume) OVER w, 0) - 1.0 AS Volume_Change,
@@ -155,7 +154,12 @@ a2 AS (
   WHERE RSI IS NOT NULL AND MA_20 IS NOT NULL AND MA_50 IS NOT NULL AND MACD IS NOT NULL AND MACD_Signal IS NOT NULL
     AND Volume_Change IS NOT NULL AND Price_Change IS NOT NULL AND Close_Lag1 IS NOT NULL AND Close_Lag2 IS NOT NULL
     AND Volatility IS NOT NULL
-)""") + "\nSELECT " + O.proj("symbol, ts, d:RSI, d:MA_20, d:MA_50, d:MACD, d:MACD_Signal, d:MACD_Hist, d:Volume_Change, "
+)"""
+
+
+@register(
+    "ml_features_alt",
+    O.with_(O.bars_cte(), O.indicators_ctes(), ALT_CTES) + "\nSELECT " + O.proj("symbol, ts, d:RSI, d:MA_20, d:MA_50, d:MACD, d:MACD_Signal, d:MACD_Hist, d:Volume_Change, "
                               "d:Price_Change, Target, d:Close_Lag1, d:Close_Lag2, d:Volatility") + " FROM a2 WHERE n >= 20",
 )
 def q_ml_features_alt(spark, sf_dir):
@@ -302,9 +306,7 @@ def q_sink_ml(spark, sf_dir):
     _, _, s = _scored(spark, sf_dir)
     s = s.select("symbol", "ts", "is_train", "target", "prediction", "probability")
     preds = M.for_all(listed(spark, sf_dir), M.evaluate(s).select("symbol", "accuracy").join(M.latest(s), "symbol"))
-    path = scratch_path(spark, "ml_predictions")
-    SK.write_table(rounded(SK.ml_table(preds, REPORT_AS_OF)), path)
-    return spark.read.parquet(path)
+    return published(spark, rounded(SK.ml_table(preds, REPORT_AS_OF)), "ml_predictions", {"model_accuracy": F.lit(0.0)})
 
 
 @register("model_save_load")
@@ -317,3 +319,116 @@ def q_model_save_load(spark, sf_dir):
     saved = M.load(spark, path)
     last = M.latest(M.score_with(rows.select("symbol", "ts", *FEATS), saved))
     return rounded(saved.join(last, "symbol"))
+
+
+# ---------------------------------------------------------------- the rule through the sink, the saved model and the second feature set
+
+_KNOWN = "known AS (SELECT DISTINCT p_brand AS symbol FROM part UNION SELECT DISTINCT event_type FROM events)"
+_NEWEST = "newest AS (SELECT * FROM rule QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)"
+
+
+@register(
+    "ml_confusion_rule",
+    _over_rule("symbol, count(*) FILTER (target = 0 AND prediction = 0) AS tn, count(*) FILTER (target = 0 AND prediction = 1) AS fp, "
+               "count(*) FILTER (target = 1 AND prediction = 0) AS fn, count(*) FILTER (target = 1 AND prediction = 1) AS tp",
+               "rule", "WHERE NOT is_train GROUP BY symbol"),
+)
+def q_ml_confusion_rule(spark, sf_dir):
+    m = M.evaluate(_by_rule(spark, sf_dir))
+    return m.select("symbol", *[F.col("confusion_matrix")[i][j].alias(n) for n, i, j in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])
+
+
+@register(
+    "sink_ml_rule",
+    _over_rule(O.proj("symbol, d:model_accuracy=coalesce(accuracy, 0.5), CAST(coalesce(prediction, 0) AS INTEGER) AS latest_prediction, "
+                      "d:confidence=coalesce(greatest(probability, 1.0 - probability), 0.5), "
+                      f"DATE '{REPORT_AS_OF}' AS date, DATE '{REPORT_AS_OF}' AS updated"),
+               "known LEFT JOIN (SELECT * FROM newest JOIN right_ USING (symbol)) n USING (symbol)", "", _KNOWN, _NEWEST,
+               "right_ AS (SELECT symbol, avg(CASE WHEN target = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM rule WHERE NOT is_train GROUP BY symbol)"),
+)
+def q_sink_ml_rule(spark, sf_dir):
+    s = _by_rule(spark, sf_dir)
+    preds = M.for_all(listed(spark, sf_dir), M.evaluate(s).select("symbol", "accuracy").join(M.latest(s), "symbol"))
+    return published(spark, rounded(SK.ml_table(preds, REPORT_AS_OF)), "ml_predictions_rule", {"model_accuracy": F.lit(0.0)})
+
+
+@register(
+    "model_save_load_rule",
+    _over_rule(O.proj("symbol, ts, prediction AS latest_prediction, d:confidence=greatest(probability, 1.0 - probability), d:probability, "
+                      "d:macd_mean, d:macd_std, 'rule' AS model_type"),
+               "newest JOIN stats USING (symbol)", "", _NEWEST,
+               "stats AS (SELECT symbol, avg(macd) AS macd_mean, stddev_pop(macd) AS macd_std FROM fsplit WHERE is_train GROUP BY symbol)"),
+)
+def q_model_save_load_rule(spark, sf_dir):
+    """The rule's table as a model with its scaler, saved, loaded, and used on raw features."""
+    rows = split_rows(spark, sf_dir)
+    scaler = FE.fit_scaler(rows)
+    coef = F.array(*[F.lit(RULE.get(c, 0.0)) for c in FEATS])
+    coefs = rows.select("symbol").distinct().select("symbol", F.lit(0.0).alias("intercept"), coef.alias("coef"))
+    path = scratch_path(spark, "model-rule")
+    M.save(M.bundle(coefs, scaler, model_type="rule"), path)
+    saved = M.load(spark, path)
+    at = FEATS.index("macd")
+    last = M.latest(M.score_with(rows.select("symbol", "ts", *FEATS), saved))
+    return rounded(saved.join(last, "symbol").select(
+        "symbol", "ts", "latest_prediction", "confidence", "probability", F.col("means")[at].alias("macd_mean"), F.col("stds")[at].alias("macd_std"), "model_type"))
+
+
+ALT_RULE = {"MACD": 1.0, "MACD_Signal": -1.0}
+
+
+@register(
+    "ml_predictor_rule",
+    O.with_(O.bars_cte(), O.indicators_ctes(), ALT_CTES, """a3 AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) <= CAST(floor(n * 0.8) AS BIGINT) AS is_train FROM a2 WHERE n >= 20)""",
+            f"a4 AS (SELECT *, {_z('MACD')} - {_z('MACD_Signal')} AS decision FROM a3)", _KNOWN,
+            "newest AS (SELECT * FROM a4 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1)")
+    + "\nSELECT " + O.proj("symbol, ts, CASE WHEN coalesce(decision, 0) > 0 THEN 1 ELSE 0 END AS direction, "
+                           "d:confidence=coalesce(1.0 / (1.0 + exp(-decision)), 0.5), " + ", ".join(f"d:{c}" for c in FE.ALT_FEATURES))
+    + " FROM known LEFT JOIN newest USING (symbol)",
+)
+def q_ml_predictor_rule(spark, sf_dir):
+    """The second feature set's predictor with the rule for a model: direction, P(up) and the raw newest row."""
+    alt = FE.alt_features(bars(spark, sf_dir))
+    rows = materialize(FE.split(alt.withColumn("n_clean", F.count(F.lit(1)).over(Window.partitionBy("symbol")))))
+    coef = F.array(*[F.lit(ALT_RULE.get(c, 0.0)) for c in FE.ALT_FEATURES])
+    coefs = rows.select("symbol").distinct().select("symbol", F.lit(0.0).alias("intercept"), coef.alias("coef"))
+    s = M.score(FE.transform(rows, FE.fit_scaler(rows, FE.ALT_FEATURES), FE.ALT_FEATURES), coefs, features=FE.ALT_FEATURES)
+    newest = M.latest(s).join(rows.select("symbol", "ts", *FE.ALT_FEATURES), ["symbol", "ts"])
+    return rounded(M.for_all(listed(spark, sf_dir), newest).select(
+        "symbol", "ts", F.col("latest_prediction").alias("direction"), F.col("probability").alias("confidence"), *FE.ALT_FEATURES))
+
+
+# ---------------------------------------------------------------- fits over symbols of any size
+
+
+@register("ml_train_sums")
+def q_ml_train_sums(spark, sf_dir):
+    """Coefficients from grouped sums; equal to ``ml_train`` (tests hold them to 1e-8)."""
+    return M.fit_logistic_sums(scaled(spark, sf_dir))
+
+
+def _grown(spark, sf_dir, forest):
+    rows = materialize(scaled(spark, sf_dir).select("symbol", "ts", "is_train", "target", *FEATS))
+    return rows, *TR.fit_symbol_trees(rows, FEATS, forest=forest)
+
+
+@register("ml_tree_importance")
+def q_ml_tree_importance(spark, sf_dir):
+    """What each symbol's decision tree splits on; shares of 1 per symbol."""
+    _, nodes, _ = _grown(spark, sf_dir, False)
+    return rounded(TR.symbol_importance(nodes, FEATS))
+
+
+@register("ml_tree_evaluate")
+def q_ml_tree_evaluate(spark, sf_dir):
+    rows, nodes, cuts = _grown(spark, sf_dir, False)
+    scored = TR.score_symbol_trees(rows, nodes, cuts, FEATS, keep=("is_train", "target"))
+    return rounded(M.evaluate(scored).select("symbol", *SCORES))
+
+
+@register("ml_forest_importance")
+def q_ml_forest_importance(spark, sf_dir):
+    """The same of forests of a hundred trees a symbol."""
+    _, nodes, _ = _grown(spark, sf_dir, True)
+    return rounded(TR.symbol_importance(nodes, FEATS))

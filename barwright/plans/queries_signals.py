@@ -73,21 +73,19 @@ def q_position_size(spark, sf_dir):
 
 @register(
     "stop_loss",
-    O.over_signals(O.proj("symbol, ts, signal, d:stop_loss=CASE WHEN signal = 'buy' THEN close * (1 - 0.02) ELSE close * (1 + 0.02) END"),
-                   "WHERE signal <> 'hold'"),
+    O.over_signals(O.proj("symbol, ts, signal, d:stop_loss=CASE WHEN signal = 'buy' THEN close * (1 - 0.02) ELSE close * (1 + 0.02) END")),
 )
 def q_stop_loss(spark, sf_dir):
-    s = signals(spark, sf_dir).filter(F.col("signal") != "hold")
+    s = signals(spark, sf_dir)
     return rounded(s.select("symbol", "ts", "signal", S.stop_loss_price(F.col("close"), F.col("signal")).alias("stop_loss")))
 
 
 @register(
     "take_profit",
-    O.over_signals(O.proj("symbol, ts, signal, d:take_profit=CASE WHEN signal = 'buy' THEN close * (1 + 0.04) ELSE close * (1 - 0.04) END"),
-                   "WHERE signal <> 'hold'"),
+    O.over_signals(O.proj("symbol, ts, signal, d:take_profit=CASE WHEN signal = 'buy' THEN close * (1 + 0.04) ELSE close * (1 - 0.04) END")),
 )
 def q_take_profit(spark, sf_dir):
-    s = signals(spark, sf_dir).filter(F.col("signal") != "hold")
+    s = signals(spark, sf_dir)
     return rounded(s.select("symbol", "ts", "signal", S.take_profit_price(F.col("close"), F.col("signal")).alias("take_profit")))
 
 

@@ -24,10 +24,10 @@ _CLOSED = f"(SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL {DELAY_MIN} MINUTE FRO
     "s_bars",
     f"""WITH k AS (
   SELECT event_type AS symbol, make_timestamp(epoch_us(CAST(ts AS TIMESTAMP)) // 300000000 * 300000000) AS ts,
-         value AS price, CAST(ts AS TIMESTAMP) AS t0
+         value AS price, CAST(ts AS TIMESTAMP) AS t0, event_id
   FROM events
 )
-SELECT symbol, ts, {O.proj('d:open=arg_min(price, t0), d:high=max(price), d:low=min(price), d:close=arg_max(price, t0), d:volume=count(*)')}
+SELECT symbol, ts, {O.proj('d:open=first(price ORDER BY t0, event_id), d:high=max(price), d:low=min(price), d:close=last(price ORDER BY t0, event_id), d:volume=count(*)')}
 FROM k WHERE ts + INTERVAL 5 MINUTE <= {_CLOSED} GROUP BY symbol, ts""",
 )
 def q_s_bars(spark, sf_dir):
@@ -72,6 +72,29 @@ def q_s_current_signals(spark, sf_dir):
     return rounded(SB.run_current_signals(stream))
 
 
+# Ticks arrive up to an hour late, in four waves; every seventh is sent again with the next wave.
+TICK_JITTER_US, TICK_WAVES, TICK_DELAY = 3_600_000_000, 4, "30 days"
+
+
+@register(
+    "s_bars_corrected",
+    f"""WITH k AS (
+  SELECT event_type AS symbol, make_timestamp(epoch_us(CAST(ts AS TIMESTAMP)) // 300000000 * 300000000) AS ts,
+         value AS price, CAST(ts AS TIMESTAMP) AS t0, event_id FROM events
+)
+SELECT symbol, ts, {O.proj('d:open=first(price ORDER BY t0, event_id), d:high=max(price), d:low=min(price), d:close=last(price ORDER BY t0, event_id), d:volume=count(*)')}
+FROM k GROUP BY symbol, ts""",
+)
+def q_s_bars_corrected(spark, sf_dir):
+    """Five-minute bars of a table that late ticks correct and repeated ticks do not change, over several files."""
+    events = FX.table(spark, sf_dir, "events")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    waves = SB.in_waves(events, micros, TICK_WAVES, TICK_JITTER_US, F.col("event_id"))
+    again = [w.unionByName(before.where("event_id % 7 = 0")) for before, w in zip(waves, waves[1:])]
+    return rounded(SB.run_corrected_bars([waves[0], *again], SB.event_ticks, "5 minutes", TICK_DELAY))
+
+
 def bar_waves(spark, sf_dir, count: int, jitter_days: int) -> list:
     """The daily bars in waves by time, each bar up to ``jitter_days`` late."""
     b = materialize(bars(spark, sf_dir))

@@ -1,7 +1,9 @@
 """Report tables (trading log, performance, current signals, ML predictions).
 
-Each is a DataFrame with a fixed column list, written with
-``mode("overwrite")`` - the equivalent of clearing a sheet and writing it again.
+Each is a DataFrame with a fixed column list.  ``publish`` replaces the report
+table as a whole - the equivalent of clearing a sheet and writing it again - as a
+new version beside the old one, so that readers see one or the other; ``republish``
+replaces only the rows of the symbols at hand.  ``write_table`` writes plain files.
 Timestamps come from an explicit ``as_of`` parameter, never the clock.
 """
 
@@ -9,9 +11,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versioned import VersionedTable, hash_bucket
+
 TRADING_LOG_COLUMNS = [
     "date", "symbol", "action", "quantity", "price", "value", "commission", "signal_strength",
     "entry_reason", "rsi", "ma_20", "ma_50", "pnl", "mode", "updated",
@@ -59,3 +63,21 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     if fmt == "csv":
         w = w.option("header", True)
     w.save(path)
+
+
+def report_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, ["symbol"], hash_bucket("symbol"))
+
+
+def publish(df: DataFrame, path: str) -> DataFrame:
+    """Replace the report at ``path`` by ``df``; the report as readers see it."""
+    table = report_table(df.sparkSession, path)
+    table.replace(df)
+    return table.read()
+
+
+def republish(df: DataFrame, path: str) -> DataFrame:
+    """Replace the rows of ``df``'s symbols in the report at ``path``; other symbols keep theirs."""
+    table = report_table(df.sparkSession, path)
+    table.upsert(df)
+    return table.read()

@@ -16,7 +16,10 @@ NAMES = [
     "resample", "ffill_bfill", "outlier_filter", "derive_volatility", "ml_scale", "ml_features_alt", "s_bars",
     "ema", "ema_long", "macd", "bollinger", "volume_sma", "position_size", "scan_intraday_range", "resample_weekly",
     "resample_monthly", "bt_empty", "dedup", "symbol_limit", "scan_symbols", "scan_symbols_missing", "m_trade_stats", "ml_split_small",
-    "ml_evaluate_rule", "ml_predict_next_rule", "m_volatility", "m_excess",
+    "ml_evaluate_rule", "ml_predict_next_rule", "m_volatility", "m_excess", "m_sharpe", "m_max_drawdown",
+    "all_indicators_blocked", "signal_blocked", "bt_incremental", "s_state", "s_signals", "s_trades", "s_bars_corrected",
+    "latest_price_store", "universe_json", "ffill_bfill_head", "stop_loss", "take_profit", "sink_trading_log", "sink_performance",
+    "sink_signals", "sink_log_by_symbol", "ml_confusion_rule", "sink_ml_rule", "model_save_load_rule", "ml_predictor_rule",
 ]
 
 
@@ -52,7 +55,8 @@ def test_query_matches_sql(spark, small_dir, con, name):
 def test_every_query_has_sql_or_is_model_or_stream():
     no_sql = {name for name, q in REGISTRY.items() if q.sql is None}  # the llm queries have tests of their own
     assert no_sql <= {"ml_train", "ml_predict_all", "ml_predict_next", "ml_evaluate", "ml_predictor",
-                      "ml_importance", "sink_ml", "model_save_load"}
+                      "ml_importance", "sink_ml", "model_save_load", "ml_train_sums",
+                      "ml_tree_importance", "ml_tree_evaluate", "ml_forest_importance"}
 
 
 def test_entry_runs(spark):
