@@ -35,7 +35,7 @@ from ..functions.materialize import materialize
 from ..functions.windows import SYMBOL, TS
 from .features import feature_columns
 
-SALTS = 8
+ROWS_PER_SALT = 50_000
 MAX_BINS = 64
 HELD_BYTES = 64 << 20
 
@@ -105,7 +105,13 @@ def _groups(batches, columns: list[str]):
             i = j
 
 
-def binned(rows: DataFrame, cuts: DataFrame, features: list[str], target: str | None = "target", salts: int = SALTS, extra: tuple[str, ...] = ()) -> DataFrame:
+def salts_for(rows: DataFrame) -> int:
+    """Into how many parts each symbol's rows are dealt: as many as the longest symbol needs."""
+    most = rows.groupBy(SYMBOL).count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-most // ROWS_PER_SALT))
+
+
+def binned(rows: DataFrame, cuts: DataFrame, features: list[str], target: str | None, salts: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """symbol, salt, key, y, bins (a byte a feature) and ``extra`` columns of every row whose symbol has cuts."""
     key = F.xxhash64(SYMBOL, TS)
     y = F.col(target).cast("int") if target else F.lit(0)
@@ -191,17 +197,17 @@ def _level_kernel(features: int, max_bins: int, trees: int, take: int, level: in
                     continue
                 weight, node = draws(keys, tree, trees > 1), _walk(bins, split.get(tree, {}), level)
                 here = np.flatnonzero((node >= first) & (weight > 0))
-                order = here[np.argsort(node[here], kind="stable")]
-                found, begin = np.unique(node[order], return_index=True)
-                for n, a, b in zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
-                    rows = order[a:b]
-                    look = candidates(symbol, tree, n, features, take)
-                    cell = (np.arange(len(look)) * max_bins + bins[rows][:, look]) * 2 + y[rows][:, None]
-                    hist = np.bincount(cell.ravel(), np.repeat(weight[rows], len(look)), len(look) * max_bins * 2)
+                if not len(here):
+                    continue
+                found, which = np.unique(node[here], return_inverse=True)
+                look = np.stack([candidates(symbol, tree, n, features, take) for n in found.tolist()])
+                cell = ((which[:, None] * look.shape[1] + np.arange(look.shape[1])) * max_bins + bins[here[:, None], look[which]]) * 2 + y[here][:, None]
+                hist = np.bincount(cell.ravel(), np.repeat(weight[here], look.shape[1]), len(found) * look.shape[1] * max_bins * 2)
+                for n, part_ in zip(found.tolist(), hist.reshape(len(found), -1)):
                     if (tree, n) in held:
-                        held[tree, n] += hist
+                        held[tree, n] += part_
                     else:
-                        held[tree, n] = hist
+                        held[tree, n] = part_.copy()
                 if len(held) * one > HELD_BYTES:
                     yield out()
         if held:
@@ -263,11 +269,12 @@ def _leads(nodes: DataFrame) -> DataFrame:
 
 
 def fit_symbol_trees(scaled: DataFrame, features: list[str] | None = None, ml: MLParams = DEFAULT.ml, *, forest: bool = False,
-                     target: str = "target", max_bins: int = MAX_BINS, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+                     target: str = "target", max_bins: int = MAX_BINS, salts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a tree, or of a forest of ``ml.forest_trees``, for each symbol's training rows."""
     feats = features or feature_columns(ml.max_lag)
     trees, take = (ml.forest_trees, max(1, int(math.sqrt(len(feats))))) if forest else (1, len(feats))
     train = scaled.filter(F.col("is_train"))
+    salts = salts or salts_for(train)
     cuts = materialize(edges(train, feats, max_bins))
     rows = materialize(binned(train, cuts, feats, target, salts))
     nodes = scaled.sparkSession.createDataFrame([], NODES)
@@ -283,10 +290,11 @@ def fit_symbol_trees(scaled: DataFrame, features: list[str] | None = None, ml: M
 
 
 def score_symbol_trees(rows: DataFrame, nodes: DataFrame, cuts: DataFrame, features: list[str] | None = None, ml: MLParams = DEFAULT.ml,
-                       *, keep: tuple[str, ...] = (), salts: int = SALTS) -> DataFrame:
+                       *, keep: tuple[str, ...] = (), salts: int | None = None) -> DataFrame:
     """symbol, ts, ``keep``, probability (mean over trees of the leaf's share of class 1) and prediction of every row."""
     feats = features or feature_columns(ml.max_lag)
     extra = (TS, *keep)
+    salts = salts or salts_for(rows)
     coded = binned(rows, cuts, feats, None, salts, extra).drop("key", "y")
     counts = nodes.groupBy(SYMBOL).agg(F.collect_list(F.struct("tree", "node", "feature", "bin", (F.col("n1") / (F.col("n0") + F.col("n1"))).alias("p"))).alias("splits"))
     kinds = {f.name: f for f in rows.schema.fields}
