@@ -6,10 +6,12 @@ of level q is entered q times, as (n-gram, 1) to (n-gram, q), into a Bloom
 filter, which is broadcast in parts.  A count is read by probing (n-gram, 1),
 (n-gram, 2), ... until a probe fails.  Probabilities are interpolated:
 
-    P(w)     = c(w) / (N + V), and V / (N + V) for any word without a count
+    P(w)     = c(w) / (N + V), and V / (N + V) / (V + 1) for each word without a count
     P(w | u) = pair_weight * min(1, c(u, w) / c(u)) + (1 - pair_weight) * P(w)
 
-with N training tokens of V kinds; u is the word before, or the end mark.
+with N training tokens of V kinds; u is the word before, or the end mark.  As
+many words without a count are supposed as there are kinds, and one; with them all P(w)
+add up to 1, up to the filter's rounding of counts.
 
 Every counted n-gram enters, words and pairs seen once among them.  The filter
 has 12 bits an entry, the entries known from the exact histogram of levels.  A
@@ -159,6 +161,7 @@ class Model:
     def __init__(self, parts: list, levels: int, shard_bits: int, starts: np.ndarray, total: int, kinds: int, pair_weight: float):
         self.parts, self.levels, self.shard_bits, self.values = parts, levels, shard_bits, level_values(starts)
         self.total, self.kinds, self.pair_weight = total, kinds, pair_weight
+        self.unseen = kinds / (kinds + 1.0) if kinds else 1.0  # the share of the kinds' mass that one word without a count gets, as a count
 
     @property
     def bits(self) -> np.ndarray:
@@ -202,7 +205,7 @@ class Model:
         both_kinds, both_which = np.unique(pairs(tok), return_inverse=True)
         found = self.counts(np.concatenate([kinds, both_kinds]))
         one, both = found[:len(kinds)], found[len(kinds):][both_which]
-        alone = np.where(one > 0, one, float(self.kinds)) / (self.total + self.kinds)
+        alone = np.where(one > 0, one, self.unseen) / max(1, self.total + self.kinds)
         c, p = one[which], alone[which]
         before = np.empty_like(c)
         before[1:] = c[:-1]
