@@ -53,10 +53,12 @@ SYLLABLES = {
     "greek": "βα βε βο γα δα δε δο ζα κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε το".split(),
 }
 
-_EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+# Every group that repeats is bounded and its parts give nothing back, so long runs cost their length and no stack.
+# An address starts where no character of a local part stands before it; it has up to 126 labels before the last.
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,254}+@(?:[\p{L}\p{N}-]{1,255}+\.){1,126}\p{L}{2,}+"
 _KEYED = r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 _SECRET = (r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z_-]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}"
-           r"|eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]+"
+           r"|eyJ[0-9A-Za-z_-]{8,4096}+\.[0-9A-Za-z_-]{8,4096}+\.[0-9A-Za-z_-]++"
            r"|(?=[0-9A-Fa-f]{0,31}[A-Fa-f])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 _IP = r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\d|\.\d)"
@@ -124,13 +126,25 @@ def _byte(stream: Column, i: Column) -> Column:
     return F.conv(F.substr(stream, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
-def _shaped(norm: Column, stream: Column, letters: int = 26) -> Column:
-    """Digit for digit and letter for letter (of the first ``letters``), the rest as it is."""
-    def one(c, i):
-        v = _byte(stream, i)
-        return (F.when(c.rlike("[0-9]"), (v % 10).cast("string"))
-                .when(c.rlike("[a-z]"), F.chr(F.lit(97) + v % letters)).when(c.rlike("[A-Z]"), F.chr(F.lit(65) + v % letters)).otherwise(c))
-    return F.array_join(F.transform(F.split(norm, ""), one), "")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also where the body uses it for each letter of a text."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shaped(norm: Column, h: Column, letters: int = 26) -> Column:
+    """Digit for digit and letter for letter (of the first ``letters``), the rest as it is; 32 characters for each hash of ``h`` and a number."""
+    def one(stream):
+        def of(c, i):
+            v = _byte(stream, i)
+            return (F.when(c.rlike("[0-9]"), (v % 10).cast("string"))
+                    .when(c.rlike("[a-z]"), F.chr(F.lit(97) + v % letters)).when(c.rlike("[A-Z]"), F.chr(F.lit(65) + v % letters)).otherwise(c))
+        return of
+
+    def chunk(text, number):
+        return _let(F.sha2(F.concat_ws("\x1f", h, number.cast("string")), 256),
+                    lambda stream: F.array_join(F.transform(F.split(text, ""), one(stream)), ""))
+
+    return F.array_join(F.transform(F.regexp_extract_all(norm, F.lit("(?s).{1,32}"), F.lit(0)), chunk), "")
 
 
 def _choose(options: list[str], v: Column) -> Column:
@@ -139,10 +153,10 @@ def _choose(options: list[str], v: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The normal form's replacement, by the key and the attempt."""
-    h = _hash(key, kind, norm, attempt)
-    # a stream as long as the text: hex of hashes of consecutive numbers
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), (F.length(norm) / 32).cast("int")),
-                                      lambda i: F.sha2(F.concat_ws("\x1f", h, i.cast("string")), 256)), "")
+    return _let(_hash(key, kind, norm, attempt), lambda h: _surrogate(kind, norm, attempt, key, h))
+
+
+def _surrogate(kind: Column, norm: Column, attempt: Column, key: str, h: Column) -> Column:
     domain = F.regexp_extract(norm, r"@(.*)$", 1)
     d = _hash(key, F.lit("domain"), domain, F.lit(0))
     letters = lambda x, n: F.translate(F.substr(x, F.lit(1), F.lit(n)), "0123456789", "ghijkmnpqr")
@@ -150,11 +164,11 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     octet = lambda i: _byte(h, F.lit(i)).cast("string")
     ip = F.concat((_byte(h, F.lit(0)) % 223 + 1).cast("string"), *[x for i in (1, 2, 3) for x in (F.lit("."), octet(i))])
     prefix = F.regexp_extract(norm, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)", 1)
-    tail = _shaped(F.regexp_replace(norm, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)", ""), stream)
-    secret = F.when(norm.rlike(r"^[0-9A-Fa-f]+$"), _shaped(norm, stream, 6)).otherwise(F.concat(prefix, tail))
+    tail = _shaped(F.regexp_replace(norm, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|eyJ)", ""), h)
+    secret = F.when(norm.rlike(r"^[0-9A-Fa-f]+$"), _shaped(norm, h, 6)).otherwise(F.concat(prefix, tail))
     # account numbers keep the country letters, phones and cards their first digit
     head = F.when(kind == "iban", F.lit(2)).when(kind == "ssn", F.lit(0)).otherwise(F.lit(1))
-    number = F.concat(F.substr(norm, F.lit(1), head), _shaped(F.substr(norm, head + 1, F.length(norm)), stream))
+    number = F.concat(F.substr(norm, F.lit(1), head), _shaped(F.substr(norm, head + 1, F.length(norm)), h))
     syllable = lambda options, i: _choose(options, _byte(h, F.lit(i)))
     family, given = F.lit(None).cast("string"), F.lit(None).cast("string")
     for script, options in SYLLABLES.items():

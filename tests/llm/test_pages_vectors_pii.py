@@ -47,7 +47,7 @@ def test_bounds_are_read_until_few_are_open():
 def test_sql_says_the_same(spark, name):
     sf = f"{DATA}/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = catalog.QUERIES[name](spark, sf).toPandas(), con.sql(catalog.SQL[name]).df()
     columns = sorted(want.columns)
