@@ -15,8 +15,10 @@ queries are copied, once for each block; a block returns k rows a query, and
 the best k of these are the answer.  Nothing is broadcast.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
-rows without an id, take no part; rows of one id count once (the greatest
-vector); only vectors of equal length meet; equal scores go to the smaller id.
+rows without an id, take no part; every other row counts, also those that share
+an id: a row is told by a number of its own, each row of a query's id asks for itself and
+leaves out only itself; only vectors of equal length meet; equal scores go to the
+smaller id; scores that 64 bits can't hold raise an error.
 """
 
 from __future__ import annotations
@@ -34,11 +36,12 @@ FEW = 1 / 16  # of a block: so few open vectors are resolved at once
 
 
 class Block:
-    """The sorted lists of one block of vectors of one length."""
+    """The sorted lists of one block of vectors of one length; ``rows`` are the rows' own numbers."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.whole = ids[order], vectors[order]
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.rows, self.ids, self.whole = rows[order], ids[order], vectors[order]
+        self.by_row = np.argsort(self.rows)
         self.x = self.whole.astype(np.float64)
         self.lists = np.sort(self.x, axis=0)  # ascending: the top is the last row
         self.depths: dict[int, tuple] = {}
@@ -53,17 +56,19 @@ class Block:
                                   np.where(self.x >= top, self.x, self.lists[0]), np.where(self.x <= bottom, self.x, self.lists[-1]))
         return self.depths[depth]
 
-    def still_open(self, ids: np.ndarray, queries: np.ndarray, k: int, depths=DEPTHS) -> np.ndarray:
+    def still_open(self, rows: np.ndarray, queries: np.ndarray, k: int, depths=DEPTHS) -> np.ndarray:
         """Queries x vectors: the others that may be among the k best once the lists are read so deep."""
         n = len(self.ids)
+        if float(np.abs(queries).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * self.x.shape[1] >= 2.0**63:
+            raise OverflowError("inner products of these vectors need more than 64 bits")
         up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
         # products of long components are not exact as doubles: bounds are widened by what rounding can do
         slack = np.abs(queries).astype(np.float64).sum(1) * np.abs(self.x).max(initial=0) * 1e-12
         slack = np.where(slack > 100, slack, 0.25)
-        open_ = np.ones((len(ids), n), bool)
-        todo = np.arange(len(ids))
-        own = np.searchsorted(self.ids, ids)
-        mine = (own < n) & (self.ids[np.minimum(own, n - 1)] == ids)
+        open_ = np.ones((len(rows), n), bool)
+        todo = np.arange(len(rows))
+        own = self.by_row[np.minimum(np.searchsorted(self.rows, rows, sorter=self.by_row), n - 1)]
+        mine = self.rows[own] == rows
         open_[mine, own[mine]] = False
         for share in depths:
             depth = max(1, int(n * share))
@@ -78,14 +83,14 @@ class Block:
             todo = todo[open_[todo].sum(1) > max(k, n * FEW)]
         return open_
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query row, ids, scores) of the k best others of each query."""
-        open_ = self.still_open(ids, queries, k)
-        for row in range(len(ids)):
-            left = np.flatnonzero(open_[row])
-            scores = (self.whole[left] * queries[row]).sum(1)
+    def search(self, rows: np.ndarray, queries: np.ndarray, k: int):
+        """(place of the query, ids, scores) of the k best others of each query."""
+        open_ = self.still_open(rows, queries, k)
+        for at in range(len(rows)):
+            left = np.flatnonzero(open_[at])
+            scores = (self.whole[left] * queries[at]).sum(1)
             best = np.lexsort((self.ids[left], -scores))[:k]
-            yield row, self.ids[left[best]], scores[best]
+            yield at, self.ids[left[best]], scores[best]
 
 
 def _vectors(column, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -100,17 +105,14 @@ def _search_rows(batches, k: int):
 
     def built():
         blocks = {}
-        for size in {len(v) for _, v in held}:
-            best: dict[int, np.ndarray] = {}
-            for i, v in held:
-                if len(v) == size and (i not in best or tuple(v) > tuple(best[i])):
-                    best[i] = v
-            blocks[size] = Block(np.array(list(best)), np.stack(list(best.values())))
+        for size in {len(v) for _, _, v in held}:
+            same = [x for x in held if len(x[2]) == size]
+            blocks[size] = Block(np.array([r for r, _, _ in same]), np.array([i for _, i, _ in same]), np.stack([v for _, _, v in same]))
         return blocks
 
     for batch in batches:
-        where, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-        vectors = batch.column(3)
+        where, asks, keys, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+        vectors = batch.column(4)
         sizes = np.diff(vectors.offsets.to_numpy())
         cuts = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (asks[1:] != asks[:-1])))) if len(where) else []
         for a, b in zip(cuts, [*cuts[1:], len(where)]):
@@ -119,22 +121,23 @@ def _search_rows(batches, k: int):
             if not asks[a]:
                 for size in np.unique(sizes[a:b]):
                     rows = a + np.flatnonzero(sizes[a:b] == size)
-                    held += zip(ids[rows].tolist(), _vectors(vectors, sizes, rows))
+                    held += zip(keys[rows].tolist(), ids[rows].tolist(), _vectors(vectors, sizes, rows))
                 continue
             if ready is None:
                 ready = built()
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for size in np.unique(sizes[a:b]):
                 if size not in ready:
                     continue
                 rows = a + np.flatnonzero(sizes[a:b] == size)
                 for s in range(0, len(rows), QUERIES):
                     part = rows[s:s + QUERIES]
-                    for row, found, scores in ready[size].search(ids[part], _vectors(vectors, sizes, part), k):
-                        out[0] += [ids[part[row]]] * len(found)
-                        out[1] += found.tolist()
-                        out[2] += scores.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+                    for at, found, scores in ready[size].search(keys[part], _vectors(vectors, sizes, part), k):
+                        out[0] += [keys[part[at]]] * len(found)
+                        out[1] += [ids[part[at]]] * len(found)
+                        out[2] += found.tolist()
+                        out[3] += scores.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["row", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = K,
@@ -143,16 +146,17 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     src = C.pick(vectors, id=id_col, v=vector_col).where("id is not null and v is not null")
     whole = src.select(F.col("id").cast("long").alias("id"), F.transform("v", lambda x: x.cast("double")).alias("v")).where(
         F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))))
-    ints = whole.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
-    n = src.count()
-    blocks = max(1, -(-n // block))
-    where = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    queries = ints.where(F.col("id") % every == 0).groupBy("id").agg(F.max("v").alias("v"))
-    dealt = (ints.select(where.alias("block"), F.lit(False).alias("asks"), "id", "v")
-             .unionByName(queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v"))
+    large = F.exists("v", lambda x: F.abs(x) * scale >= 2.0**53)
+    ints = C.written(whole.select(F.monotonically_increasing_id().alias("row"), "id", F.when(large, F.raise_error(F.lit("a component is too large for exact scores")))
+                                  .otherwise(F.transform("v", lambda x: F.floor(x * scale))).alias("v")), "topk-rows")
+    blocks = max(1, -(-ints.count() // block))
+    where = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
+    queries = ints.where(F.col("id") % every == 0)
+    dealt = (ints.select(where.alias("block"), F.lit(False).alias("asks"), "row", "id", "v")
+             .unionByName(queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "row", "id", "v"))
              .repartition(blocks, "block").sortWithinPartitions("block", "asks"))
-    found = dealt.mapInArrow(lambda b: _search_rows(b, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.mapInArrow(lambda b: _search_rows(b, k), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -162,11 +166,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+         row_number() OVER (PARTITION BY q.n ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.n <> c.n AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 WHERE rank <= 5
 """

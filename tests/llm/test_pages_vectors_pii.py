@@ -18,7 +18,7 @@ def test_top_k_is_brute_force(spark):
     x[100:400] = x[50]  # many equal vectors: ties go to the smaller id
     data = [(i, v.tolist()) for i, v in enumerate(x)]
     data += [(5000, None), (5050, [None] * 16), (5100, [float("nan")] * 16), (5150, [float("inf")] + [0.0] * 15), (None, x[0].tolist()),
-             (5200, [0.5, 0.25]), (5250, [1.0, -1.0]), (5300, []), (50, x[50].tolist())]
+             (5200, [0.5, 0.25]), (5250, [1.0, -1.0]), (5300, [])]
     frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").withColumns({"score": F.lit(1), "id": F.lit("x"), "block": F.lit(0)})
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(frame, block=128).collect()}
     e = np.floor(256 * x).astype(np.int64)
@@ -32,13 +32,33 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(frame.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_all_count_as_in_the_sql(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), np.round(rng.normal(0, 1, 8), 2).tolist()) for i in rng.integers(0, 12, 60) * 25] + [(50, [0.5] * 8)] * 3 + [(None, [1.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    con = duckdb.connect()
+    con.execute("create table embeddings(vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = sorted(con.execute(topk.SQL).fetchall())
+    for block in (4, 8192):
+        assert sorted(tuple(r) for r in topk.top_k(frame, block=block).collect()) == want
+    assert max(sum(q == i for q, *_ in want) for i in (0, 50)) > 5  # several rows of one id ask
+
+
+def test_scores_past_64_bits_are_an_error(spark):
+    for big in (1e300, 2.0**40):
+        frame = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 2.0])], "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="too large|64 bits"):
+            topk.top_k(frame).collect()
+
+
 def test_bounds_are_read_until_few_are_open():
     rng = np.random.default_rng(6)
     for n in (50, 2000):
-        block = topk.Block(np.arange(n), np.floor(256 * rng.normal(0, 0.4, (n, 64))).astype(np.int64))
-        left = block.still_open(block.ids[:10], block.whole[:10], 5)
+        block = topk.Block(np.arange(n) * 3, np.arange(n), np.floor(256 * rng.normal(0, 0.4, (n, 64))).astype(np.int64))
+        left = block.still_open(block.rows[:10], block.whole[:10], 5)
         assert (left.sum(1) < max(10, n * topk.FEW + 1)).all()
-        for row, found, scores in block.search(block.ids[:10], block.whole[:10], 5):
+        for row, found, scores in block.search(block.rows[:10], block.whole[:10], 5):
             s = block.whole @ block.whole[row]
             assert found.tolist() == [i for i in np.lexsort((block.ids, -s)).tolist() if i != row][:5] and left[row, found].all()
 
