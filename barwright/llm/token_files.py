@@ -444,7 +444,8 @@ def read_tokens(spark: SparkSession, path: str, *, id_col: str = "doc_id", keep:
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
                            *[T.StructField("tokens", T.ArrayType(T.IntegerType()))] * ("ids" in keep)])
     found = files.mapInArrow(_documents("ids" in keep, to_arrow_schema(schema)), schema)
-    return found.join(offsets, found["part"] == offsets["of"]).select(
+    # one row of two numbers a range, at most as many as shuffle partitions: sent to all tasks, so that no range is decoded for a shuffle first
+    return found.join(F.broadcast(offsets), found["part"] == offsets["of"]).select(
         F.col("id").alias(id_col), (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *[F.col("tokens").alias("ids")] * ("ids" in keep))
 
 
