@@ -10,7 +10,7 @@ from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..streaming import bars as SB
 from . import oracle as O
-from .catalog import register, rounded
+from .catalog import REGISTRY, register, rounded
 from .queries_core import bars
 
 DELAY_MIN = 10
@@ -72,6 +72,32 @@ def q_s_current_signals(spark, sf_dir):
     return rounded(SB.run_current_signals(stream))
 
 
+# Ticks arrive in four waves, out of order by up to five minutes, which the watermark's ten minutes cover.
+_NEAR_US = 300_000_000
+
+
+def _tick_waves(spark, sf_dir, jitter_us):
+    events = FX.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return SB.in_waves(events, micros, TICK_WAVES, jitter_us, F.col("event_id"))
+
+
+@register("s_bars_waves", REGISTRY["s_bars"].sql)
+def q_s_bars_waves(spark, sf_dir):
+    """The closed bars when ticks arrive out of order in several files, with a restart after each wave."""
+    waves = _tick_waves(spark, sf_dir, _NEAR_US)
+    out = SB.run_in_waves(waves, lambda ev: SB.stream_bars(SB.event_ticks(ev), "5 minutes", f"{DELAY_MIN} minutes"), "s_bars_waves")
+    return rounded(out)
+
+
+@register("s_sliding_volume_waves", REGISTRY["s_sliding_volume"].sql)
+def q_s_sliding_volume_waves(spark, sf_dir):
+    waves = _tick_waves(spark, sf_dir, _NEAR_US)
+    out = SB.run_in_waves(waves, lambda ev: SB.stream_sliding_volume(SB.event_ticks(ev), "1 hour", "15 minutes", f"{DELAY_MIN} minutes"),
+                          "s_sliding_volume_waves")
+    return rounded(out)
+
+
 # Ticks arrive up to an hour late, in four waves; every seventh is sent again with the next wave.
 TICK_JITTER_US, TICK_WAVES, TICK_DELAY = 3_600_000_000, 4, "30 days"
 
@@ -87,10 +113,7 @@ FROM k GROUP BY symbol, ts""",
 )
 def q_s_bars_corrected(spark, sf_dir):
     """Five-minute bars of a table that late ticks correct and repeated ticks do not change, over several files."""
-    events = FX.table(spark, sf_dir, "events")
-    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    events = events.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    waves = SB.in_waves(events, micros, TICK_WAVES, TICK_JITTER_US, F.col("event_id"))
+    waves = _tick_waves(spark, sf_dir, TICK_JITTER_US)
     again = [w.unionByName(before.where("event_id % 7 = 0")) for before, w in zip(waves, waves[1:])]
     return rounded(SB.run_corrected_bars([waves[0], *again], SB.event_ticks, "5 minutes", TICK_DELAY))
 

@@ -154,7 +154,8 @@ def current_signals_sink(tail_path: str, signals_path: str, ind: IndicatorParams
     per symbol, however long the history.  The newest bars of a union are those
     of its parts' newest, so the order of arrival does not matter.  Each epoch
     reads the epoch before and writes folders of its own: a replayed epoch gives
-    the same result, and readers never see a half-written table.
+    the same result, and readers never see a half-written table.  Only the last two epochs
+    are kept: an epoch that comes again needs the one before it.
     """
     keep = max(ind.ma_long, ind.ma_short, ind.rsi_period + 1, ind.volume_period) + 1
 
@@ -166,10 +167,18 @@ def current_signals_sink(tail_path: str, signals_path: str, ind: IndicatorParams
         newest_bars(rows, keep).write.mode("overwrite").parquet(f"{tail_path}/epoch={epoch_id}")
         tail = spark.read.schema(batch.schema).parquet(f"{tail_path}/epoch={epoch_id}")
         S.current_signals(S.generate_signals(tail, ind)).write.mode("overwrite").parquet(f"{signals_path}/epoch={epoch_id}")
+        for path in (tail_path, signals_path):
+            _delete(spark, f"{path}/epoch={epoch_id - 2}")
 
     return handle
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, through the file system that Spark uses for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run_current_signals(bar_stream: DataFrame, name: str = "current-signals") -> DataFrame:
     """Current signals after everything available; no rows if no batch came."""
     spark = bar_stream.sparkSession

@@ -17,7 +17,7 @@ NAMES = [
     "ema", "ema_long", "macd", "bollinger", "volume_sma", "position_size", "scan_intraday_range", "resample_weekly",
     "resample_monthly", "bt_empty", "dedup", "symbol_limit", "scan_symbols", "scan_symbols_missing", "m_trade_stats", "ml_split_small",
     "ml_evaluate_rule", "ml_predict_next_rule", "m_volatility", "m_excess", "m_sharpe", "m_max_drawdown",
-    "all_indicators_blocked", "signal_blocked", "bt_incremental", "s_state", "s_signals", "s_trades", "s_bars_corrected",
+    "all_indicators_blocked", "signal_blocked", "bt_incremental", "s_state", "s_signals", "s_trades", "s_bars_corrected", "s_bars_waves", "s_sliding_volume_waves",
     "latest_price_store", "universe_json", "ffill_bfill_head", "stop_loss", "take_profit", "sink_trading_log", "sink_performance",
     "sink_signals", "sink_log_by_symbol", "ml_confusion_rule", "sink_ml_rule", "model_save_load_rule", "ml_predictor_rule",
 ]
