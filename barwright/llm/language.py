@@ -9,7 +9,7 @@ probabilities are fitted by expectation maximisation over all segmentations
 
 Fitting uses a bounded sample: per language about ``sample_docs`` documents
 (each kept by a hash of its id, the share set from the language's exact
-count), of which the ``sample_words`` most frequent words; everything else
+count), with all their words; everything else
 covers all rows.  Characters outside the vocabulary get a fixed small
 probability in every language.
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import common as C
 from . import pieces as P
 
-SAMPLE_DOCS, SAMPLE_WORDS = 800, 40_000
+SAMPLE_DOCS = 800
 ROUNDS = 3
 UNKNOWN = 1e-7
 SMOOTH = 0.01
@@ -150,7 +150,7 @@ def fit(words: list[bytes], counts: np.ndarray, pieces: list[str], rounds: int =
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          vocabulary: str = P.PIECES, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> tuple[list[str], np.ndarray]:
+          vocabulary: str = P.PIECES, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages in order, probabilities pieces x languages) from rows with a language."""
     src = C.pick(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -175,9 +175,6 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     counts = (sample.select("lang", "text").mapInArrow(word_counts, "lang string, word binary, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    from pyspark.sql import Window
-
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= sample_words)
 
     def fit_group(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "word"], ascending=[False, True])
@@ -185,7 +182,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "probs": [probs.astype(np.float64).tobytes()]})
 
     fitted = {r["lang"]: np.frombuffer(r["probs"], np.float64) for r in
-              ranked.groupBy("lang").applyInPandas(fit_group, "lang string, probs binary").collect()}
+              counts.groupBy("lang").applyInPandas(fit_group, "lang string, probs binary").collect()}
     langs = sorted(fitted)
     return langs, (np.stack([fitted[x] for x in langs], 1) if langs else np.zeros((len(pieces), 0)))
 
