@@ -1,22 +1,26 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
 Within a host, each page is paired with the page whose URL path is nearest (its
-neighbour in path order with the longer common beginning).  Their text lines
-are aligned by longest common subsequence, and shared lines are deleted.
+neighbour in path order with the longer common beginning).  The text lines of
+every page are aligned with its pair's by longest common subsequence; shared
+lines are template lines, to be deleted.
 
 Differencing alone cannot give the text asked for: menus, adverts and footers
 here differ from page to page, so they are not shared, and articles share
-passages (copies, licence lines), which must stay.  So the markup has a say: a
-line lies in a main element, in an element that is a menu, header, footer,
-advert, form, notice or reader comment by its tag, class or id, or in neither.
-Lines of the second kind go; where a page marks a main element its lines stay
-and the others go; differencing decides about the lines of pages that mark none.
+passages (copies, licence lines), which must stay.  So a check by the markup
+follows: a line lies in a main element, in an element that is a menu, header,
+footer, advert, form, notice or reader comment by its tag, class or id, or in
+neither.  Lines of the second kind go, shared or not.  On a page that marks no
+main element the lines that are not shared stay.  On one that does, lines
+outside go, and of the articles those whose every line is shared go too (lists
+of teasers); what is shared inside an article that has lines of its own comes
+back, as do all articles where each is shared whole (a copy of a page).
 
 Scale: lines leave the parser as 64-bit hashes for pairing and alignment, so
 the page text is not shuffled for it.  Distinct paths are sorted by range, not
 by host, so a host with very many pages is spread; neighbours across range
 borders come from the borders' first and last paths (a row for each range).
-Only pages with lines to delete enter the last join.
+Only pages with shared lines enter the last join.
 
 Defined cases: null html is empty (text ''); a null url is its own host with an
 empty path; pages of equal path are not each other's pair; rows are kept one by
@@ -38,19 +42,19 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-OUT, OPEN, MAIN = 0, 1, 2
+OUT, OPEN, MAIN, ARTICLE = 0, 1, 2, 3  # from ARTICLE on: the articles of a page by number
 
 # Element names and the words in class or id that mark a role.
 SKIPPED = frozenset("script style noscript template title head svg math iframe object textarea select button".split())
 OUT_TAGS = frozenset("nav header footer aside form menu dialog".split())
-MAIN_TAGS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted "
     "recommended related replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
-MAIN_WORDS = frozenset("article articlebody main maincontent postbody postcontent entrycontent".split())
+MAIN_WORDS = frozenset(("main", "maincontent"))  # may hold several articles, as the main element does
+ARTICLE_WORDS = frozenset("article articlebody postbody postcontent entrycontent".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
@@ -58,7 +62,7 @@ _ROLE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 
 
 def _kind(name: str, attributes: str) -> int | None:
-    """OUT or MAIN if the element says so, else None."""
+    """OUT, MAIN or ARTICLE if the element says so, else None."""
     if name in OUT_TAGS:
         return OUT
     words = set()
@@ -68,7 +72,9 @@ def _kind(name: str, attributes: str) -> int | None:
             words.update(re.split(r"[-_]+", value))
     if words & OUT_WORDS:
         return OUT
-    return MAIN if name in MAIN_TAGS or words & MAIN_WORDS else None
+    if name == "article" or words & ARTICLE_WORDS:
+        return ARTICLE
+    return MAIN if name == "main" or words & MAIN_WORDS else None
 
 
 def lines(page: str) -> list[tuple[str, int]]:
@@ -76,6 +82,7 @@ def lines(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # (name, zone) of open block elements
+    articles = 0
 
     def flush():
         if parts:
@@ -114,7 +121,10 @@ def lines(page: str) -> list[tuple[str, int]]:
             zone = stack[-1][1] if stack else OPEN
             if zone != OUT and name not in ("html", "body"):
                 said = _kind(name, m.group(3) or "")
-                zone = zone if said is None else said
+                if said == ARTICLE and zone < ARTICLE:
+                    zone, articles = ARTICLE + articles, articles + 1
+                elif said == OUT or said == MAIN and zone == OPEN:
+                    zone = said
             stack.append((name, zone))
     flush()
     return out
@@ -159,22 +169,14 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return place[np.array(out, np.int64)]
 
 
-_LINES = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("zones", T.ArrayType(T.IntegerType()))])
-
-
 def _line_rows(batches):
     for batch in batches:
-        hashes, zones = [], []
-        for page in batch.column(1).to_pylist():
-            found = lines(page or "")
-            hashes.append([xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in found])
-            zones.append([z for _, z in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64())), pa.array(zones, pa.list_(pa.int32()))],
-                                         names=["key", "hashes", "zones"])
+        hashes = [[xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in lines(page or "")] for page in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "hashes"])
 
 
 def _shared_rows(batches):
-    """Line numbers to delete of pages without a main element."""
+    """Numbers of the lines that a page shares with its pair."""
     for batch in batches:
         keys, gone = [], []
         for key, own, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -185,13 +187,20 @@ def _shared_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
 
 
+def stays(zones: list[int], gone: set[int]) -> list[bool]:
+    """Of each line whether it is main text, from the shared lines and, as a check on them, the markup."""
+    if not any(z >= MAIN for z in zones):
+        return [z == OPEN and i not in gone for i, z in enumerate(zones)]
+    own = {z for i, z in enumerate(zones) if i not in gone and z >= ARTICLE}  # articles with a line that is not shared
+    return [z == MAIN or z >= ARTICLE and (z in own or not own) for z in zones]
+
+
 def _text_rows(batches, id_type):
     for batch in batches:
         texts = []
         for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            found, gone = lines(page or ""), set(gone or ())
-            zone = MAIN if any(z == MAIN for _, z in found) else OPEN
-            texts.append(" ".join(t for i, (t, z) in enumerate(found) if z == zone and (zone == MAIN or i not in gone)))
+            found = lines(page or "")
+            texts.append(" ".join(t for (t, _), kept in zip(found, stays([z for _, z in found], set(gone or ()))) if kept))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                          names=["id", "url", "text", "n_chars"])
 
@@ -235,13 +244,12 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col("id").cast("string"), F.lit("\x01")), url, F.coalesce("html", F.lit("\x01"))))
     named = src.select("id", "url", "html", host.alias("host"), path.alias("path"), key.alias("key"))
     parsed = C.written(
-        named.select("key", "html").mapInArrow(_line_rows, "key string, hashes array<long>, zones array<int>").dropDuplicates(["key"]), "page-lines")
+        named.select("key", "html").mapInArrow(_line_rows, "key string, hashes array<long>").dropDuplicates(["key"]), "page-lines")
     keys = C.written(named.select("host", "path", "key").distinct(), "page-keys")
     paths = keys.groupBy("host", "path").agg(F.min("key").alias("rep"))
     partner = nearest_paths(paths)
     pairs = (keys.join(paths, ["host", "path"]).join(partner, "rep").select("key", "partner"))
-    undecided = parsed.where(~F.array_contains("zones", MAIN))
-    aligned = (pairs.join(undecided.select("key", "hashes"), "key")
+    aligned = (pairs.join(parsed, "key")
                .join(parsed.select(F.col("key").alias("partner"), F.col("hashes").alias("other")), "partner").select("key", "hashes", "other"))
     gone = aligned.mapInArrow(_shared_rows, "key string, gone array<int>")
     kind = C.column_type(src, "id")

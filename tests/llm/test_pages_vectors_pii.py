@@ -107,6 +107,31 @@ def test_pages_that_mark_no_article(spark):
     assert html_text.main_text(frame.where("false")).count() == 0
 
 
+def test_pages_that_mark_articles_are_differenced_too(spark):
+    teasers = "<article><h2>Latest</h2><p>Read this next</p></article><article class='teaser'><p>And this</p></article>"
+    body = "<h1>Weather</h1><p>{}</p><p>Licence line</p>"
+    rows = [(1, "http://a.example/x/1", f"<main><p>Desk</p><article>{body.format('Rain')}</article>{teasers}</main><p>out</p>"),
+            (2, "http://a.example/x/2", f"<p>Other</p><div class='post-content'>{body.format('Sun')}</div>{teasers}"),
+            (3, "http://b.example/x/1", f"<article>{body.format('Rain')}</article>{teasers}"),  # a copy: all articles are shared whole
+            (4, "http://b.example/x/2", f"<p>Posted today</p><article>{body.format('Rain')}</article>{teasers}"),
+            (5, "http://c.example/x/1", f"<article>{body.format('Rain')}</article>{teasers}")]  # alone on its host
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in html_text.main_text(frame).collect()}
+    whole = "Weather Rain Licence line Latest Read this next And this"
+    assert texts == {1: "Desk Weather Rain Licence line", 2: "Weather Sun Licence line", 3: whole, 4: whole, 5: whole}
+
+
+def test_shared_lines_and_the_check_by_markup():
+    out, free, main, article = html_text.OUT, html_text.OPEN, html_text.MAIN, html_text.ARTICLE
+    assert html_text.stays([out, free, free], {1}) == [False, False, True]
+    assert html_text.stays([free, main, main], {1, 2}) == [False, True, True]
+    assert html_text.stays([main, article, article, article + 1, out], {0, 1, 3}) == [True, True, True, False, False]
+    assert html_text.stays([article, article + 1, free], {0, 1}) == [True, True, False]
+    assert [z for _, z in html_text.lines("<main>a<article>b<div class='article-body'>c</div><main>d</main></article>e<article>f</article></main>g")] == [
+        main, article, article, article, main, article + 1, free]
+    assert html_text.lines("") == [] and html_text.stays([], set()) == []
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(60):
