@@ -20,6 +20,7 @@ Scale: lines leave the parser as 64-bit hashes for pairing and alignment, so
 the page text is not shuffled for it.  Distinct paths are sorted by range, not
 by host, so a host with very many pages is spread; neighbours across range
 borders come from the borders' first and last paths (a row for each range).
+Pages of one path all meet one pair: beyond ``TOGETHER`` it is given to several shares of them.
 Only pages with shared lines enter the last join.
 
 Defined cases: null html is empty (text ''); a null url is its own host with an
@@ -43,6 +44,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 OUT, OPEN, MAIN, ARTICLE = 0, 1, 2, 3  # from ARTICLE on: the articles of a page by number
+TOGETHER = 20_000  # pages of one path that meet their pair in one place
 
 # Element names and the words in class or id that mark a role.
 SKIPPED = frozenset("script style noscript template title head svg math iframe object textarea select button".split())
@@ -246,11 +248,12 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     parsed = C.written(
         named.select("key", "html").mapInArrow(_line_rows, "key string, hashes array<long>").dropDuplicates(["key"]), "page-lines")
     keys = C.written(named.select("host", "path", "key").distinct(), "page-keys")
-    paths = keys.groupBy("host", "path").agg(F.min("key").alias("rep"))
-    partner = nearest_paths(paths)
-    pairs = (keys.join(paths, ["host", "path"]).join(partner, "rep").select("key", "partner"))
-    aligned = (pairs.join(parsed, "key")
-               .join(parsed.select(F.col("key").alias("partner"), F.col("hashes").alias("other")), "partner").select("key", "hashes", "other"))
+    paths = keys.groupBy("host", "path").agg(F.min("key").alias("rep"), F.ceil(F.count("*") / TOGETHER).alias("shares"))
+    paired = C.written(paths.join(nearest_paths(paths), "rep"), "page-pairs")
+    pairs = keys.join(paired, ["host", "path"]).select("key", "rep", F.pmod(F.xxhash64("key"), "shares").alias("share"))
+    others = (paired.select("rep", "partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+              .join(parsed.select(F.col("key").alias("partner"), F.col("hashes").alias("other")), "partner").select("rep", "share", "other"))
+    aligned = pairs.join(parsed, "key").join(others, ["rep", "share"]).select("key", "hashes", "other")
     gone = aligned.mapInArrow(_shared_rows, "key string, gone array<int>")
     kind = C.column_type(src, "id")
     schema = T.StructType([T.StructField("id", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -121,6 +121,15 @@ def test_pages_that_mark_articles_are_differenced_too(spark):
     assert texts == {1: "Desk Weather Rain Licence line", 2: "Weather Sun Licence line", 3: whole, 4: whole, 5: whole}
 
 
+def test_pages_of_one_path_meet_their_pair_in_shares(spark, monkeypatch):
+    rows = [(i, f"http://a.example/x/1?page={i}", f"<p>Menu</p><p>Text {i}</p>") for i in range(40)] + [(40, "http://a.example/x/2", "<p>Menu</p><p>Other</p>")]
+    frame = spark.createDataFrame(rows + rows[:3], "page_id bigint, url string, html string")
+    want = sorted([(i, f"Text {i}") for i in range(40)] + [(40, "Other")] + [(i, f"Text {i}") for i in range(3)])
+    for together in (3, 20_000):
+        monkeypatch.setattr(html_text, "TOGETHER", together)
+        assert sorted((r["page_id"], r["text"]) for r in html_text.main_text(frame).collect()) == want
+
+
 def test_shared_lines_and_the_check_by_markup():
     out, free, main, article = html_text.OUT, html_text.OPEN, html_text.MAIN, html_text.ARTICLE
     assert html_text.stays([out, free, free], {1}) == [False, False, True]
