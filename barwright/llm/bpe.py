@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array.
 
-A word's parts lie side by side in one row, with the ranks of neighbouring
-parts beside them.  Each step scans the row for the least rank (the leftmost
-of equals), replaces that part by the merged one, deletes the boundary after
-it and refreshes the two neighbouring ranks.  Many words step together: a row
+A word's parts lie side by side in one array, with the ranks of neighbouring
+parts beside them.  Each step scans the ranks for the least (the leftmost
+of equals), replaces that part by the merged one, links over the part after
+it and refreshes the two neighbouring ranks.  Many words step together: a column
 for each word of a batch, so a step is a few numpy operations.  Words of over
 ``LONG`` bytes, where repeated scans would be quadratic, take the same merges
 from a heap ordered by (rank, position).
@@ -37,7 +37,8 @@ from . import common as C
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LONG = 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+WORD_BYTES = 1 << 16  # of words that step together
 NO_RANK = np.int32(2**31 - 1)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
@@ -89,12 +90,17 @@ def word_starts(raw: bytes, edges: np.ndarray) -> np.ndarray:
     """
     if not raw:
         return np.zeros(0, np.int64)
-    cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+    edges = edges[edges < len(raw)]
+    if raw.isascii():
+        cp, at = np.frombuffer(raw, np.uint8), None
+    else:
+        cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+        at = np.cumsum(width) - width
+        edges = np.searchsorted(at, edges)
     n = len(cp)
-    width = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
-    at = np.cumsum(width) - width
     edge = np.zeros(n + 1, bool)
-    edge[np.searchsorted(at, edges[edges < len(raw)])] = True
+    edge[edges] = True
     edge[n] = True
     kind = char_classes()[cp]
     before = np.empty(n, np.uint8)
@@ -119,7 +125,7 @@ def word_starts(raw: bytes, edges: np.ndarray) -> np.ndarray:
         start[i + 1] = False
         if i + size < n:
             start[i + size] = True
-    return at[start]
+    return np.flatnonzero(start) if at is None else at[start]
 
 
 class Encoder:
@@ -129,49 +135,88 @@ class Encoder:
         self.specials = {s.encode(): np.uint32(i).tobytes() for s, i in vocabulary["special"].items()}
         self.special_pattern = regex.compile(b"|".join(sorted(map(regex.escape, self.specials), key=len, reverse=True))) if self.specials else None
         self._dict: dict[int, tuple[int, int]] | None = None
-
-    def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = a.astype(np.int64) << 32 | b.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.v["keys"], key), len(self.v["keys"]) - 1)
-        hit = (self.v["keys"][at] == key) & (a >= 0) & (b >= 0)
-        return np.where(hit, self.v["ranks"][at], NO_RANK), self.v["merged"][at]
+        self.merged = np.zeros(len(vocabulary["ranks"]) + 1, np.int32)  # by rank
+        self.merged[vocabulary["ranks"]] = vocabulary["merged"]
+        self._hash_pairs()
+        single = vocabulary["byte_ids"]
+        self.byte_pairs = self._rank(np.repeat(single, 256), np.tile(single, 256))
+
+    def _hash_pairs(self) -> None:
+        """A table of pairs, four times as large as it needs to be: a pair lies at its hash or in the places that follow."""
+        keys, ranks = self.v["keys"], self.v["ranks"]
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.hash_shift, self.hash_mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pair_keys, self.pair_ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int32)
+        open_, at = np.arange(len(keys)), self._slot(keys)
+        while len(open_):
+            free = self.pair_keys[at] < 0
+            self.pair_keys[at[free]] = keys[open_[free]]  # of several the last stays
+            held = self.pair_keys[at] == keys[open_]
+            self.pair_ranks[at[held]] = ranks[open_[held]]
+            open_, at = open_[~held], (at[~held] + 1) & self.hash_mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.hash_shift).astype(np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; ids under 0 are in no pair."""
+        key = a.astype(np.int64) << 32 | b.astype(np.int64) & 0xFFFFFFFF
+        key[b < 0] = -2
+        at = self._slot(key)
+        found = self.pair_keys.take(at)
+        out = np.where(found == key, self.pair_ranks.take(at), NO_RANK)
+        who = ((found != key) & (found != -1)).nonzero()[0]
+        while len(who):
+            at[who] = (at[who] + 1) & self.hash_mask
+            found = self.pair_keys[at[who]]
+            same = found == key[who]
+            out[who[same]] = self.pair_ranks[at[who[same]]]
+            who = who[~same & (found != -1)]
+        return out
 
     def _rows(self, words: list[bytes]) -> list[bytes]:
-        """Words of 2 to LONG bytes, of similar length: one row each."""
-        out: list[bytes] = [b""] * len(words)
-        size = np.array([len(w) for w in words])
+        """Words of 2 to LONG bytes, of similar length: a column each, and a row more that stands for no part."""
+        n, size = len(words), np.fromiter(map(len, words), np.int32, len(words))
         most = int(size.max())
-        ids = self.v["byte_ids"][np.frombuffer(b"".join(w.ljust(most, b"\0") for w in words), np.uint8).reshape(-1, most)]
-        ids[np.arange(most) >= size[:, None]] = -1
-        rank, new = self._lookup(ids[:, :-1], ids[:, 1:])
-        who, cols = np.arange(len(words)), np.arange(most)
-        while len(who):
-            j = rank.argmin(axis=1)
-            live = rank[np.arange(len(who)), j] != NO_RANK
-            if not live.all():
-                done = ids[~live]
-                flat = done[done >= 0].astype(np.uint32).tobytes()
-                ends = np.cumsum((done >= 0).sum(1) * 4).tolist()
-                for w, a, b in zip(who[~live].tolist(), [0, *ends], ends):
-                    out[w] = flat[a:b]
-                who, ids, rank, new, j = who[live], ids[live], rank[live], new[live], j[live]
-                if not len(who):
-                    break
-            rows = np.arange(len(who))
-            ids[rows, j] = new[rows, j]
-            shift = np.minimum(cols + (cols > j[:, None]), most - 1)
-            ids = np.take_along_axis(ids, shift, 1)
-            ids[:, -1] = -1
-            if most < 3:
-                rank[:] = NO_RANK
-                continue
-            rank = np.take_along_axis(rank, np.minimum(shift[:, :-1], most - 2), 1)
-            new = np.take_along_axis(new, np.minimum(shift[:, :-1], most - 2), 1)
-            rank[:, -1] = NO_RANK
-            for k, ok in ((j - 1, j > 0), (j, j < most - 1)):
-                r, k = rows[ok], k[ok]
-                rank[r, k], new[r, k] = self._lookup(ids[r, k], ids[r, k + 1])
-        return out
+        rows = np.arange(most + 1, dtype=np.int32)[:, None]
+        text = np.zeros((n, most), np.uint8)
+        text[rows[:-1].T < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        text = np.ascontiguousarray(text.T)
+        ids = np.full((most + 1, n), -1, np.int32)
+        ids[:-1] = np.where(rows[:-1] < size, self.v["byte_ids"][text], -1)
+        order = np.full((most + 1, n), NO_RANK, np.int32)  # rank, then position, of the pair that begins here
+        ranks = self.byte_pairs.take(text[:-1].astype(np.int64) << 8 | text[1:])
+        order[:-2] = np.where((rows[1:-1] < size) & (ranks != NO_RANK), ranks << 8 | rows[:-2], NO_RANK)
+        after = np.where(rows + 1 < size, rows + 1, most).astype(np.int16)
+        before = np.where(rows == 0, most, rows - 1).astype(np.int16) + np.zeros(n, np.int16)
+        flat_ids, flat_order, flat_after, flat_before = ids.reshape(-1), order.reshape(-1), after.reshape(-1), before.reshape(-1)
+
+        def renew(left, at, a, b):
+            rank = self._rank(a, b)
+            flat_order[at] = np.where(rank != NO_RANK, rank << 8 | left, NO_RANK)
+
+        while True:
+            least = order.min(axis=0)
+            column = (least != NO_RANK).nonzero()[0]
+            if not len(column):
+                break
+            least = least[column]
+            j = least & 0xFF
+            at = j * np.int64(n) + column
+            gone = flat_after.take(at) * np.int64(n) + column
+            next_, earlier = flat_after.take(gone), flat_before.take(at)
+            new, at_next, at_earlier = self.merged.take(least >> 8), next_ * np.int64(n) + column, earlier * np.int64(n) + column
+            flat_ids[at] = new
+            flat_ids[gone] = -1
+            flat_order[gone] = NO_RANK
+            flat_after[at] = next_
+            flat_before[at_next] = j
+            renew(j, at, new, flat_ids.take(at_next))
+            renew(earlier, at_earlier, flat_ids.take(at_earlier), new)
+        ids = ids.T
+        kept = ids >= 0
+        data, ends = ids[kept].astype(np.uint32).tobytes(), np.cumsum(kept.sum(1) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def _long(self, word: bytes) -> bytes:
         if self._dict is None:
@@ -210,14 +255,14 @@ class Encoder:
                 i += 1
             else:
                 j = i
-                most = max(1, (1 << 20) // (size + 4))
+                most = max(1, WORD_BYTES // (size + 4))
                 while j < len(by_size) and j - i < most and len(by_size[j]) <= min(LONG, size + size // 4 + 1):
                     j += 1
                 self.cache.update(zip(by_size[i:j], self._rows(by_size[i:j])))
                 i = j
 
-    def encode_slice(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
-        """Ids (little-endian 32-bit) of each text of a slice."""
+    def encode_flat(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice, end to end, and how many each text has."""
         edges, inside = offsets, []
         if self.special_pattern is not None and any(s in raw for s in self.specials):
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -229,18 +274,37 @@ class Encoder:
             for a, b in inside:
                 keep[np.searchsorted(starts, a, "right"):np.searchsorted(starts, b)] = False
             starts = starts[keep]
-        cuts = starts.tolist()
-        words = [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        cuts = np.append(starts, len(raw))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+        which, distinct = found.indices.to_numpy(), found.dictionary
+        edges = np.frombuffer(distinct.buffers()[1], np.int64)[:len(distinct) + 1].tolist()
+        text = distinct.buffers()[2].to_pybytes()
+        words = [text[a:b] for a, b in zip(edges, edges[1:])]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        missing = set(words).difference(self.cache)
-        special_at = missing.intersection(self.specials)
-        for w in special_at:
-            self.cache[w] = self.specials[w]
-        self.learn(list(missing - special_at))
-        coded = list(map(self.cache.__getitem__, words))
-        first = np.searchsorted(starts, offsets).tolist()
-        return [b"".join(coded[a:b]) for a, b in zip(first[:-1], first[1:])]
+        coded = list(map(self.cache.get, words))
+        missing = [i for i, ids in enumerate(coded) if ids is None]
+        special_at = [i for i in missing if words[i] in self.specials]
+        for i in special_at:
+            self.cache[words[i]] = self.specials[words[i]]
+        self.learn([words[i] for i in missing if words[i] not in self.specials] if special_at else [words[i] for i in missing])
+        for i in missing:
+            coded[i] = self.cache[words[i]]
+        flat = np.frombuffer(b"".join(coded), np.uint32)
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) >> 2
+        begin = np.cumsum(length) - length
+        size = length.take(which)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = flat.take(np.repeat(begin.take(which) - ends[:-1], size) + np.arange(ends[-1]))
+        return ids, np.diff(ends.take(np.searchsorted(starts, offsets)))
+
+    def encode_slice(self, raw: bytes, offsets: np.ndarray) -> list[bytes]:
+        """Ids (little-endian 32-bit) of each text of a slice."""
+        ids, counts = self.encode_flat(raw, offsets)
+        data, ends = ids.tobytes(), np.cumsum(counts * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, end to end."""

@@ -52,66 +52,71 @@ BLOCK = 4095  # numbers of first appearance go from 1 and fit 12 bits
 SEGMENT = 16 * BLOCK
 TOGETHER = 2048  # blocks that step together
 ROW_GROUP_BYTES = 16 << 20
-MAGIC, HEADER = b"CMX1", struct.Struct("<4sIIII")
+MAGIC, HEADER = b"CMX2", struct.Struct("<4sHHHHHHI")
 
-CONTEXTS, CONFIDENCE = 4096, 8
-RATE, STEP = 4, 8  # adaptation of probabilities; count that an id adds
+CONTEXTS, KINDS = 4096, 64  # KINDS: two confidences of 0 to 7
+STEP = 8  # count that an id adds
 SHARE_BITS, WHOLE = 16, 1 << 16
 LEAST_SHARE = 32
+# of each kind, how often order 2, order 1 and order 0 are taken to have been right before a block begins
+FIRST_COUNTS = np.array([(min(two, 4), min(one, 4), 2 + 8 * (two + one == 0), 0) for two in range(8) for one in range(8)], np.uint32)
 WORD, ALL = np.uint64(32), np.uint64(0xFFFFFFFFFFFFFFFF)
 TOP = np.uint64(1 << 32)
 
 
-def renewals(size: int) -> list[int]:
-    """Places in a block at which order 0 takes its counts anew."""
+def renewals(size: int, part: int) -> list[int]:
+    """Places in a stream at which shares or counts are taken anew, each a ``part`` further on."""
     out, at = [], 8
     while at < size:
         out.append(at)
-        at += at // 2
+        at += at // part
     return out
 
 
 class Writer:
-    """Range coders of many blocks, each with its own words."""
+    """Range coders of many blocks, each with its own words; two steps at most go before words are put out."""
 
     def __init__(self, blocks: int):
         self.low = np.zeros(blocks, np.uint64)
         self.range = np.full(blocks, ALL)
         self.at = np.zeros(blocks, np.int64)
         self.words = np.zeros((blocks, 64), np.uint32)
-
-    def _room(self) -> None:
-        if int(self.at.max(initial=0)) + 2 > self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-
-    def move(self, who: np.ndarray | slice, add: np.ndarray, range_: np.ndarray) -> None:
-        """Raise the lows by ``add``, set the ranges, and put out a word where the range is short."""
-        low = self.low[who] + add
-        over = np.flatnonzero(low < add)
-        if len(over):
-            row = over if isinstance(who, slice) else who[over]
-            place = self.at[row] - 1
-            while len(row):  # a carry runs back while words overflow
-                self.words[row, place] += np.uint32(1)
-                again = self.words[row, place] == 0
-                row, place = row[again], place[again] - 1
-        short = np.flatnonzero(range_ < TOP)
+        self.before = self.low.copy()
+        self.most = 0  # words a block can have by now
+
+    def move(self, n: int, add: np.ndarray, range_: np.ndarray) -> None:
+        """Raise the first lows by ``add`` and set the ranges."""
+        self.low[:n] += add
+        self.range[:n] = range_
+
+    def settle(self, n: int) -> None:
+        """Carry where lows ran over, and put out a word where the range is short."""
+        low, range_ = self.low[:n], self.range[:n]
+        row = (low < self.before[:n]).nonzero()[0]
+        place = self.at[row] - 1
+        while len(row):  # a carry runs back while words overflow
+            self.words[row, place] += np.uint32(1)
+            again = self.words[row, place] == 0
+            row, place = row[again], place[again] - 1
+        short = (range_ < TOP).nonzero()[0]
         if len(short):
-            row = short if isinstance(who, slice) else who[short]
-            self._room()
-            at = self.at[row]
-            full = low[short]
-            self.words[row, at] = full >> WORD
-            self.at[row] = at + 1
+            if self.most == self.words.shape[1]:
+                self.most = int(self.at.max())
+                if 2 * self.most > self.words.shape[1]:
+                    self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
+            self.most += 1
+            at, full = self.at[short], low[short]
+            self.words[short, at] = full >> WORD
+            self.at[short] = at + 1
             low[short] = full << WORD
             range_[short] = range_[short] << WORD
-        self.low[who], self.range[who] = low, range_
+        self.before[:n] = low
 
     def finish(self) -> list[bytes]:
-        for shift in (WORD, np.uint64(0)):
-            self._room()
-            self.words[np.arange(len(self.at)), self.at] = (self.low >> shift) & np.uint64(0xFFFFFFFF)
-            self.at += 1
+        """One word more: the least place of whole words in the range; what is read after it is zeros."""
+        n = len(self.at)
+        self.move(n, -self.low & np.uint64(0xFFFFFFFF), np.ones_like(self.range))
+        self.settle(n)
         return [self.words[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.at.tolist())]
 
 
@@ -127,164 +132,176 @@ class Reader:
         self.at = np.full(len(payloads), 2)
         self.range = np.full(len(payloads), ALL)
 
-    def move(self, who: np.ndarray | slice, add: np.ndarray, range_: np.ndarray) -> None:
-        low = self.low[who] - add
-        short = np.flatnonzero(range_ < TOP)
+    def move(self, n: int, add: np.ndarray, range_: np.ndarray) -> None:
+        self.low[:n] -= add
+        self.range[:n] = range_
+
+    def settle(self, n: int) -> None:
+        low, range_ = self.low[:n], self.range[:n]
+        short = (range_ < TOP).nonzero()[0]
         if len(short):
-            row = short if isinstance(who, slice) else who[short]
-            at = self.at[row]
-            word = self.words[row, np.minimum(at, self.words.shape[1] - 1)]  # damaged data may ask for more than there is
-            self.at[row] = at + 1
+            at = self.at[short]
+            word = self.words[short, np.minimum(at, self.words.shape[1] - 1)]  # damaged data may ask for more than there is
+            self.at[short] = at + 1
             low[short] = low[short] << WORD | word
             range_[short] = range_[short] << WORD
-        self.low[who], self.range[who] = low, range_
-
 
-class Candidates:
-    """One order's table: context -> candidate and confidence, and how often such a candidate is right."""
 
-    def __init__(self, blocks: int):
-        self.table = np.zeros(blocks * CONTEXTS, np.uint16)
-        self.right = np.tile(np.array([64, *[WHOLE // 2] * (CONFIDENCE - 1)], np.int32), blocks)
-
-    def look(self, slot: np.ndarray, by_block: np.ndarray) -> None:
-        self.slot = slot
-        self.entry = self.table[slot].astype(np.int32)
-        self.candidate, self.sure = self.entry >> 3, self.entry & 7
-        self.kind = by_block + self.sure
-        self.chance = self.right[self.kind]
-
-    def learn(self, number: np.ndarray) -> np.ndarray:
-        hit = self.candidate == number
-        self.right[self.kind] = self.chance + ((hit * np.int32(WHOLE - 1) - self.chance) >> RATE)
-        missed = np.where(self.sure > 2, self.entry - self.sure + (self.sure >> 1), number * np.int32(8) + np.int32(1))
-        self.table[self.slot] = np.where(hit, self.entry + (self.sure < 7), missed)
-        return hit
-
-
-class Frequencies:
-    """Order 0: counts of the block's ids by number (0: the escape), and their sums as last taken."""
-
-    def __init__(self, blocks: int, size: int):
-        self.width = size + 2
-        self.counts = np.zeros((blocks, self.width), np.uint16)
-        self.counts[:, 0] = STEP
-        self.sums = np.zeros((blocks, self.width), np.uint16)
-        self.known = np.zeros(blocks, np.int64)  # numbers that the sums know
-        self.seen = np.zeros(blocks, np.int64)
-        self.renew()
-
-    def renew(self) -> None:
-        self.columns = int(self.seen.max(initial=0)) + 1
-        np.cumsum(self.counts[:, :self.columns], axis=1, dtype=np.uint16, out=self.sums[:, 1:self.columns + 1])
-        self.total = self.sums[:, self.columns].astype(np.uint64)
-        self.known = self.seen.copy()
-
-    def find(self, who: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The number in whose share each place lies."""
-        flat, base = self.sums.ravel(), who * self.width
-        out = np.zeros(len(who), np.int64)
-        step = 1 << (self.columns - 1).bit_length() >> 1
-        while step:
-            up = np.minimum(out + step, self.columns)
-            out = np.where(flat[base + up] <= place, up, out)
-            step >>= 1
-        return out
-
-
-def _run(coder, sizes: np.ndarray, bits: np.ndarray, ids: np.ndarray | None, numbers: np.ndarray | None) -> np.ndarray:
-    """Code (ids and their numbers of first appearance given) or read blocks of descending sizes; the ids, a row a block."""
-    blocks, longest, reading = len(sizes), int(sizes.max(initial=0)), ids is None
-    out = np.zeros((longest, blocks), np.int32)  # numbers
-    value = np.zeros((blocks, longest + 2), np.int32) if reading else None  # of each number its id
-    every = np.arange(blocks)
-    two, one, zero = Candidates(blocks), Candidates(blocks), Frequencies(blocks, longest)
-    weight = np.full(blocks * CONFIDENCE, 40_000, np.int32)
-    last, context = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-    renew, shift, n = set(renewals(longest)), np.uint64(SHARE_BITS), -1
-    for t in range(longest):
-        if t in renew:
-            zero.renew()
-        left = int(np.searchsorted(-sizes, -t))
-        if left != n:
-            n, all_ = left, slice(0, left)
-            base, by_block = every[:n] * CONTEXTS, every[:n] * CONFIDENCE
-        two.look(base + context[:n], by_block)
-        one.look(base + last[:n], by_block)
-        mix = weight[two.kind].astype(np.int64)
-        from_two, from_one = mix * two.chance >> SHARE_BITS, (WHOLE - mix) * one.chance >> SHARE_BITS
-        agree = two.candidate == one.candidate
-        share_two = ((from_two + from_one * agree) * (WHOLE - 4 * LEAST_SHARE) >> SHARE_BITS) + LEAST_SHARE
-        both = share_two + ((from_one * (WHOLE - 4 * LEAST_SHARE) >> SHARE_BITS) + LEAST_SHARE) * ~agree
-        range_ = coder.range[:n]
-        unit = range_ >> shift
-        if reading:
-            place = np.minimum(coder.low[:n] // unit, np.uint64(WHOLE - 1)).astype(np.int64)
-            by_two = place < share_two
-            other = place >= both
-            number = np.where(by_two, two.candidate, one.candidate)
-        else:
-            number = numbers[t, :n]
-            by_two = number == two.candidate
-            other = ~by_two & (number != one.candidate)
-        below = np.where(by_two, 0, np.where(other, both, share_two))
-        add = unit * below.astype(np.uint64)
-        range_ = unit * (np.where(by_two, share_two, np.where(other, WHOLE, both)) - below).astype(np.uint64)
-        rest = np.flatnonzero(other)
-        if len(rest):  # order 0 goes on inside the share that is left
-            unit = range_[rest] // zero.total[rest]
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """Running sums of the shares of orders 2 and 1, by block and kind, from counts of which was right."""
+    right = counts.reshape(-1, KINDS, 4).astype(np.uint32) + FIRST_COUNTS
+    part = right[:, :, :2] * np.uint32(WHOLE - 3 * LEAST_SHARE) // right.sum(2, dtype=np.uint32, keepdims=True) + np.uint32(LEAST_SHARE)
+    out = np.zeros(right.shape, np.uint64)
+    out[:, :, 0], out[:, :, 1] = part[:, :, 0], part[:, :, 0] + part[:, :, 1]
+    return out.ravel()
+
+
+def _decide(coder, sizes: np.ndarray, numbers: np.ndarray | None, rest: np.ndarray | None) -> np.ndarray:
+    """Code (numbers given, a column a block) or read (what order 0 says given, a row a block) which order says each id.
+
+    Blocks are of descending sizes.  Gives the mask of those left to order 0, or the numbers.
+    """
+    blocks, longest, reading = len(sizes), int(sizes.max(initial=0)), numbers is None
+    out = np.zeros((longest, blocks), np.uint16 if reading else np.uint8)
+    every, shift = np.arange(blocks), np.uint64(SHARE_BITS)
+    table = np.zeros(2 * blocks * CONTEXTS, np.uint16)  # context -> candidate and confidence: order 2, then order 1
+    base = np.stack([every * CONTEXTS, (every + blocks) * CONTEXTS])
+    counts = np.zeros(blocks * KINDS * 4, np.int64)  # by kind: order 2 right, order 1, neither
+    if reading:
+        flat, place = rest.ravel(), every * rest.shape[1]
+    state, n = np.zeros((2, blocks), np.int64), -1  # hash of the last two numbers, and the last
+    left = np.searchsorted(-sizes, -np.arange(longest)).tolist()
+    places = [0, *renewals(longest, 2), longest]
+    for begin, end in zip(places, places[1:]):
+        shares = _shares(counts)
+        met = np.full((end - begin, blocks), len(counts))
+        for t in range(begin, end):
+            if left[t] != n:
+                n = left[t]
+                base, by_block, state = base[:, :n].copy(), every[:n] * (KINDS * 4), state[:, :n].copy()
+                bounds, learned, last = np.zeros((4, n), np.uint64), np.zeros((2, n), np.uint16), state[1].astype(np.uint16)
+                _, two, both, whole = bounds
+                if reading:
+                    place = place[:n]
+            slot = base + state
+            entry = table.take(slot)
+            candidate, sure = entry >> 3, entry & 7
+            kind = by_block + ((sure[0] << 5) | (sure[1] << 2))
+            whole[:] = coder.range[:n]
+            unit = whole >> shift
+            np.multiply(unit, shares.take(kind), out=two)
+            np.multiply(unit, shares.take(kind + 1), out=both)
             if reading:
-                place = np.minimum((coder.low[rest] - add[rest]) // unit, zero.total[rest] - np.uint64(1)).astype(np.int64)
-                leaf = zero.find(rest, place)
+                low = coder.low[:n]
+                by_two, other = low < two, low >= both
+                number = flat.take(place)
+                np.copyto(number, candidate[0], where=by_two)
+                np.copyto(number, candidate[1], where=~(by_two | other))
+                place += other
+                out[t, :n] = number
             else:
-                leaf = number[rest].astype(np.int64)
-                leaf[leaf > zero.known[rest]] = 0
-            at = rest * zero.width + leaf
-            begin = zero.sums.ravel()[at].astype(np.uint64)
-            add[rest] += unit * begin
-            range_[rest] = unit * (zero.sums.ravel()[at + 1] - begin)
-        coder.move(all_, add, range_)
-        if len(rest):
-            away = rest[leaf == 0]
-            if reading:
-                number[rest] = leaf
-            if len(away):
-                number[away] = _escape(coder, zero, away, bits, value, None if reading else ids[t], None if reading else number)
-                zero.counts[away, 0] += np.uint16(STEP)
-            zero.counts[rest, number[rest]] += np.uint16(STEP)
-        out[t, :n] = number
-        hit_two, hit_one = two.learn(number), one.learn(number)
-        weight[two.kind] = mix + (hit_two & ~hit_one) * ((WHOLE - 1 - mix) >> RATE) - (hit_one & ~hit_two) * (mix >> RATE)
-        context[:n] = (number * np.int64(0x9E5) + last[:n] * 0x3D1) & (CONTEXTS - 1)
-        last[:n] = number
-    return np.take_along_axis(value, out.T, 1) if reading else out
-
-
-def _escape(coder, zero: Frequencies, who: np.ndarray, bits: np.ndarray, value: np.ndarray | None, ids: np.ndarray | None, numbers: np.ndarray | None) -> np.ndarray:
-    """Ids that the sums don't know: one met since they were taken, or a new one in plain bits; their numbers."""
-    since = (zero.seen[who] - zero.known[who]).astype(np.uint64)
-    share_new = since + np.uint64(1)
-    unit = coder.range[who] // (share_new + since)
-    if numbers is None:
-        place = np.minimum(coder.low[who] // unit, share_new + since - np.uint64(1))
-        fresh = place < share_new
-        number = zero.known[who] + 1 + np.where(fresh, 0, (place - share_new).astype(np.int64))
-    else:
-        number = numbers[who].astype(np.int64)
-        fresh = number > zero.seen[who]
-    begin = np.where(fresh, np.uint64(0), share_new + (number - 1 - zero.known[who]).astype(np.uint64))
-    coder.move(who, unit * begin, unit * np.where(fresh, share_new, np.uint64(1)))
-    new = who[fresh]
-    if len(new):
-        wide = bits[new].astype(np.uint64)
-        unit = coder.range[new] >> wide
-        plain = np.minimum(coder.low[new] // unit, (np.uint64(1) << wide) - np.uint64(1)) if ids is None else ids[new].astype(np.uint64)
-        coder.move(new, unit * plain, unit)
-        zero.seen[new] += 1
-        number[fresh] = zero.seen[new]
-        if value is not None:
-            value[new, zero.seen[new]] = plain
-    return number
+                number = numbers[t, :n]
+            miss = candidate != number
+            who = miss.view(np.uint8)
+            who = who[0] + (who[0] & who[1])  # 0, 1: order 2, order 1 is right; 2: neither
+            at = who * np.int64(n) + every[:n]
+            below = bounds.take(at)
+            coder.move(n, below, bounds.take(at + n) - below)
+            if t & 1:
+                coder.settle(left[t - 1])
+            np.add(kind, who, out=met[t - begin, :n])
+            if not reading:
+                out[t, :n] = who
+            learned[:] = (number << 3) + np.uint16(1)
+            np.putmask(learned, sure > 2, entry - ((sure + 1) >> 1))
+            np.putmask(learned, ~miss, entry + (sure < 7))
+            table[slot] = learned
+            state[0] = (number * np.uint16(0x9E5) + last * np.uint16(0x3D1)) & np.uint16(CONTEXTS - 1)
+            state[1] = last = number
+        counts += np.bincount(met.ravel(), minlength=len(counts) + 1)[:-1]
+    if longest & 1:
+        coder.settle(left[-1])
+    return out if reading else out == 2
+
+
+def _rest(coder, sizes: np.ndarray, most: int, numbers: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Code (given, a column a block) or read what order 0 says; the numbers and how many differ. Blocks are of descending sizes.
+
+    Counts are taken anew at set places; a new number, which is always the next, joins the end of the sums at once.
+    """
+    blocks, longest, reading = len(sizes), int(sizes.max(initial=0)), numbers is None
+    out = np.zeros((longest, blocks), np.uint16) if reading else numbers
+    every, step_ = np.arange(blocks), np.uint64(STEP)
+    counts = np.zeros((blocks, most + 2), np.uint16)  # by number; 0 is a new one
+    counts[:, 0] = STEP
+    seen = np.zeros(blocks, np.uint16)
+    left = np.searchsorted(-sizes, -np.arange(longest)).tolist()
+    places = [0, *renewals(longest, 4), longest]
+    for begin, end in zip(places, places[1:]):
+        known, columns = seen.copy(), min(int(seen.max(initial=0)) + end - begin, most) + 1
+        wide = 1 << columns.bit_length()
+        taken = counts[:, :columns].copy()
+        total = taken.sum(1, dtype=np.uint64)
+        taken[np.arange(columns) > known[:, None]] = STEP  # what each number has that joins
+        sums = np.full((blocks, wide), 0xFFFF, np.uint16)
+        sums[:, 0] = 0
+        sums[:, 1:columns + 1] = np.minimum(np.cumsum(taken, axis=1, dtype=np.uint32), 0xFFFF)
+        flat, base = sums.ravel(), every * wide
+        if reading:
+            stride = max(1, wide >> 6)
+            coarse = np.ascontiguousarray(sums[:, stride::stride].T)
+            for t in range(begin, end):
+                n = left[t]
+                unit = coder.range[:n] // total[:n]
+                place = np.minimum(coder.low[:n] // unit, total[:n] - np.uint64(1)).astype(np.uint16)
+                # the number in whose share the place lies
+                at = base[:n] + np.add.reduce((coarse[:, :n] <= place).view(np.uint8), axis=0, dtype=np.uint8) * np.int64(stride)
+                step = stride >> 1
+                while step:
+                    up = at + step
+                    at = np.where(flat.take(up) <= place, up, at)
+                    step >>= 1
+                start = flat.take(at)
+                coder.move(n, unit * start, unit * (flat.take(at + 1) - start))
+                if t & 1:
+                    coder.settle(left[t - 1])
+                number = out[t, :n]
+                number[:] = at - base[:n]
+                new = (number == 0).nonzero()[0]
+                if len(new):
+                    seen[new] = number[new] = np.minimum(seen[new] + 1, most + 1)  # more only where data are damaged
+                    total[new] += step_
+        else:
+            before = np.zeros((end - begin + 1, blocks), np.uint16)
+            before[0] = seen
+            for t in range(begin, end):
+                np.maximum(before[t - begin], numbers[t], out=before[t - begin + 1])
+            seen, before = before[-1], before[:-1]
+            at = base + np.where(numbers[begin:end] > before, np.uint16(0), numbers[begin:end])
+            starts = flat.take(at)
+            lengths = flat.take(at + 1) - starts
+            joined = before - known
+            for t in range(begin, end):
+                n = left[t]
+                unit = coder.range[:n] // (total[:n] + joined[t - begin, :n] * step_)
+                coder.move(n, unit * starts[t - begin, :n], unit * lengths[t - begin, :n])
+                if t & 1:
+                    coder.settle(left[t - 1])
+        live = np.arange(begin, end)[:, None] < sizes
+        met = every * (most + 2) + out[begin:end]
+        np.add.at(counts.ravel(), met if live.all() else met[live], np.uint16(STEP))
+        counts[:, 0] += (seen - known) * np.uint16(STEP)
+    if longest & 1:
+        coder.settle(left[-1])
+    return out, seen
+
+
+def _columns(parts: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Arrays as columns, in the given order, zeros after their ends."""
+    out = np.zeros((len(parts), max((len(x) for x in parts), default=0)), np.uint16)
+    for row, i in enumerate(order.tolist()):
+        out[row, :len(parts[i])] = parts[i]
+    return np.ascontiguousarray(out.T)
 
 
 def encode_blocks(blocks: list[np.ndarray], together: int = TOGETHER) -> list[bytes]:
@@ -295,48 +312,78 @@ def encode_blocks(blocks: list[np.ndarray], together: int = TOGETHER) -> list[by
     for i in range(0, len(order), together):
         part = order[i:i + together]
         sizes = np.array([len(blocks[b]) for b in part])
-        ids = np.zeros((len(part), int(sizes[0])), np.int32)
-        numbers = np.zeros_like(ids)
-        for row, b in enumerate(part):
-            block, size = blocks[b], len(blocks[b])
+        numbers, fresh, plain = [], [], []
+        for b in part:
+            block, size = blocks[b].astype(np.int64), len(blocks[b])
             place = np.arange(size, dtype=np.int32)
             first[block[::-1]] = place[::-1]  # the first appearance is written last
             begin = first[block]
-            ids[row, :size], numbers[row, :size] = block, np.cumsum(begin == place)[begin]
-        bits = np.array([int(blocks[b].max()).bit_length() for b in part])
+            new = begin == place
+            numbers.append(np.cumsum(new, dtype=np.uint16)[begin])
+            fresh.append(block[new])
+        columns = _columns(numbers, np.arange(len(part)))
+        coder = Writer(len(part))
+        other = _decide(coder, sizes, columns, None).T
+        decisions = coder.finish()
+        rest = [x[o[:len(x)]] for x, o in zip(numbers, other)]
+        counts = np.array([len(x) for x in rest])
+        by_count = np.argsort(-counts, kind="stable")
         coder = Writer(len(part))
-        _run(coder, sizes, bits, np.ascontiguousarray(ids.T), np.ascontiguousarray(numbers.T))
-        for b, wide, words in zip(part, bits.tolist(), coder.finish()):
-            out[b] = HEADER.pack(MAGIC, len(blocks[b]), wide, len(words) // 4, zlib.crc32(blocks[b].astype("<u4").tobytes())) + words
+        _rest(coder, counts[by_count], max(len(x) for x in fresh), _columns(rest, by_count))
+        words = dict(zip(by_count.tolist(), coder.finish()))
+        for row, b in enumerate(part):
+            bits = int(blocks[b].max()).bit_length()
+            plain = _pack(fresh[row], bits)
+            out[b] = HEADER.pack(MAGIC, len(blocks[b]), len(fresh[row]), len(rest[row]), bits, len(words[row]) // 4, len(decisions[row]) // 4,
+                                 zlib.crc32(blocks[b].astype("<u4").tobytes())) + plain + words[row] + decisions[row]
     return out
 
 
-def split_records(data: bytes) -> list[tuple[int, int, int, bytes]]:
-    """(count of ids, bits, CRC-32, words) of every record of a file or segment."""
+def _pack(ids: np.ndarray, bits: int) -> bytes:
+    shown = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
+    return np.packbits(shown, bitorder="little").tobytes()
+
+
+def _unpack(data: bytes, count: int, bits: int) -> np.ndarray:
+    shown = np.zeros((count, 32), np.uint8)
+    shown[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
+    return np.packbits(shown, axis=1, bitorder="little").view("<u4").ravel()
+
+
+def split_records(data: bytes) -> list[tuple]:
+    """(count of ids, CRC-32, count left to order 0, distinct ids, words of order 0, words of decisions) of every record of a file or segment."""
     out, at = [], 0
     while at < len(data):
         if at + HEADER.size > len(data):
             raise ValueError("a token block ends inside its header")
-        magic, size, bits, words, crc = HEADER.unpack_from(data, at)
+        magic, size, fresh, rest, bits, rest_words, words, crc = HEADER.unpack_from(data, at)
         at += HEADER.size
-        if magic != MAGIC or not 0 < size <= BLOCK or bits > 31 or at + 4 * words > len(data) or words < 2:
+        ends = [at + (fresh * bits + 7) // 8]
+        ends += [ends[0] + 4 * rest_words, ends[0] + 4 * rest_words + 4 * words]
+        if magic != MAGIC or not 0 < fresh <= rest <= size <= BLOCK or bits > 31 or ends[-1] > len(data) or not rest_words or not words:
             raise ValueError("no token block, or a cut one")
-        out.append((size, bits, crc, data[at:at + 4 * words]))
-        at += 4 * words
+        out.append((size, crc, rest, _unpack(data[at:ends[0]], fresh, bits), data[ends[0]:ends[1]], data[ends[1]:ends[2]]))
+        at = ends[-1]
     return out
 
 
-def decode_blocks(records: list[tuple[int, int, int, bytes]], together: int = TOGETHER) -> list[np.ndarray]:
+def decode_blocks(records: list[tuple], together: int = TOGETHER) -> list[np.ndarray]:
     """The ids (unsigned 32-bit) of each record; ValueError where a checksum differs."""
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(records)
     order = sorted(range(len(records)), key=lambda i: -records[i][0])
     for i in range(0, len(order), together):
-        part = order[i:i + together]
-        sizes, bits = np.array([records[r][0] for r in part]), np.array([records[r][1] for r in part])
-        ids = _run(Reader([records[r][3] for r in part]), sizes, bits, None, None)
-        for row, r in enumerate(part):
-            block = ids[row, :sizes[row]].astype("<u4")
-            if zlib.crc32(block.tobytes()) != records[r][2]:
+        part = [records[r] for r in order[i:i + together]]
+        sizes, counts, fresh = (np.array(x) for x in zip(*((r[0], r[2], len(r[3])) for r in part)))
+        by_count = np.argsort(-counts, kind="stable")
+        found, seen = _rest(Reader([part[r][4] for r in by_count.tolist()]), counts[by_count], int(fresh.max()), None)
+        if (seen != fresh[by_count]).any():
+            raise ValueError("a token block's distinct ids differ in number")
+        rest = np.zeros((len(part), int(sizes[0]) + 1), np.uint16)
+        rest[by_count, :len(found)] = found.T
+        numbers = _decide(Reader([r[5] for r in part]), sizes, None, rest).T
+        for r, (size, crc, _, ids, _, _), row in zip(order[i:i + together], part, numbers):
+            block = ids[np.minimum(row[:size].astype(np.int64), len(ids)) - 1]
+            if zlib.crc32(block.tobytes()) != crc:
                 raise ValueError("a token block's checksum differs")
             out[r] = block
     return out
@@ -372,7 +419,7 @@ def _segments(shared, id_type: pa.DataType, end_id: int):
 
         for batch in batches:
             names = batch.column(0).cast(id_type)
-            for i, j, offsets, data in C.slices(batch.column(1)):
+            for i, j, offsets, data in C.slices(batch.column(1), 2 * C.CHUNK_BYTES):  # the more words together, the fewer are met anew
                 for name, coded_ids in zip(names.slice(i, j - i).to_pylist(), enc.encode_slice(data.tobytes(), offsets)):
                     ids.append(name)
                     held.append(coded_ids + tail)
