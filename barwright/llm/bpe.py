@@ -37,7 +37,7 @@ from . import common as C
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LONG = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 WORD_BYTES = 1 << 16  # of words that step together
 NO_RANK = np.int32(2**31 - 1)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0

@@ -5,15 +5,15 @@ carries its own CRC-32 and is decoded by itself.  Inside a block an id has the
 number of its first appearance, and three orders predict the next one:
 
 * order 2 and order 1 each name a candidate for their context (the last two
-  ids, the last id) with a confidence; how often a candidate of that confidence
-  was right gives its probability.  The two are mixed by a weight that follows,
-  per confidence, which of them has been right where they disagree;
-* order 0 has what the mixture leaves: counts of the block's ids, taken anew at
-  set places (``RENEW``, half as far apart again each time), with an escape to the
-  ids met since and to new ids.
-
-The mixed probabilities drive a range coder with 64-bit low and range and
-32-bit words.  All arithmetic is on integers, so files read the same anywhere.
+  ids, the last id) with a confidence.  Their shares, and what is left to order 0,
+  follow how often each was right at that pair of confidences;
+* order 0 has counts of the ids left to it, taken anew at set places
+  (``renewals``); a new id, whose number is the next, joins their end at once.
+
+The mixed probabilities drive range coders with 64-bit low and range and
+32-bit words: one for who is right, one for the ids left to order 0.  As the
+second stream needs nothing of the first, it is read in a loop of its own.
+All arithmetic is on integers, so files read the same anywhere.
 Many blocks step together: position t of all blocks is a few numpy operations.
 
 Files: documents are dealt by ranges of the id, sorted, and put out as
@@ -23,8 +23,9 @@ writing is atomic per task, a lost task is written again, and any file
 system that Spark knows will do.  A document's start is its place in its range plus the sum
 over earlier ranges, a table of one row a range.
 
-Block: 4 bytes ``CMX1``, then as 32-bit little-endian numbers the count of ids, the bits of
-the largest id, the count of words and the CRC-32 of the ids (32-bit little-endian), then the words.
+Block: 4 bytes ``CMX2``, then as 16-bit little-endian numbers the count of ids, of distinct ids and of ids left to order 0,
+the bits of the largest id, the words of order 0 and the words of choices; the CRC-32 of the ids (32-bit little-endian); then
+the distinct ids in plain bits and the words of both streams.
 
 Defined cases: null text is empty (only the end id); null document ids come
 first; rows of one id go by text; repeated rows each have their ids; an empty
@@ -236,7 +237,7 @@ def _rest(coder, sizes: np.ndarray, most: int, numbers: np.ndarray | None) -> tu
     counts[:, 0] = STEP
     seen = np.zeros(blocks, np.uint16)
     left = np.searchsorted(-sizes, -np.arange(longest)).tolist()
-    places = [0, *renewals(longest, 4), longest]
+    places = [0, *renewals(longest, 3), longest]
     for begin, end in zip(places, places[1:]):
         known, columns = seen.copy(), min(int(seen.max(initial=0)) + end - begin, most) + 1
         wide = 1 << columns.bit_length()

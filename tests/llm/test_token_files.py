@@ -92,3 +92,29 @@ def test_small_segments_and_no_rows(spark, docs, rows, nothing, tmp_path, monkey
     assert K.read_tokens(spark, str(tmp_path / "none")).count() == 0
     K.write_tokens(docs, str(tmp_path / "ends"), end_id=50256)
     assert K.read_tokens(spark, str(tmp_path / "ends")).where("ids[n_tokens - 1] != 50256").count() == 0
+
+
+def test_words_of_a_slice_are_coded_together():
+    """Ids come end to end, with the words met before and those met anew in one slice; pairs lie in a hash table."""
+    rng = np.random.default_rng(5)
+    texts = ["", "it's <|endoftext|>", "a" * 255, "b" * 256 + " " + "ab" * 200, "naïve 文字 🙂", " \n\t x"]
+    texts += ["".join(rng.choice(list("aehinorst "), int(n))) for n in rng.integers(1, 900, 40)]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    encoder, tokenizer = bpe.Encoder(bpe.load_vocabulary()), Tokenizer.from_file(bpe.VOCABULARY)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, counts = encoder.encode_flat(b"".join(raw), offsets)
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_every_stream_has_its_part():
+    """Repeats are left to the orders 2 and 1, the ids that order 0 codes and the distinct ids are streams of their own."""
+    block = np.tile(np.arange(1, 8, dtype=np.uint32), 500)
+    (size, _, rest, distinct, _, _), = K.split_records(round_trip([block])[0])
+    assert size == len(block) and distinct.tolist() == list(range(1, 8)) and rest < 30
+    mixed = np.random.default_rng(3).integers(0, 50, K.BLOCK).astype(np.uint32)
+    assert len(round_trip([mixed])[0]) * 8 < 6.6 * K.BLOCK  # log2(50) is 5.64
+    words = np.random.default_rng(4).integers(0, 9, (300, 3))  # triples of dependent ids: 3.2 bits each
+    depend = np.stack([words[:, 0] * 3, words[:, 0] * 3 + 1, words[:, 0] * 3 + 2], 1).ravel().astype(np.uint32)
+    assert len(round_trip([depend])[0]) * 8 < 2.5 * len(depend)
